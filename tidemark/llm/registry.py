@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, transport_stream, url_filter
+from . import language_id, packing, toxicity, transport_stream, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -14,6 +14,8 @@ def _pipeline(spark, sf_dir):
 def queries():
     return {
         "op2_transport_stream": transport_stream.op2_transport_stream,
+        "op4_language_id": language_id.op4_language_id,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
         "op10_url_filter": url_filter.op10_url_filter,
         "pipeline": _pipeline,
