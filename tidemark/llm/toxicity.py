@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS, FOLDS, EPOCHS, SEED = 20, 3, 3, 11
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.1
 #: labelled rows of the training sample in all
-MAX_TRAIN = 9000
+MAX_TRAIN = 12000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
