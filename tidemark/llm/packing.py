@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +31,11 @@ from . import common
 
 CAPACITY, SEPARATOR = 2048, 1
 #: halving ends at parts of about so many tokens
-LEAST = 32
+LEAST = 48
 #: expected documents of a block
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 512
 #: distinct words whose ids a Python worker remembers before it starts afresh, and bytes of text it takes at once
-WORDS, SLICE = 600_000, 4 << 20
+WORDS, SLICE = 700_000, 4 << 20
 
 
 #: Latin letters, then closing marks that end a pre-token of their own
@@ -123,6 +125,14 @@ class WordEncoder:
         return ids, np.r_[0, after][ends - ends[0]]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process: the words that earlier tasks looked up are still known."""
+    held = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about so many bytes of text; a longer text is a run of its own."""
     nbytes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -152,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.array([SEPARATOR], "<u4")
+        encoder, end = worker_encoder(tokenizer), np.array([SEPARATOR], "<u4")
         for batch in batches:
             for b in slices(batch, "text"):
                 ids, begins = encoder.encode(b["text"])
