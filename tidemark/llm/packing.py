@@ -31,7 +31,7 @@ from . import common
 
 CAPACITY, SEPARATOR = 2048, 1
 #: halving ends at parts of about so many tokens
-LEAST = 48
+LEAST = 32
 #: expected documents of a block
 BLOCK_DOCS = 512
 #: distinct words whose ids a Python worker remembers before it starts afresh, and bytes of text it takes at once

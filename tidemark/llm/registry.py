@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, pii, toxicity, transport_stream, url_filter
+from . import language_id, mixing, packing, pii, toxicity, transport_stream, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ def queries():
     return {
         "op2_transport_stream": transport_stream.op2_transport_stream,
         "op4_language_id": language_id.op4_language_id,
+        "op5_mixing": mixing.op5_mixing,
         "op6_pii": pii.op6_pii,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
