@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, pii, toxicity, transport_stream, url_filter
+from . import jaccard_join, language_id, mixing, packing, pii, toxicity, transport_stream, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def _pipeline(spark, sf_dir):
 def queries():
     return {
         "op2_transport_stream": transport_stream.op2_transport_stream,
+        "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
         "op4_language_id": language_id.op4_language_id,
         "op5_mixing": mixing.op5_mixing,
         "op6_pii": pii.op6_pii,
