@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing, pii, toxicity, transport_stream, url_filter
+from . import jaccard_join, language_id, mixing, packing, pii, repeats, toxicity, transport_stream, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -20,10 +20,12 @@ def queries():
         "op6_pii": pii.op6_pii,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
+        "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql():
-    return {"op10_url_filter": url_filter.SQL}
+    return {"op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
+        "op10_url_filter": url_filter.SQL}
