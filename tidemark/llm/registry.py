@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, mixing, packing, pii, repeats, toxicity, transport_stream, url_filter
+from . import ann, jaccard_join, language_id, mixing, packing, pii, repeats, toxicity, transport_stream, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -13,6 +13,7 @@ def _pipeline(spark, sf_dir):
 
 def queries():
     return {
+        "op1_kmeans_tree": ann.op1_kmeans_tree,
         "op2_transport_stream": transport_stream.op2_transport_stream,
         "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
         "op4_language_id": language_id.op4_language_id,
