@@ -22,12 +22,12 @@ repeats inside a text count; rows that are copies in every column are each other
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,14 +37,17 @@ from .jaccard_join import Powers, mixed
 LENGTH, GRAM = 200, 32
 #: bytes of segments in a bin, and different segments of a key that a bin takes
 BIN_BYTES, MOST = 1 << 20, 4096
-#: bytes of ranges that are broadcast to the texts at most
-BROADCAST_BYTES = 32 << 20
+#: a word may have so many bytes; segments with longer ones are taken byte by byte
+LONG_WORD = 100
+#: bytes of spans, and row keys, that are broadcast to the texts at most
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
 _RNG = np.random.default_rng(9)
 _BYTES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[9, 10, 13, 32]] = True
+_SPLIT = re.compile(rb"[\t\n\r ]")
 
 
 class Hasher:
@@ -103,32 +106,58 @@ def _common_prefix(starts: np.ndarray, order: np.ndarray, b: np.ndarray, segment
     return np.r_[0, low]
 
 
-def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_windows(parts: list[bytes], length: int, gram: int = GRAM) -> list[np.ndarray]:
     """For each segment, a mask of its windows that occur again, in it or in another segment."""
     b = np.frombuffer(b"".join(parts), np.uint8)
     n = np.array([len(p) for p in parts])
     edge = np.r_[0, np.cumsum(n)]
-    # words: from a segment's start or behind a blank
+    out = np.zeros(len(b), bool)
+    # only where a window's first and last bytes both occur again in some window can it be repeated
+    h = Hasher(1)
+    h.load(b)
+    count = n - length + 1
+    at = np.repeat(edge[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    ends = h.of(at, at + gram) * _BASES[0] ^ h.of(at + length - gram, at + length)
+    by = np.argsort(ends, kind="stable")
+    same = ends[by][1:] == ends[by][:-1]
+    able = np.zeros(len(b) + 1, bool)
+    able[at[by[np.r_[False, same] | np.r_[same, False]]]] = True
+    first, last = runs(able[:-1])
+    # a segment's windows end before the next segment's begin, so a run stays inside its segment
+    if len(first):
+        pieces = _pieces(b, first, last + length - 1)
+        for i, mask in zip(first, _search(pieces, length), strict=True):
+            out[i : i + len(mask)] = mask
+    return [out[edge[k] : edge[k] + count[k]] for k in range(len(parts))]
+
+
+def _search(parts: list[bytes], length: int) -> list[np.ndarray]:
+    """repeated_windows() by the suffix array of the parts; parts with an overlong word are taken byte by byte, among all others of that kind."""
+    b = np.frombuffer(b"".join(parts), np.uint8)
+    n = np.array([len(p) for p in parts])
+    edge = np.r_[0, np.cumsum(n)]
+    # words: from a part's start or behind a blank
     begin = np.zeros(len(b) + 1, bool)
     begin[1:] = _BREAKS[b]
     begin[edge[:-1]] = True
     starts = np.flatnonzero(begin[:-1])
     ends = np.r_[starts[1:], len(b)]
+    if (ends - starts).max() > LONG_WORD:
+        starts = np.arange(len(b))
+        ends = starts + 1
     of = np.searchsorted(edge, starts, "right") - 1
-    segment_end = edge[of + 1]
     names = _pieces(b, starts, ends)
     rank_of = {w: k + 1 for k, w in enumerate(sorted(set(names)))}
     rank = np.fromiter(map(rank_of.__getitem__, names), np.int64, len(names))
-    # a separator, smaller than any word, behind every segment
+    # a separator, smaller than any word, behind every part
     spaced = np.zeros(len(rank) + len(parts), np.int64)
     spot = np.arange(len(rank)) + of
     spaced[spot] = rank
-    order = np.array(suffix_array(spaced.tolist()))
     back = np.full(len(spaced), -1)
     back[spot] = np.arange(len(rank))
-    order = back[order]
+    order = back[np.array(suffix_array(spaced.tolist()))]
     order = order[order >= 0]
-    lcp = _common_prefix(starts, order, b, segment_end)
+    lcp = _common_prefix(starts, order, b, edge[of + 1])
     longest = np.empty(len(order), np.int64)
     longest[order] = np.maximum(lcp, np.r_[lcp[1:], 0])
     # windows from a word on: as many as the longest match has
@@ -140,6 +169,8 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     # windows from e bytes before a word on: the next word's run must reach their end, the e bytes must agree
     before = np.r_[0, (ends - starts)[:-1]]
     before[starts == edge[of]] = 0
+    if len(starts) == len(b):
+        before[:] = 0  # every window starts a suffix already
     position = np.empty(len(order), np.int64)
     position[order] = np.arange(len(order))
     h = Hasher(1)
@@ -205,44 +236,74 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     # copies of whole segments
     whole = met.join(copies.where("c > 1").select("key", "seg"), ["key", "seg"]).select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
     # different segments under one key: their bytes, one copy of each
-    asked = copies.where("variants > 1").groupBy("one.row").agg(F.collect_list(F.struct("key", "seg", "one.at", "one.n", (F.col("c") == 1).alias("open"), "variants")).alias("asked"))
+    differ = copies.where("variants > 1")
+    asked = common.cut(differ.groupBy("one.row").agg(F.collect_list(F.struct("key", "seg", "one.at", "one.n", (F.col("c") == 1).alias("open"), "variants")).alias("asked")))
+    n_asked = asked.count()
+    needed = texts.join(F.broadcast(asked.select("row")), "row", "left_semi") if n_asked <= BROADCAST_ROWS else texts
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "seg", "row", "at", "open", "variants", "bytes"]
         for batch in batches:
+            out = []
             for row, t, a in zip(batch["row"], batch["text"], batch["asked"], strict=True):
                 data = raw(t)
-                yield pd.DataFrame([(x["key"], x["seg"], row, x["at"], x["open"], x["variants"], data[x["at"] : x["at"] + x["n"]]) for x in a], columns=["key", "seg", "row", "at", "open", "variants", "bytes"])
+                out += [(x["key"], x["seg"], row, x["at"], x["open"], x["variants"], data[x["at"] : x["at"] + x["n"]]) for x in a]
+            yield pd.DataFrame(out, columns=names)
 
-    rows = texts.join(asked, "row").mapInPandas(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
-    parts = common.cut(rows.dropDuplicates(["key", "seg"]))
-    total = parts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bins = max(1, -(-total // bin_bytes))
+    parts = needed.join(asked, "row").mapInPandas(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
+    total, largest = differ.agg(F.sum("one.n"), F.max("variants")).first()
+    bins = max(1, -(-(total or 0) // bin_bytes))
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["key", "seg"], ignore_index=True)
+        # keys with an overlong word apart from the others
+        odd = np.array([max(map(len, _SPLIT.split(x))) > LONG_WORD for x in p["bytes"]])
+        odd = pd.Series(odd).groupby(p["key"]).transform("any").to_numpy()
         out = []
-        for mask, row, at, is_open in zip(repeated_windows(list(p["bytes"]), length), p["row"], p["at"], p["open"], strict=True):
-            if is_open and mask.any():
-                out += [(row, at + i, at + j - 1 + length) for i, j in zip(*runs(mask), strict=True)]
+        for kind in (False, True):
+            q = p[odd == kind]
+            if len(q) > 1:
+                for mask, row, at, is_open in zip(repeated_windows(list(q["bytes"]), length, gram), q["row"], q["at"], q["open"], strict=True):
+                    if is_open and mask.any():
+                        out += [(row, at + i, at + j - 1 + length) for i, j in zip(*runs(mask), strict=True)]
         return pd.DataFrame(out, columns=["row", "at", "end"])
 
     found = parts.where(F.col("variants") <= most).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(search, "row long, at int, end int")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = Hasher(0), Hasher(1)
-        for batch in batches:
-            for data, row, at, is_open in zip(batch["bytes"], batch["row"], batch["at"], batch["open"], strict=True):
-                b = np.frombuffer(data, np.uint8)
-                i = np.arange(len(b) - length + 1)
-                one.load(b)
-                two.load(b)
-                yield pd.DataFrame({"h1": one.of(i, i + length).view(np.int64), "h2": two.of(i, i + length).view(np.int64), "row": row, "at": (at + i).astype(np.int32), "open": is_open})
-
-    every = parts.where(F.col("variants") > most).mapInPandas(windows, "h1 long, h2 long, row long, at int, open boolean")
-    twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    rest = every.where("open").join(twice, ["h1", "h2"]).select("row", "at", (F.col("at") + length).alias("end"))
-    spans = found.unionByName(rest).select("row", F.struct("at", "end").alias("span"))
-    return whole.unionByName(spans).groupBy("row").agg(F.collect_set("span").alias("spans"))
+    spans = found
+    if (largest or 0) > most:
+
+        def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one, two = Hasher(0), Hasher(1)
+            for batch in batches:
+                out = []
+                for data, row, at, is_open in zip(batch["bytes"], batch["row"], batch["at"], batch["open"], strict=True):
+                    b = np.frombuffer(data, np.uint8)
+                    i = np.arange(len(b) - length + 1)
+                    one.load(b)
+                    two.load(b)
+                    out.append(pd.DataFrame({"h1": one.of(i, i + length).view(np.int64), "h2": two.of(i, i + length).view(np.int64), "row": row, "at": (at + i).astype(np.int32), "open": is_open}))
+                if out:
+                    yield pd.concat(out)
+
+        every = common.cut(parts.where(F.col("variants") > most).mapInPandas(windows, "h1 long, h2 long, row long, at int, open boolean"))
+        twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+        rest = every.where("open").join(twice, ["h1", "h2"]).select("row", "at", (F.col("at") + length).alias("end"))
+        spans = spans.unionByName(rest)
+    spans = whole.unionByName(spans.select("row", F.struct("at", "end").alias("span")))
+    return spans.groupBy("row").agg(merged_spans(F.collect_set("span")).alias("spans"))
+
+
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap put together."""
+    kind = "array<struct<at: int, end: int>>"
+
+    def add(done: Column, s: Column) -> Column:
+        tail = F.try_element_at(done, F.lit(-1))
+        longer = F.array(F.struct(tail["at"].alias("at"), F.greatest(tail["end"], s["end"]).alias("end")))
+        # order by start, so only the last span can meet the next one
+        return F.when((F.size(done) > 0) & (tail["end"] >= s["at"]), F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
 def merge(spans, size: int) -> np.ndarray:
