@@ -27,11 +27,11 @@ from . import common
 
 BITS, DIM, ORDERS, UNKNOWN = 17, 16, (3, 4, 5), "und"
 #: documents of the training sample in all
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 #: share of the calibration documents that the rejection threshold gives up at most, and its ceiling
 GIVE_UP, CEILING = 0.002, 0.5
 EPOCHS, RATE, SEED = 5, 0.5, 7
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters stay; other ASCII bytes part words
@@ -163,7 +163,7 @@ def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN) -> pd.DataFrame
     mix = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")))
     chosen = able.withColumn("mix", mix).where(F.pmod("mix", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "doc_id"))
-    return chosen.withColumn("k", rank).where(F.col("k") <= most).select("text", "lang", "mix").toPandas().sort_values(["lang", "mix"], ignore_index=True)
+    return chosen.withColumn("k", rank).where(F.col("k") <= most).select("text", "lang", "mix").toArrow().to_pandas().sort_values(["lang", "mix"], ignore_index=True)
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:

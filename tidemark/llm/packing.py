@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .hashing import Hasher
 
 CAPACITY, SEPARATOR = 2048, 1
 #: halving ends at parts of about so many tokens
@@ -35,7 +36,9 @@ LEAST = 32
 #: expected documents of a block
 BLOCK_DOCS = 512
 #: distinct words whose ids a Python worker remembers before it starts afresh, and bytes of text it takes at once
-WORDS, SLICE = 700_000, 8 << 20
+WORDS, SLICE = 1_000_000, 4 << 20
+#: words looked up last that are searched apart, until they are merged with the others
+RECENT = 100_000
 
 
 #: words of these letters are one pre-token each
@@ -49,8 +52,9 @@ class WordEncoder:
 
     No token of such a tokenizer spans white space, so a text's ids are its words' ids one after the
     other. Texts are split at ASCII white space (longer words are only more work), the distinct words
-    of a slice are looked up, and each new one is given to the tokenizer once. The tokenizer must mark word
-    ends with `</w>`.
+    of a slice are looked up, and each new one is given to the tokenizer once. The tokenizer must mark
+    word ends with `</w>`. Known words are kept as sorted 64-bit hashes and places in a pool of ids,
+    about 40 bytes each.
     """
 
     def __init__(self, path: str):
@@ -59,45 +63,57 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.hasher = Hasher()
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.recent = none, none  # sorted hashes and their words' places; recent ones apart
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-
-    def _add_single(self, words: list[str]) -> None:
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the words, and how many each has."""
         found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._add(words, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _add_plain(self, words: list[str]) -> None:
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of Latin letters alone are one pre-token each, so many go in one call, parted at word ends."""
+        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         for k in range(0, len(words), 5000):
             run = words[k : k + 5000]
             ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(run) and ends[-1] == len(ids):
-                self._add(run, ids, np.diff(ends, prepend=0))
-            else:
-                self._add_single(run)
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Where the pool has each word."""
-        if len(self.at) > WORDS:
+            out.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(run) and ends[-1] == len(ids) else self._single(run))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the pool has each of the (distinct) words."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        self.hasher.load(np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+        offsets = offsets - offsets[0]
+        hashes = self.hasher.of(offsets[:-1], offsets[1:])
+        if len(self.starts) > WORDS:
             self._forget()
-        at = self.at
-        fresh = [w for w in words if w not in at]
-        if fresh:
-            plain = [w for w in fresh if w.isalpha() and _LATIN.fullmatch(w)]
-            self._add_plain(plain)
-            if len(plain) < len(fresh):
-                self._add_single([w for w in fresh if w not in at])
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        out = np.full(len(words), -1)
+        for keys, places in (self.known, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, places[at], out)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names = words.take(pa.array(new)).to_pylist()
+            plain = np.array([w.isalpha() and _LATIN.fullmatch(w) is not None for w in names])
+            order = np.r_[new[plain], new[~plain]]
+            a, b = self._plain([w for w, p in zip(names, plain, strict=True) if p]), self._single([w for w, p in zip(names, plain, strict=True) if not p])
+            out[order] = len(self.starts) - 1 + np.arange(len(order))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([a[1], b[1]]))])
+            self.ids = np.concatenate([self.ids, a[0], b[0]])
+            self.recent = _sorted(np.concatenate([self.recent[0], hashes[order]]), np.concatenate([self.recent[1], out[order]]))
+            if len(self.recent[0]) > RECENT:
+                self.known = _sorted(*(np.concatenate(x) for x in zip(self.known, self.recent, strict=True)))
+                self.recent = self.recent[0][:0], self.recent[1][:0]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: none) and where each text's ids begin, with the end."""
@@ -107,13 +123,18 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2\3"))
         ends = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        place = self._places(flat.dictionary.to_pylist())[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        place = self._places(flat.dictionary.cast(pa.large_string()))[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
         lengths = (self.starts[1:] - self.starts[:-1])[place]
         after = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.starts[place] - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]
         return ids, np.r_[0, after][ends - ends[0]]
 
 
+def _sorted(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(keys, kind="stable")
+    return keys[by], places[by]
+
+
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python process: the words that earlier tasks looked up are still known."""
     held = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders")).__dict__

@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .gsaca import suffix_array
-from .jaccard_join import Powers, mixed
+from .hashing import BASES, Hasher
 
 LENGTH, GRAM = 200, 32
 #: bytes of segments in a bin, and different segments of a key that a bin takes
@@ -42,29 +43,11 @@ LONG_WORD = 100
 #: bytes of spans, and row keys, that are broadcast to the texts at most
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
-_RNG = np.random.default_rng(9)
-_BYTES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
-_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[9, 10, 13, 32]] = True
 _SPLIT = re.compile(rb"[\t\n\r ]")
 
 
-class Hasher:
-    """Hashes of any substrings of a byte array, from prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, which: int = 0):
-        base = _BASES[which]
-        self.table, self.up, self.down = _BYTES[which], Powers(base), Powers(np.uint64(pow(int(base), -1, 2**64)))
-
-    def load(self, b: np.ndarray) -> None:
-        self.before = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(self.table[b] * self.up.to(len(b)), out=self.before[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.before[end] - self.before[start]) * self.down.to(len(self.before))[start] + (end - start).astype(np.uint64))
-
-
 def segments(b: np.ndarray, h: Hasher, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, hash, start and length of the segments of a text of at least `length` bytes."""
     h.load(b)
@@ -117,7 +100,7 @@ def repeated_windows(parts: list[bytes], length: int, gram: int = GRAM) -> list[
     h.load(b)
     count = n - length + 1
     at = np.repeat(edge[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    ends = h.of(at, at + gram) * _BASES[0] ^ h.of(at + length - gram, at + length)
+    ends = h.of(at, at + gram) * BASES[0] ^ h.of(at + length - gram, at + length)
     by = np.argsort(ends, kind="stable")
     same = ends[by][1:] == ends[by][:-1]
     able = np.zeros(len(b) + 1, bool)
@@ -201,14 +184,14 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def occurrences(texts: DataFrame, length: int, gram: int, merged: bool) -> DataFrame:
     """texts(row, text) -> key, seg, c (copies in the batch) if merged, else key, seg, row, at, n for each segment."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for batch in batches:
-            got = []
-            for row, t in zip(batch["row"], batch["text"], strict=True):
-                data = raw(t)
+            got, rows = [], batch["row"].to_numpy()
+            for i, t in enumerate(batch["text"]):
+                data = raw(t.as_py())
                 if len(data) >= length:
-                    got.append((row, *segments(np.frombuffer(data, np.uint8), h, length, gram)))
+                    got.append((i, *segments(np.frombuffer(data, np.uint8), h, length, gram)))
             if not got:
                 continue
             key, seg, at, n = (np.concatenate([g[k] for g in got]) for k in range(1, 5))
@@ -216,43 +199,46 @@ def occurrences(texts: DataFrame, length: int, gram: int, merged: bool) -> DataF
                 by = np.lexsort((seg, key))
                 key, seg = key[by], seg[by]
                 first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])])
-                yield pd.DataFrame({"key": key[first], "seg": seg[first], "c": np.diff(np.r_[first, len(key)])})
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(seg[first]), pa.array(np.diff(np.r_[first, len(key)]))], ["key", "seg", "c"])
             else:
-                row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-                yield pd.DataFrame({"key": key, "seg": seg, "row": row, "at": at.astype(np.int32), "n": n.astype(np.int32)})
+                row = rows[np.repeat([g[0] for g in got], [len(g[1]) for g in got])]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "seg", "row", "at", "n"])
 
-    return texts.mapInPandas(run, "key long, seg long, c long" if merged else "key long, seg long, row long, at int, n int")
+    return texts.mapInArrow(run, "key long, seg long, c long" if merged else "key long, seg long, row long, at int, n int")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bin_bytes: int = BIN_BYTES) -> DataFrame:
-    """texts(row, text), row a long that only equal texts share -> row, spans (array of start, end): repeated bytes, unmerged."""
+    """texts(row, text), row a long that only equal texts share -> row, spans (array of at, end): repeated bytes."""
     # what meets under each key; both sums use the one exchange by key
     seen = occurrences(texts, length, gram, True).repartition("key").groupBy("key", "seg").agg(F.sum("c").alias("c"))
-    seen = seen.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("variants")).where(F.col("all") > 1)
-    seen = common.cut(seen.select("key", "variants"))
-    met = common.cut(occurrences(texts, length, gram, False).join(seen, "key"))
-    copies = met.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "at", "n")).alias("one"), F.first("variants").alias("variants"))
-    copies = common.cut(copies)
+    keys = seen.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("variants")).where(F.col("all") > 1).select("key", "variants")
+    seen = common.cut(seen.join(keys, "key"))
+    largest, total = seen.agg(F.max("variants"), F.sum((F.col("variants") > 1).cast("bigint"))).first()
+    met = common.cut(occurrences(texts, length, gram, False).join(seen, ["key", "seg"]))
     # copies of whole segments
-    whole = met.join(copies.where("c > 1").select("key", "seg"), ["key", "seg"]).select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
+    whole = met.where("c > 1").select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
     # different segments under one key: their bytes, one copy of each
-    differ = copies.where("variants > 1")
+    differ = met.where("variants > 1").groupBy("key", "seg", "c", "variants").agg(F.min(F.struct("row", "at", "n")).alias("one"))
     asked = common.cut(differ.groupBy("one.row").agg(F.collect_list(F.struct("key", "seg", "one.at", "one.n", (F.col("c") == 1).alias("open"), "variants")).alias("asked")))
-    n_asked = asked.count()
-    needed = texts.join(F.broadcast(asked.select("row")), "row", "left_semi") if n_asked <= BROADCAST_ROWS else texts
+    needed = texts.join(F.broadcast(asked.select("row")), "row", "left_semi") if asked.count() <= BROADCAST_ROWS else texts
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "seg", "row", "at", "open", "variants", "bytes"]
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, t, a in zip(batch["row"], batch["text"], batch["asked"], strict=True):
-                data = raw(t)
-                out += [(x["key"], x["seg"], row, x["at"], x["open"], x["variants"], data[x["at"] : x["at"] + x["n"]]) for x in a]
-            yield pd.DataFrame(out, columns=names)
-
-    parts = needed.join(asked, "row").mapInPandas(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
-    total, largest = differ.agg(F.sum("one.n"), F.max("variants")).first()
-    bins = max(1, -(-(total or 0) // bin_bytes))
+            lists = batch["asked"]
+            flat = lists.flatten()
+            counts = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(batch["row"].to_numpy(), counts)
+            at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
+            parts, k = [], 0
+            for t, c in zip(batch["text"], counts.tolist(), strict=True):
+                data = raw(t.as_py())
+                parts += [data[i : i + m] for i, m in zip(at[k : k + c].tolist(), n[k : k + c].tolist(), strict=True)]
+                k += c
+            columns = [flat.field("key"), flat.field("seg"), pa.array(row), flat.field("at"), flat.field("open"), flat.field("variants"), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "seg", "row", "at", "open", "variants", "bytes"])
+
+    parts = needed.join(asked, "row").select("row", "text", "asked").mapInArrow(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
+    bins = max(1, -(-(total or 0) * 3 * length // 2 // bin_bytes))  # a segment has about 1.4 times the window's bytes
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["key", "seg"], ignore_index=True)
@@ -272,20 +258,18 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     spans = found
     if (largest or 0) > most:
 
-        def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = Hasher(0), Hasher(1)
             for batch in batches:
-                out = []
-                for data, row, at, is_open in zip(batch["bytes"], batch["row"], batch["at"], batch["open"], strict=True):
+                for data, row, at, is_open in zip(*(batch[c].to_pylist() for c in ("bytes", "row", "at", "open")), strict=True):
                     b = np.frombuffer(data, np.uint8)
                     i = np.arange(len(b) - length + 1)
                     one.load(b)
                     two.load(b)
-                    out.append(pd.DataFrame({"h1": one.of(i, i + length).view(np.int64), "h2": two.of(i, i + length).view(np.int64), "row": row, "at": (at + i).astype(np.int32), "open": is_open}))
-                if out:
-                    yield pd.concat(out)
+                    columns = [one.of(i, i + length).view(np.int64), two.of(i, i + length).view(np.int64), np.full(len(i), row), (at + i).astype(np.int32), np.full(len(i), is_open)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "row", "at", "open"])
 
-        every = common.cut(parts.where(F.col("variants") > most).mapInPandas(windows, "h1 long, h2 long, row long, at int, open boolean"))
+        every = common.cut(parts.where(F.col("variants") > most).mapInArrow(windows, "h1 long, h2 long, row long, at int, open boolean"))
         twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
         rest = every.where("open").join(twice, ["h1", "h2"]).select("row", "at", (F.col("at") + length).alias("end"))
         spans = spans.unionByName(rest)
