@@ -25,6 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Give freed memory back at the end of a task: Python workers are kept, beside a heap of Spark's that fills up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (a long, b long) -> (node, comp): comp is the smallest node of the component.
 

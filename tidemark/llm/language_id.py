@@ -179,6 +179,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield model.predict(b)
+            common.trim()
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     p = F.pandas_udf(score, "lang_pred string, score double, rejected boolean")(F.col(f"`{text}`"))

@@ -188,6 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int
                         at += n
                 kept = [b[c].take(pa.array(row, pa.int64())) for c in ("block", "doc_id")]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))], ["block", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        common.trim()
 
     asked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     return asked.mapInArrow(cut, f"block long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

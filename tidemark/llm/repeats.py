@@ -203,6 +203,7 @@ def occurrences(texts: DataFrame, length: int, gram: int, merged: bool) -> DataF
             else:
                 row = rows[np.repeat([g[0] for g in got], [len(g[1]) for g in got])]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "seg", "row", "at", "n"])
+        common.trim()
 
     return texts.mapInArrow(run, "key long, seg long, c long" if merged else "key long, seg long, row long, at int, n int")
 
@@ -236,6 +237,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                 k += c
             columns = [flat.field("key"), flat.field("seg"), pa.array(row), flat.field("at"), flat.field("open"), flat.field("variants"), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "seg", "row", "at", "open", "variants", "bytes"])
+        common.trim()
 
     parts = needed.join(asked, "row").select("row", "text", "asked").mapInArrow(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
     bins = max(1, -(-(total or 0) * 3 * length // 2 // bin_bytes))  # a segment has about 1.4 times the window's bytes

@@ -195,6 +195,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                     odds.append(float(s + w @ np.clip(odds, -14, 14) + b) if odds else float(s + b))
                 out[k] = sigmoid(np.array(odds))
             yield pd.DataFrame(out, columns=names)
+            common.trim()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     clash = {*names, *chain.categories}
