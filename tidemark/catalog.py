@@ -1,15 +1,553 @@
-"""Registered queries of the library (the llm subpackage registers its own)."""
+"""Registered queries of the library and their SQL (the llm subpackage registers its own).
+
+Queries run on weekly supplier bars (SUP_W): a ticker per supplier, a Friday per week, regions as
+sectors; windows are scaled from days to weeks. Sentiment queries run on daily regional prices.
+The SQL is composed of named common table expressions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from .functions.stats import rounded
+from .operators import backtest as bt
+from .operators import evaluation as ev
+from .operators import inference, prices, sentiment, signals, transforms, universe
+from .plans import studies
+from .sources import panels
 
+WEEKLY = {
+    "Momentum12_1": {"lookback": 52, "skip": 4},
+    "ShortTermReversal": {"lookback": 4},
+    "LowVolatility": {"window": 13},
+    "TrendStrength": {"window": 40, "vol_window": 13},
+    "LiquidityTurnover": {"window": 13},
+    "IdiosyncraticMomentum": {"lookback": 52, "skip": 4},
+    "VolumeShock": {"short": 2, "long": 13},
+}
+REGISTRY = signals.default_registry(**WEEKLY)
+NAMES = [s.name for s in REGISTRY.signals]
+MOM, REV, VOL, TREND, LIQ, IDIO, SHOCK = NAMES
+HORIZONS = (1, 5)
+SPANS = {"breadth": 40}
 
-def oracle_sql():
-    return {}
+
+# --- inputs -----------------------------------------------------------------------------------
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return panels.dense(panels.supplier_weeks(spark, d))
+
+
+def sectors(spark: SparkSession, d: str) -> DataFrame:
+    return panels.supplier_regions(spark, d)
+
+
+def market(spark: SparkSession, d: str) -> signals.Market:
+    return signals.Market(grid(spark, d))
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return REGISTRY.compute_all(market(spark, d))
+
+
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.prepare(raw(spark, d), sectors(spark, d))
+
+
+def one(spark: SparkSession, d: str, name: str = REV) -> DataFrame:
+    """Prepared scores of one signal; only that signal is computed."""
+    signal = next(s for s in REGISTRY.signals if s.name == name)
+    scores = signal(market(spark, d)).withColumn("signal", F.lit(name))
+    return transforms.prepare(scores, sectors(spark, d))
+
+
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.combine(prepared(spark, d))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Quarterly constituents: suppliers with a bar in the quarter's last month."""
+    bars = panels.supplier_weeks(spark, d)
+    last = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
+    return bars.where(F.trunc("date", "month") == F.trunc(last, "month")).select(last.alias("snapshot_date"), "ticker").distinct()
+
+
+def changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Current members (suppliers of even number) and a change log from large orders' suppliers."""
+    s = panels.read(spark, d, "supplier")
+    current = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("ticker"))
+    rows = panels.read(spark, d, "lineitem").where("l_quantity >= 50 and l_linenumber = 1 and l_orderkey % 7 = 0").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 2).alias("side"))
+    name = F.col("k").cast("string")
+    return current, rows.select("date", F.when(F.col("side") == 0, name).alias("added"), F.when(F.col("side") == 1, name).alias("removed")).distinct()
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    return sentiment.index(panels.region_days(spark, d), grid(spark, d), spans=SPANS)
+
+
+def spy(spark: SparkSession, d: str) -> DataFrame:
+    return sentiment.fallback_market(panels.region_days(spark, d), None)
+
+
+def out(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """The columns asked for, doubles rounded; prices are quotients of whole numbers and stay exact."""
+    kinds = dict(df.dtypes)
+    return df.select(*[rounded(F.col(c), digits).alias(c) if kinds[c] == "double" and c not in ("close", "min_price") else F.col(c) for c in (columns or df.columns)])
+
+
+def damped(df: DataFrame) -> DataFrame:
+    """Scores as sign times log(1 + size): compounded returns of noisy bars have very different sizes."""
+    return df.withColumn("score", F.signum("score") * F.log1p(F.abs("score")))
+
+
+DAMPED = "sign(score) * ln(1 + abs(score))"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman IC of weekly reversal, on quarterly part bars (dense enough in the smallest table)."""
+    g = panels.dense(panels.part_quarters(spark, d))
+    scores = signals.ShortTermReversal(lookback=1)(signals.Market(g)).withColumn("signal", F.lit("reversal"))
+    return ev.information_coefficient(scores, prices.forward_returns(g, (1,))).orderBy("date")
+
+
+# --- SQL --------------------------------------------------------------------------------------
+
+W = "over (partition by ticker order by date)"
+
+
+def _roll(n: int) -> str:
+    return f"over (partition by ticker order by date rows between {n - 1} preceding and current row)"
+
+
+def _mean(x: str, n: int, least: int, f: str = "avg") -> str:
+    return f"case when count({x}) {_roll(n)} >= {least} then {f}({x}) {_roll(n)} end"
+
+
+def _rank(x: str, part: str) -> str:
+    return f"case when {x} is not null then rank() over (partition by {part} order by {x} nulls last) + (count(*) over (partition by {part}, {x}) - 1) / 2.0 end"
+
+
+def _corr(x: str, y: str) -> str:
+    """Of rows where both are there."""
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+def _r(x: str, name: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0 as {name}"
+
+
+SIGNAL_SQL = (
+    f"lag(close, 4) {W} / nullif(lag(close, 52) {W}, 0) - 1",
+    f"-(close / nullif(lag(close, 4) {W}, 0) - 1)",
+    f"-({_mean('ret', 13, 6, 'stddev_samp')})",
+    f"(close / nullif({_mean('close', 40, 20)}, 0) - 1) / nullif({_mean('ret', 13, 6, 'stddev_samp')}, 0)",
+    f"-ln(nullif({_mean('close * volume', 13, 6)}, 0))",
+    f"lag(growth, 4) {W} / nullif(lag(growth, 52) {W}, 0) - 1",
+    f"-ln(nullif(({_mean('volume', 2, 1)}) / nullif({_mean('volume', 13, 6)}, 0), 0))",
+)
+
+_WEEK = "(date_trunc('week', {0}::date + interval 2 day)::date + 4)"
+
+CTE: dict[str, tuple[tuple[str, ...], str]] = {
+    "bars": ((), f"select cast(l_suppkey as varchar) as ticker, {_WEEK.format('l_shipdate')} as date, sum(round(l_extendedprice * 100)::bigint)::double / (sum(l_quantity) * 100) as close, sum(l_quantity)::double as volume from lineitem where l_shipdate is not null group by 1, 2"),
+    "sectors": ((), "select cast(s_suppkey as varchar) as ticker, r_name as sector from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"),
+    "dates": (("bars",), "select distinct date from bars"),
+    "grid": (("bars", "dates"), "select t.ticker, d.date, b.close, b.volume from (select distinct ticker from bars) t cross join dates d left join bars b on b.ticker = t.ticker and b.date = d.date"),
+    "rets": (("grid",), f"select *, close / nullif(lag(close) {W}, 0) - 1 as ret from grid"),
+    "excess": (("rets",), "select *, ret - avg(ret) over (partition by date) as excess from rets"),
+    "market": (("excess",), "select *, product(1 + coalesce(excess, 0)) over (partition by ticker order by date rows between unbounded preceding and current row) as growth from excess"),
+    "sig": (("market",), "select date, ticker, " + ", ".join(f"{x} as s{k}" for k, x in enumerate(SIGNAL_SQL)) + " from market"),
+    "raw": (("sig",), " union all ".join(f"select date, ticker, '{n}' as signal, s{k} as score from sig" for k, n in enumerate(NAMES))),
+    "rev": (("sig",), f"select date, ticker, '{REV}' as signal, s1 as score from sig"),
+    "names": (("grid", "sectors"), "select ticker, sector, count(*) over (partition by sector) >= 2 as shared from (select t.ticker, coalesce(s.sector, '_UNMAPPED') as sector from (select distinct ticker from grid) t left join sectors s on s.ticker = t.ticker)"),
+}
+
+
+def _prepare(src: str, to: str) -> None:
+    CTE[f"{to}_w"] = ((src,), f"select x.date, x.ticker, x.signal, case when score is not null then least(greatest(score, lo), hi) end as score from {src} x join (select date, signal, quantile_cont(score, 0.01) as lo, quantile_cont(score, 0.99) as hi from {src} group by 1, 2) e on x.date = e.date and x.signal = e.signal")
+    CTE[f"{to}_n"] = ((f"{to}_w", "names"), f"select w.date, w.ticker, signal, case when shared then score - avg(score) over (partition by signal, w.date, sector) else score end as score from {to}_w w join names using (ticker)")
+    CTE[to] = ((f"{to}_n",), f"select date, ticker, signal, (score - avg(score) over (partition by signal, date)) / nullif(stddev_samp(score) over (partition by signal, date), 0) as score from {to}_n")
+
+
+_prepare("raw", "prep")
+_prepare("rev", "prev")
+CTE["raw_z"] = (("prep_w",), "select date, ticker, signal, (score - avg(score) over (partition by signal, date)) / nullif(stddev_samp(score) over (partition by signal, date), 0) as score from prep_w")
+
+
+def _fwd(h: int, lag: int = 1) -> str:
+    ahead = f"lead(close, {lag}) {W}" if lag else "close"
+    return f"lead(close, {lag + h}) {W} / nullif({ahead}, 0) - 1"
+
+
+CTE["fwd"] = (("grid",), " union all ".join(f"select date, ticker, {h} as horizon, {_fwd(h)} as fwd from grid" for h in HORIZONS))
+CTE["fwd0"] = (("grid",), f"select date, ticker, 5 as horizon, {_fwd(5, 0)} as fwd from grid")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def _ic(src: str, to: str, fwd: str = "fwd", method: str = "spearman") -> None:
+    x = _rank("score", "signal, date") if method == "spearman" else "score"
+    y = _rank("fwd", "horizon, date") if method == "spearman" else "fwd"
+    CTE[to] = (
+        (src, fwd),
+        f"select a.date, signal, horizon, {_corr('x', 'y')} as ic, count(*) as n from (select date, ticker, signal, {x} as x from {src}) a join (select date, ticker, horizon, {y} as y from {fwd}) b on a.date = b.date and a.ticker = b.ticker where x is not null and y is not null group by 1, 2, 3 having count(*) >= 20 and {_corr('x', 'y')} is not null",
+    )
+
+
+def _hac(src: str, to: str) -> None:
+    """n, mean, std, t and hit rate per signal and horizon."""
+    CTE[f"{to}_u"] = ((src,), f"select signal, horizon, ic, ic - avg(ic) over (partition by signal, horizon) as u, row_number() over (partition by signal, horizon order by date) as i, greatest(horizon - 1, 1) as l from {src}")
+    CTE[f"{to}_c"] = ((f"{to}_u",), f"select a.signal, a.horizon, sum(a.u * b.u * (1 - (a.i - b.i) / (a.l + 1.0))) as c from {to}_u a join {to}_u b on a.signal = b.signal and a.horizon = b.horizon and a.i - b.i between 1 and a.l group by 1, 2")
+    CTE[to] = (
+        (f"{to}_u", f"{to}_c"),
+        f"select signal, horizon, n, case when n >= 10 then mean end as mean_ic, case when n >= 10 then sd end as ic_std, case when n >= 10 and v > 0 then mean / (sqrt(v) / n) end as t_stat, case when n >= 10 then mean / nullif(sd, 0) end as ic_ir, case when n >= 10 then hit end as hit_rate from (select u.signal, u.horizon, count(*) as n, avg(ic) as mean, stddev_samp(ic) as sd, avg((ic > 0)::int) as hit, sum(u * u) + 2 * coalesce(any_value(c), 0) as v from {to}_u u left join {to}_c c on u.signal = c.signal and u.horizon = c.horizon group by 1, 2)",
+    )
+
+
+_ic("prep", "ic")
+_ic("prev", "ic_rev")
+_ic("prev", "ic_rev_p", method="pearson")
+_ic("raw_z", "ic_raw")
+_hac("ic", "summary")
+_hac("ic_raw", "summary_raw")
+
+_EDGES = "list_sort(list_distinct(list_transform(quantile_cont(score, [0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda e: round(e, 12))))"
+CTE["buckets"] = (("prep",), f"select p.date, p.ticker, p.signal, len(list_filter(e[2:6], lambda v: v < round(p.score, 12))) as b from prep p join (select date, signal, {_EDGES} as e from prep where score is not null group by 1, 2 having count(*) >= 10) q on p.date = q.date and p.signal = q.signal where p.score is not null and len(e) >= 2")
+CTE["qret"] = (
+    ("buckets", "fwd"),
+    "select * from (select b.date, signal, " + ", ".join(f"avg(case when b = {k} then fwd end) as q{k + 1}" for k in range(5)) + ", avg(case when b = 4 then fwd end) - avg(case when b = 0 then fwd end) as spread from buckets b left join fwd f on f.date = b.date and f.ticker = b.ticker and f.horizon = 5 group by 1, 2) where coalesce(q1, q2, q3, q4, q5) is not null",
+)
+_Q = ("q1", "q2", "q3", "q4", "q5", "spread")
+CTE["qsum"] = (("qret",), "select signal, " + ", ".join(f"avg({c}) * 50.4 as {c}_ret, stddev_samp({c}) * sqrt(50.4) as {c}_vol, avg({c}) * 50.4 / nullif(stddev_samp({c}) * sqrt(50.4), 0) as {c}_sharpe" for c in _Q) + " from qret group by 1")
+CTE["mono"] = (("qsum",), f"select signal, case when count(*) >= 3 then {_corr('a', 'b')} end as monotonicity from (select signal, {_rank('k', 'signal')} as a, {_rank('m', 'signal')} as b from (" + " union all ".join(f"select signal, {k} as k, q{k + 1}_ret as m from qsum" for k in range(5)) + ") where m is not null) group by 1")
+CTE["turn"] = (("prep",), f"select date, signal, coalesce(sum(abs(x - px)), 0) as turnover from (select *, lag(x) over (partition by signal, ticker order by date) as px from (select *, score / nullif(sum(abs(score)) over (partition by signal, date), 0) as x from prep)) group by 1, 2")
+CTE["pairs"] = (("prep",), f"select signal_a, signal_b, avg(c) as corr from (select a.date, a.signal as signal_a, b.signal as signal_b, case when count(*) >= 20 then {_corr('a.score', 'b.score')} end as c from prep a join prep b on a.date = b.date and a.ticker = b.ticker and a.signal < b.signal where a.score is not null and b.score is not null group by 1, 2, 3) group by 1, 2")
+CTE["corrs"] = (("pairs", "prep"), "select * from pairs union all select signal_b, signal_a, corr from pairs union all select signal, signal, 1.0 from (select distinct signal from prep)")
+CTE["comb"] = (("prep",), "select date, ticker, sum(score) / nullif(count(score), 0) as score from prep group by 1, 2")
+
+
+def _weekly(src: str, to: str, key: str = "") -> None:
+    """Bars are weekly already; what remains of the sampling is dropping dates without any score."""
+    CTE[to] = ((src,), f"select {key} date, ticker, score from {src} qualify count(score) over (partition by {key} date) > 0")
+
+
+def _book(src: str, to: str, key: str = "") -> None:
+    CTE[to] = (
+        (src,),
+        f"select {key} date, ticker, case when n >= 20 and score is not null and k > n - greatest(floor(n * 0.2), 1) then -0.5 / greatest(floor(n * 0.2), 1) when n >= 20 and score is not null and k <= greatest(floor(n * 0.2), 1) then 0.5 / greatest(floor(n * 0.2), 1) else 0 end as w from (select *, count(score) over (partition by {key} date) as n, row_number() over (partition by {key} date order by score desc nulls last, ticker) as k from {src})",
+    )
+
+
+_weekly("comb", "comb_wk")
+_book("comb_wk", "book")
+_weekly("prev", "prev_wk")
+_book("prev_wk", "book_rev")
+
+
+def _pnl(book: str, to: str, cost: float = 10.0) -> None:
+    CTE[f"{to}_h"] = (("rets", book), f"select ticker, date, ret, coalesce(lag(w) {W}, 0) as held from (select r.ticker, r.date, r.ret, last_value(b.w ignore nulls) over (partition by r.ticker order by r.date rows between unbounded preceding and current row) as w from rets r left join {book} b on b.ticker = r.ticker and b.date = r.date)")
+    CTE[to] = ((f"{to}_h",), f"select date, gross, cost, gross - cost as net from (select date, coalesce(sum(held * ret), 0) as gross, sum(coalesce(abs(held - p), 0)) * {cost} / 1e4 as cost from (select *, lag(held) {W} as p from {to}_h) group by 1)")
+
+
+_pnl("book", "pnl")
+_pnl("book_rev", "pnl_rev", 0.0)
+
+
+def _equity(src: str, to: str, key: str = "") -> None:
+    part = f"partition by {key.rstrip(', ')}" if key else ""
+    frame = f"over ({part} order by date rows between unbounded preceding and current row)"
+    CTE[to] = ((src,), f"select *, equity / nullif(max(equity) {frame}, 0) - 1 as drawdown from (select *, product(1 + coalesce(net, 0)) {frame} as equity from {src})")
+
+
+def _stats(src: str, to: str, key: str = "") -> None:
+    _equity(src, f"{to}_e", key)
+    group = f"group by {key.rstrip(', ')}" if key else ""
+    figures = (("ann_return", "m * 252"), ("ann_vol", "sd * sqrt(252)"), ("sharpe", "m * 252 / nullif(sd * sqrt(252), 0)"), ("max_drawdown", "dd"), ("calmar", "m * 252 / nullif(abs(dd), 0)"), ("hit_rate", "hit"), ("skew", "g"), ("n_periods", "n"))
+    CTE[to] = ((f"{to}_e",), f"select {key} " + ", ".join(f"case when n >= 20 then {x} end as {a}" for a, x in figures) + f" from (select {key} count(*) as n, avg(net) as m, stddev_samp(net) as sd, min(drawdown) as dd, avg((net > 0)::int) as hit, skewness(net) as g from {to}_e {group})")
+
+
+_equity("pnl", "curve")
+_stats("pnl", "perf")
+
+CTE["cal"] = (("dates",), "select date, row_number() over (order by date) - 1 as i, count(*) over () as n from dates")
+CTE["folds"] = (("cal",), "select f as fold, min(case when i = 0 then date end) as train_start, max(case when i = f * (n // 5) - 1 then date end) as train_end, max(case when i = f * (n // 5) + 4 then date end) as test_start, max(case when i = least(f * (n // 5) + n // 5, n) - 1 then date end) as test_end from cal cross join range(1, 5) r(f) group by 1")
+CTE["wf_s"] = (("comb", "folds"), "select fold, date, ticker, score from comb join folds on date between test_start and test_end")
+_weekly("wf_s", "wf_wk", "fold,")
+_book("wf_wk", "wf_book", "fold,")
+CTE["wf_r"] = (("grid", "folds"), "select fold, ticker, date, close / nullif(lag(close) over (partition by fold, ticker order by date), 0) - 1 as ret from grid join folds on date >= test_start")
+CTE["wf_h"] = (("wf_r", "wf_book"), "select fold, ticker, date, ret, coalesce(lag(w) over (partition by fold, ticker order by date), 0) as held from (select r.fold, r.ticker, r.date, r.ret, last_value(b.w ignore nulls) over (partition by r.fold, r.ticker order by r.date rows between unbounded preceding and current row) as w from wf_r r left join wf_book b on b.fold = r.fold and b.ticker = r.ticker and b.date = r.date)")
+CTE["wf_pnl"] = (("wf_h",), "select fold, date, coalesce(sum(held * ret), 0) - sum(coalesce(abs(held - p), 0)) * 10 / 1e4 as net from (select *, lag(held) over (partition by fold, ticker order by date) as p from wf_h) group by 1, 2")
+_stats("wf_pnl", "wf_perf", "fold,")
+
+# sentiment
+CTE["proxies"] = (("sectors",), "select case sector when 'AFRICA' then 'VIX' when 'AMERICA' then 'SPY' when 'ASIA' then 'TLT' when 'EUROPE' then 'HYG' when 'MIDDLE EAST' then 'LQD' end as name, l_shipdate::date as date, sum(round(l_extendedprice * 100)::bigint)::double / (sum(l_quantity) * 100) as px from lineitem join sectors on cast(l_suppkey as varchar) = ticker where l_shipdate is not null group by 1, 2")
+
+
+def _own(name: str) -> str:
+    return f"(select date, px as x from proxies where name = '{name}' and px is not null)"
+
+
+def _to_mean(name: str, n: int) -> str:
+    f = f"over (order by date rows between {n - 1} preceding and current row)"
+    return f"select date, x / nullif(case when count(x) {f} >= {n // 2} then avg(x) {f} end, 0) as v from {_own(name)}"
+
+
+def _growth(a: str, b: str, n: int) -> str:
+    g = f"select date, x / nullif(lag(x, {n}) over (order by date), 0) as g from "
+    return f"select coalesce(a.date, b.date) as date, a.g - b.g as v from ({g}{_own(a)}) a full join ({g}{_own(b)}) b on a.date = b.date"
+
+
+CTE["breadth_v"] = (("grid",), f"select date, 100 * (sum(coalesce(close > ma, false)::int)::double / nullif(count(close), 0)) as v from (select *, {_mean('close', 40, 20)} as ma from grid) group by 1")
+_VALUES = {"volatility": (("proxies",), _to_mean("VIX", 50)), "credit": (("proxies",), _growth("HYG", "LQD", 20)), "safe_haven": (("proxies",), _growth("SPY", "TLT", 20)), "momentum": (("proxies",), _to_mean("SPY", 125)), "breadth": (("breadth_v",), "select date, v from breadth_v")}
+for _name, (_deps, _sql) in _VALUES.items():
+    _p = "100 - 100.0 * len(list_filter(l, lambda y: y < v)) / len(l)" if _name == "volatility" else "100.0 * len(list_filter(l, lambda y: y < v)) / len(l)"
+    CTE[f"c_{_name}"] = (_deps, f"select date, case when v is not null and len(l) >= 252 then {_p} end as value from (select date, v, list_filter(list(v) over (order by date rows between 755 preceding and current row), lambda y: y is not null) as l from ({_sql}))")
+CTE["components"] = (tuple(f"c_{c}" for c in sentiment.COMPONENTS), " union all ".join(f"select date, '{c}' as component, value from c_{c}" for c in sentiment.COMPONENTS))
+CTE["sent"] = (("components",), "select *, (coalesce(volatility, 0) + coalesce(credit, 0) + coalesce(safe_haven, 0) + coalesce(momentum, 0) + coalesce(breadth, 0)) / nullif(n_components, 0) as composite from (select date, " + ", ".join(f"max(case when component = '{c}' then value end) as {c}" for c in sentiment.COMPONENTS) + ", count(value)::int as n_components from components group by 1)")
+CTE["spy"] = (("proxies",), "select date, px from proxies where name = 'SPY' and px is not null")
+CTE["joint"] = (("sent", "spy"), "select date, composite, px from sent join spy using (date) where composite is not null")
+_REGIME = "case when composite is null then 'unavailable' when composite < 25 then 'extreme fear' when composite < 45 then 'fear' when composite < 55 then 'neutral' when composite < 75 then 'greed' else 'extreme greed' end"
+CTE["scaler"] = (("sent",), "select 'contrarian' as variant, date, 0.5 + (1 - least(greatest(composite, 0.0), 100.0) / 100) * 1.0 as exposure from sent where composite is not null union all select 'contrarian', date, null from sent where composite is null union all select 'momentum', date, 0.5 + least(greatest(composite, 0.0), 100.0) / 100 * 1.0 from sent where composite is not null union all select 'momentum', date, null from sent where composite is null")
+_UP = "over (partition by variant order by date rows between unbounded preceding and current row)"
+CTE["timed_d"] = (("spy", "scaler"), f"select variant, date, px, ret, last_value(exposure ignore nulls) {_UP} as e from (select v.variant, s.date, px, px / nullif(lag(px) over (partition by v.variant order by s.date), 0) - 1 as ret, exposure from spy s cross join (select distinct variant from scaler) v left join scaler x on x.date = s.date and x.variant = v.variant)")
+CTE["timed_w"] = (("timed_d",), f"select variant, {_WEEK.format('date')} as date, arg_max(e, date) filter (e is not null) as e from timed_d group by 1, 2")
+CTE["timed"] = (
+    ("timed_d", "timed_w", "spy"),
+    f"select variant, date, w, coalesce(w * ret, 0) as gross, coalesce(abs(w - lag(w) over (partition by variant order by date)), 0) * 10 / 1e4 as cost, coalesce(w * ret, 0) - coalesce(abs(w - lag(w) over (partition by variant order by date)), 0) * 10 / 1e4 as net from (select variant, date, ret, coalesce(lag(f) over (partition by variant order by date), 1.0) as w from (select d.variant, d.date, d.ret, last_value(w.e ignore nulls) over (partition by d.variant order by d.date rows between unbounded preceding and current row) as f from timed_d d left join timed_w w on w.date = d.date and w.variant = d.variant)) union all select 'buy and hold', date, 1.0, coalesce(px / nullif(lag(px) over (order by date), 0) - 1, 0), 0, coalesce(px / nullif(lag(px) over (order by date), 0) - 1, 0) from spy",
+)
+_stats("timed", "timed_perf", "variant,")
+
+
+def _book_scaled() -> None:
+    CTE["reb"] = (("book", "scaler"), "select v.variant, d.date, coalesce(last_value(s.exposure ignore nulls) over (partition by v.variant order by d.date rows between unbounded preceding and current row), 1.0) as exposure from (select distinct date from book) d cross join (select distinct variant from scaler) v left join scaler s on s.date = d.date and s.variant = v.variant")
+    CTE["vbook"] = (("book", "reb"), "select 'no sentiment' as variant, date, ticker, w from book union all select variant, date, ticker, w * exposure from book join reb using (date)")
+    CTE["v_h"] = (("rets", "vbook"), "select variant, ticker, date, ret, coalesce(lag(w) over (partition by variant, ticker order by date), 0) as held from (select v.variant, r.ticker, r.date, r.ret, last_value(b.w ignore nulls) over (partition by v.variant, r.ticker order by r.date rows between unbounded preceding and current row) as w from rets r cross join (select distinct variant from vbook) v left join vbook b on b.ticker = r.ticker and b.date = r.date and b.variant = v.variant)")
+    CTE["v_pnl"] = (("v_h",), "select variant, date, coalesce(sum(held * ret), 0) - sum(coalesce(abs(held - p), 0)) * 10 / 1e4 as net from (select *, lag(held) over (partition by variant, ticker order by date) as p from v_h) group by 1, 2")
+    _stats("v_pnl", "v_perf", "variant,")
+
+
+_book_scaled()
+
+# universe
+CTE["snaps"] = (("bars",), "select distinct q as snapshot_date, ticker from (select ticker, date, last_day((date_trunc('quarter', date) + interval 2 month)::date) as q from bars) where date_trunc('month', date) = date_trunc('month', q)")
+CTE["members"] = (("snaps", "dates"), "select date, ticker from (select d.date, coalesce(max(case when s.snapshot_date <= d.date then s.snapshot_date end), min(s.snapshot_date)) as snapshot_date from dates d cross join (select distinct snapshot_date from snaps) s group by 1) join snaps using (snapshot_date)")
+CTE["log"] = ((), "select distinct l_shipdate::date as date, case when l_orderkey % 2 = 0 then cast(l_suppkey as varchar) end as added, case when l_orderkey % 2 = 1 then cast(l_suppkey as varchar) end as removed from lineitem where l_quantity >= 50 and l_linenumber = 1 and l_orderkey % 7 = 0 and l_shipdate is not null")
+CTE["events_"] = (("log",), "select ticker, date, max(was) as was from (select added as ticker, date, 0 as was from log where added is not null union all select removed, date, 1 from log where removed is not null) group by 1, 2")
+CTE["everyone"] = (("events_",), "select cast(s_suppkey as varchar) as ticker, (s_suppkey % 2 = 0)::int as now from supplier union select ticker, 0 from events_ where ticker not in (select cast(s_suppkey as varchar) from supplier)")
+CTE["longs"] = (("book_rev",), "select date, list(ticker) as names, row_number() over (order by date) as i from book_rev where w > 0 group by 1")
+CTE["overlap"] = (("longs",), "select k as weeks, avg(len(list_intersect(a.names, b.names)) / len(a.names)) as overlap from longs a cross join (values (1), (13), (52)) o(k) join longs b on b.i = a.i + k group by 1")
+
+
+def compose(final: str, *needs: str) -> str:
+    """The final select with the common table expressions that it needs, in order."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        for d in CTE[name][0]:
+            visit(d)
+        if name not in order:
+            order.append(name)
+
+    for n in needs:
+        visit(n)
+    return "with " + ",\n".join(f"{n} as materialized ({CTE[n][1]})" for n in order) + f"\n{final}"
+
+
+def _select(cte: str, exact: str = "", doubles: str = "", digits: int = 6) -> str:
+    columns = [*(x.strip() for x in exact.split(",") if x.strip()), *(_r(x.strip(), x.strip(), digits) for x in doubles.split(",") if x.strip())]
+    return compose(f"select {', '.join(columns)} from {cte}", cte)
+
+
+# --- registry ---------------------------------------------------------------------------------
+
+PERF = "ann_return, ann_vol, sharpe, max_drawdown, calmar, hit_rate, skew"
+
+
+def _build() -> dict[str, tuple]:
+    q: dict[str, tuple] = {}
+    q["panel_weekly"] = (lambda s, d: out(grid(s, d), "date", "ticker", "close", "volume"), _select("grid", "date, ticker, close", "volume"))
+    q["returns"] = (lambda s, d: out(prices.returns(grid(s, d)), "date", "ticker", "ret"), _select("rets", "date, ticker", "ret"))
+    q["forward_returns"] = (lambda s, d: out(prices.forward_returns(grid(s, d), HORIZONS)), _select("fwd", "date, ticker, horizon", "fwd"))
+    q["price_quality"] = (
+        lambda s, d: out(prices.quality(grid(s, d), max_move=2.0, min_price=5000.0)),
+        compose(f"select ticker, n_obs, pct_missing + 0.0 as pct_missing, first_date, last_date, extreme_moves, zero_var_days, min_price, pct_missing > 0.3 or extreme_moves > 0 or coalesce(min_price < 1000, false) as suspect from (select ticker, count(close) as n_obs, round(1 - count(close) / count(*), 4) as pct_missing, min(date) filter (close is not null) as first_date, max(date) filter (close is not null) as last_date, coalesce(sum((abs(ret) > 2.0)::bigint), 0)::bigint as extreme_moves, coalesce(sum((ret = 0)::bigint), 0)::bigint as zero_var_days, min(close) as min_price from rets group by 1)", "rets"),
+    )
+    q["clean_prices"] = (
+        lambda s, d: out(prices.clean(grid(s, d), 1.0, 60), "date", "ticker", "close", "volume"),
+        compose(f"select date, ticker, case when coalesce(abs(ret) > 1.0, false) then null else close end as close, {_r('volume', 'volume')} from rets where ticker in (select ticker from rets group by 1 having count(close) >= 60)", "rets"),
+    )
+    q["clean_report"] = (
+        lambda s, d: prices.clean_report(grid(s, d), 1.0, 60),
+        compose("select sum((n = 0)::bigint)::bigint as empty, sum((n > 0 and n < 60)::bigint)::bigint as thin, sum((n >= 60)::bigint)::bigint as kept, sum(case when n >= 60 then m else 0 end)::bigint as masked from (select ticker, count(close) as n, coalesce(sum((abs(ret) > 1.0)::bigint), 0) as m from rets group by 1)", "rets"),
+    )
+    q["liquidity_filter"] = (
+        lambda s, d: universe.liquidity_filter(universe.membership_asof(snapshots(s, d), panels.calendar(grid(s, d))).withColumn("is_member", F.lit(True)), grid(s, d), 40000.0, 800.0, 21),
+        compose(f"select m.date, m.ticker, coalesce(adv >= 40000 and close >= 800, false) as is_member from members m left join (select date, ticker, close, {_mean('close * volume', 21, 10)} as adv from grid) g on g.date = m.date and g.ticker = m.ticker", "members", "grid"),
+    )
+    q["membership_asof"] = (lambda s, d: universe.membership_asof(snapshots(s, d), panels.calendar(panels.supplier_weeks(s, d))), compose("select date, ticker from members", "members"))
+    q["membership_changelog"] = (
+        lambda s, d: universe.membership_changelog(*changes(s, d), panels.calendar(panels.supplier_weeks(s, d))),
+        compose("select date, ticker from (select d.date, e.ticker, coalesce(arg_min(v.was, v.date) filter (v.date > d.date), any_value(e.now)) as was from dates d cross join everyone e left join events_ v on v.ticker = e.ticker group by 1, 2) where was = 1", "dates", "everyone"),
+    )
+    q["survivorship_gap"] = (
+        lambda s, d: universe.survivorship(universe.membership_asof(snapshots(s, d), panels.calendar(panels.supplier_weeks(s, d)))),
+        compose("select ever_members, median_members, ever_members - median_members as gap from (select count(distinct ticker) as ever_members from members) cross join (select quantile_cont(n, 0.5)::double as median_members from (select count(*) as n from members group by date))", "members"),
+    )
+    q["etf_universe"] = (
+        lambda s, d: universe.etf_universe(s, panels.calendar(panels.supplier_weeks(s, d))),
+        compose("select date, ticker, date >= first_day::date as is_member from dates cross join (values " + ", ".join(f"('{t}', '{x}')" for t, _, x in universe.SECTOR_ETFS) + ") e(ticker, first_day)", "dates"),
+    )
+    q["constituent_filter"] = (
+        lambda s, d: universe.constituents(panels.read(s, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.upper(F.substring("p_name", 1, 4)), F.lit("."), F.col("p_size").cast("string")).alias("ticker"))).select("seq", "ticker"),
+        r"select min(seq) as seq, ticker from (select p_partkey as seq, upper(trim(replace(upper(substr(p_name, 1, 4)) || '.' || cast(p_size as varchar), '.', '-'))) as ticker from part) where regexp_matches(ticker, '^[A-Z][A-Z0-9\-]{0,6}$') group by ticker",
+    )
+    q["sector_map_priority"] = (
+        lambda s, d: universe.sector_map(sectors(s, d).where("cast(ticker as int) % 3 = 0"), panels.read(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))).otherwise(F.lit(" ")).alias("sector"))),
+        compose("select ticker, arg_min(sector, k) as sector from (select ticker, sector, 0 as k from sectors where cast(ticker as int) % 3 = 0 union all select cast(s_suppkey as varchar), case when s_suppkey % 5 <> 0 then 'N' || cast(s_nationkey as varchar) else ' ' end, 1 from supplier) where trim(sector) <> '' group by 1", "sectors"),
+    )
+    q["sector_coverage"] = (
+        lambda s, d: out(universe.sector_coverage(grid(s, d), sectors(s, d).where("cast(ticker as int) % 4 <> 0"))),
+        compose(f"select {_r('avg((s.sector is not null)::int)', 'coverage')}, avg((s.sector is not null)::int) < 0.9 as warn from (select distinct ticker from grid) t left join (select * from sectors where cast(ticker as int) % 4 <> 0) s using (ticker)", "grid", "sectors"),
+    )
+    short = ("momentum", "reversal", "lowvol", "trend", "liquidity", "idio_momentum", "volume_shock")
+    for k, (n, sig) in enumerate(zip(short, REGISTRY.signals, strict=True)):
+        q[f"sig_{n}"] = ((lambda sig: lambda s, d: out(damped(sig(market(s, d)))))(sig), compose(f"select date, ticker, {_r(DAMPED.replace('score', f's{k}'), 'score')} from sig", "sig"))
+    q["signals_all"] = (lambda s, d: out(damped(raw(s, d))), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from raw", "raw"))
+    q["membership_mask"] = (
+        lambda s, d: out(REGISTRY.signals[1](signals.Market(grid(s, d), membership=universe.membership_asof(snapshots(s, d), panels.calendar(grid(s, d)))))),
+        compose(f"select r.date, r.ticker, {_r('case when m.ticker is not null then score end', 'score')} from rev r left join members m on m.date = r.date and m.ticker = r.ticker", "rev", "members"),
+    )
+    q["winsorize"] = (lambda s, d: out(damped(transforms.winsorize(raw(s, d))), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_w", "prep_w"))
+    q["zscore"] = (lambda s, d: out(transforms.zscore(transforms.winsorize(raw(s, d))), "date", "ticker", "signal", "score"), _select("raw_z", "date, ticker, signal", "score"))
+    q["rank_share"] = (lambda s, d: out(transforms.rank_share(raw(s, d)), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(f'({_rank('score', 'signal, date')}) / count(score) over (partition by signal, date)', 'score')} from raw", "raw"))
+    q["rank_normalize"] = (lambda s, d: out(transforms.rank_normalize(raw(s, d)), "date", "ticker", "signal", "score"), None)
+    q["sector_neutralize"] = (lambda s, d: out(damped(transforms.sector_neutralize(transforms.winsorize(raw(s, d)), sectors(s, d))).where(F.col("signal") != IDIO), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_n where signal <> '{IDIO}'", "prep_n"))
+    q["prepare"] = (lambda s, d: out(prepared(s, d), "date", "ticker", "signal", "score"), _select("prep", "date, ticker, signal", "score"))
+    q["rebalance_sample"] = (
+        lambda s, d: out(transforms.weekly(panels.dense(panels.bars(panels.read(s, d, "lineitem"), F.col("l_suppkey"), F.col("l_shipdate").cast("date"))), "close"), "date", "ticker", "close"),
+        compose(f"select date, ticker, close from (select w.date, t.ticker, x.close from (select distinct date from wk) w cross join (select distinct ticker from wk) t left join wk x on x.date = w.date and x.ticker = t.ticker)", "wk"),
+    )
+    q["combine"] = (lambda s, d: out(combined(s, d), "date", "ticker", "score"), _select("comb", "date, ticker", "score"))
+    q["combine_weighted"] = (
+        lambda s, d: out(transforms.combine(prepared(s, d), {n: w for n, w in zip(NAMES, (2.0, 1.0, 0.0, -1.0, 0.5, 1.0, 1.0), strict=True)}), "date", "ticker", "score"),
+        compose(f"select date, ticker, {_r('sum(w * score) / nullif(sum(case when score is not null then abs(w) end), 0)', 'score')} from prep join (values " + ", ".join(f"('{n}', {w})" for n, w in zip(NAMES, (2.0, 1.0, 0.0, -1.0, 0.5, 1.0, 1.0), strict=True)) + ") v(signal, w) using (signal) group by 1, 2", "prep"),
+    )
+    q["display_rankings"] = (
+        lambda s, d: transforms.extremes(transforms.display_scores(raw(s, d), sectors(s, d)), 15).select("signal", "date", "ticker", "top", "bottom"),
+        compose("select signal, date, ticker, top, bottom from (select signal, date, ticker, row_number() over (partition by signal order by score desc, ticker) as top, row_number() over (partition by signal order by score, ticker) as bottom from (select signal, date, ticker, (score - avg(score) over (partition by signal, date)) / nullif(stddev_samp(score) over (partition by signal, date), 0) as score from (select r.signal, r.date, r.ticker, case when shared then score - avg(score) over (partition by signal, r.date, sector) else score end as score from raw r join names using (ticker))) z where score is not null and (signal, date) in (select signal, max(date) from raw where score is not null group by 1)) where top <= 15 or bottom <= 15", "raw", "names"),
+    )
+    q["ic_spearman"] = (lambda s, d: out(ev.information_coefficient(one(s, d), prices.forward_returns(grid(s, d), HORIZONS))), _select("ic_rev", "date, signal, horizon, n", "ic"))
+    q["ic_pearson"] = (lambda s, d: out(ev.information_coefficient(one(s, d), prices.forward_returns(grid(s, d), HORIZONS), "pearson")), _select("ic_rev_p", "date, signal, horizon, n", "ic"))
+    q["ic_decay"] = (lambda s, d: out(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS)), _select("summary", "signal, horizon, n", "mean_ic, ic_std, t_stat, ic_ir, hit_rate"))
+    q["ic_summary_p"] = (lambda s, d: out(ev.with_p(ev.ic_decay(one(s, d), grid(s, d), HORIZONS))), None)
+    q["horizon_sweep"] = (lambda s, d: out(ev.horizon_sweep(prepared(s, d), grid(s, d), HORIZONS)), compose(f"select signal, {_r('max(case when horizon = 1 then t_stat end)', 't_1')}, {_r('max(case when horizon = 5 then t_stat end)', 't_5')} from summary group by 1", "summary"))
+    q["significance"] = (lambda s, d: out(studies.significance(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select sum((abs(t_stat) > 3)::bigint)::bigint as passing, count(t_stat) as trials, {_r('max(abs(t_stat))', 'max_abs_t')} from summary", "summary"))
+    q["strongest_cell"] = (lambda s, d: out(ev.strongest(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select signal, horizon, {_r('t_stat', 't_stat')}, survivors from (select *, sum((abs(t_stat) > 3)::bigint) over ()::bigint as survivors from summary) order by abs(t_stat) desc limit 1", "summary"))
+    q["quantile_returns"] = (lambda s, d: out(ev.quantile_returns(prepared(s, d), grid(s, d), 5)), _select("qret", "date, signal", "q1, q2, q3, q4, q5, spread"))
+    q["quantile_summary"] = (lambda s, d: out(ev.quantile_summary(ev.quantile_returns(prepared(s, d), grid(s, d), 5), 5)), compose("select signal, " + ", ".join(_r(f"{c}_{k}", f"{c}_{k}") for c in _Q for k in ("ret", "vol", "sharpe")) + f", {_r('monotonicity', 'monotonicity')} from qsum left join mono using (signal)", "qsum", "mono"))
+    q["turnover"] = (lambda s, d: out(ev.turnover(prepared(s, d))), _select("turn", "date, signal", "turnover"))
+    q["cost_drag"] = (lambda s, d: out(ev.cost_drag(ev.turnover(prepared(s, d)), 10.0, 50.4)), compose(f"select signal, {_r('avg(turnover) * 10 / 1e4 * 50.4', 'cost_drag')} from turn group by 1", "turn"))
+    q["signal_correlation"] = (lambda s, d: out(ev.signal_correlation(prepared(s, d))), _select("corrs", "signal_a, signal_b", "corr"))
+    q["redundant_pairs"] = (lambda s, d: out(ev.redundant_pairs(ev.signal_correlation(prepared(s, d)), 0.3)), compose(f"select signal_a, signal_b, {_r('corr', 'corr')} from pairs where abs(corr) > 0.3", "pairs"))
+    q["ic_correlation"] = (
+        lambda s, d: out(ev.ic_correlation(ev.information_coefficient(prepared(s, d), prices.forward_returns(grid(s, d), (5,))))),
+        compose(f"select a.signal as signal_a, b.signal as signal_b, a.horizon, {_r(_corr('a.ic', 'b.ic'), 'corr')} from ic a join ic b on a.date = b.date and a.horizon = b.horizon where a.horizon = 5 group by 1, 2, 3", "ic"),
+    )
+    q["league_table"] = (
+        lambda s, d: out(ev.league_table(prepared(s, d), grid(s, d), HORIZONS)),
+        compose("select signal, " + ", ".join(_r(c, c) for c in ("mean_ic", "t_stat", "ic_ir", "hit_rate", "spread_ret", "spread_sharpe", "monotonicity", "turnover")) + f", {_r('turnover * 10 / 1e4 * 50.4', 'cost_drag')}, {_r('spread_ret - turnover * 10 / 1e4 * 50.4', 'net_spread_ret')} from summary left join qsum using (signal) left join mono using (signal) left join (select signal, avg(turnover) as turnover from turn group by 1) using (signal) where horizon = 5", "summary", "qsum", "mono", "turn"),
+    )
+    q["positions"] = (lambda s, d: out(bt.positions(transforms.weekly(combined(s, d)))), _select("book", "date, ticker", "w"))
+    q["backtest_daily"] = (lambda s, d: out(bt.backtest(combined(s, d), grid(s, d)), "date", "gross", "cost", "net", "equity", "drawdown"), _select("curve", "date", "gross, cost, net, equity, drawdown"))
+    q["performance_stats"] = (lambda s, d: out(bt.performance(bt.backtest(combined(s, d), grid(s, d)))), _select("perf", "n_periods", PERF))
+    q["walk_forward_splits"] = (lambda s, d: bt.walk_forward_splits(panels.supplier_weeks(s, d), 4, 4), compose("select fold::int as fold, train_start, train_end, test_start, test_end from folds", "folds"))
+    q["walk_forward_report"] = (lambda s, d: out(bt.walk_forward(combined(s, d), grid(s, d), 4, 4)), compose("select fold::int as fold, n_periods, " + ", ".join(_r(c.strip(), c.strip()) for c in PERF.split(",")) + " from wf_perf", "wf_perf"))
+    for c in sentiment.COMPONENTS:
+        q[f"component_{c}"] = ((lambda c: lambda s, d: out(sentiment.component(panels.region_days(s, d), c, grid(s, d), spans=SPANS), "date", "value"))(c), _select(f"c_{c}", "date", "value"))
+    q["sentiment_index"] = (lambda s, d: out(index(s, d)), _select("sent", "date, n_components", "volatility, credit, safe_haven, momentum, breadth, composite"))
+    q["sentiment_regimes"] = (lambda s, d: out(sentiment.regimes(index(s, d))), compose(f"select regime, n, {_r('n / sum(n) over ()', 'share')} from (select {_REGIME} as regime, count(*) as n from sent where composite is not null group by 1)", "sent"))
+    q["sentiment_describe"] = (lambda s, d: out(sentiment.describe(index(s, d))), compose(" union all ".join(f"select '{c}' as component, count({c}) as n, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')}, {_r(f'min({c})', 'low')}, {_r(f'max({c})', 'high')} from sent" for c in (*sentiment.COMPONENTS, "composite")), "sent"))
+    q["component_corr"] = (lambda s, d: out(sentiment.correlation(index(s, d))), compose(" union all ".join(f"select '{a}' as a, '{b}' as b, {_r(_corr(f'case when {b} is not null then {a} end', f'case when {a} is not null then {b} end'), 'corr')} from sent" for a in sentiment.COMPONENTS for b in sentiment.COMPONENTS), "sent"))
+    q["predictive_stats"] = (
+        lambda s, d: out(sentiment.predictive_stats(index(s, d), spy(s, d), 21), digits=5),
+        compose(f"select 21 as horizon, n, {_r('slope', 'slope', 5)}, {_r('r2', 'r2', 5)}, {_r('corr', 'corr', 5)}, {_r('lo', 'low_ann', 5)}, {_r('hi', 'high_ann', 5)}, {_r('lo - hi', 'spread_ann', 5)} from (select count(*) as n, regr_slope(fwd, composite) as slope, regr_r2(fwd, composite) as r2, {_corr('composite', 'fwd')} as corr, avg(case when b = 0 then fwd end) * 12 as lo, avg(case when b = top then fwd end) * 12 as hi from (select *, max(b) over () as top from (select composite, fwd, len(list_filter(e[2:6], lambda v: v < round(composite, 12))) as b from fj cross join (select list_sort(list_distinct(list_transform(quantile_cont(composite, [0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda e: round(e, 12)))) as e from fj))))", "fj"),
+    )
+    q["coincident_test"] = (
+        lambda s, d: out(sentiment.coincident(index(s, d), spy(s, d))),
+        compose(f"select {_r(_corr('composite', 'past'), 'trailing_corr')}, {_r(_corr('composite', 'ahead'), 'forward_corr')}, count(*) as n from (select composite, px / nullif(lag(px, 21) over (order by date), 0) - 1 as past, lead(px, 22) over (order by date) / nullif(lead(px, 1) over (order by date), 0) - 1 as ahead from joint) where past is not null and ahead is not null", "joint"),
+    )
+    q["exposure_scaler"] = (lambda s, d: out(studies.sentiment_variants(index(s, d))), _select("scaler", "variant, date", "exposure"))
+    q["timed_market"] = (lambda s, d: out(studies.timed_variants(spy(s, d), index(s, d))), _select("timed", "variant, date", "net"))
+    q["ablation_directional"] = (
+        lambda s, d: out(studies.ablation_directional(spy(s, d), index(s, d))),
+        compose("select variant, " + ", ".join(_r(c, c) for c in ("ann_return", "ann_vol", "sharpe", "max_drawdown", "hit_rate")) + f", {_r('''sharpe - (select sharpe from timed_perf where variant = 'buy and hold')''', 'delta_sharpe')} from timed_perf", "timed_perf"),
+    )
+    q["ablation_neutral"] = (
+        lambda s, d: out(studies.ablation_neutral(combined(s, d), grid(s, d), index(s, d))),
+        compose("select variant, " + ", ".join(_r(c, c) for c in ("ann_return", "ann_vol", "sharpe", "max_drawdown")) + f", {_r('''sharpe - (select sharpe from v_perf where variant = 'no sentiment')''', 'delta_sharpe')} from v_perf", "v_perf"),
+    )
+    q["ablation_folds"] = (lambda s, d: out(studies.ablation_folds(spy(s, d), index(s, d))), None)
+    q["rank_autocorr"] = (
+        lambda s, d: out(studies.rank_autocorrelation(prepared(s, d), (1, 4, 13, 52))),
+        compose(" union all ".join(f"select signal, {k} as lag, {_r('avg(c)', 'rank_autocorr')} from (select signal, date, {_corr('r', 'p')} as c from (select signal, date, case when p is not null then r end as r, case when r is not null then p end as p from (select signal, date, r, lag(r, {k}) over (partition by signal, ticker order by date) as p from rk)) group by 1, 2) group by 1" for k in (1, 4, 13, 52)), "rk"),
+    )
+    q["book_overlap"] = (lambda s, d: out(studies.book_overlap(one(s, d))), compose(f"select weeks, {_r('overlap', 'overlap')} from overlap", "overlap"))
+    q["effective_breadth"] = (
+        lambda s, d: out(studies.effective_breadth(one(s, d)), "n_positions", "overlap", "bets_per_year"),
+        compose(f"select n_positions, {_r('overlap', 'overlap')}, {_r('case when overlap < 1 then (1 - overlap) * n_positions end', 'bets_per_year')} from (select floor(avg(n))::bigint as n_positions from (select count(*) filter (w <> 0) as n from book_rev group by date)) left join (select overlap from overlap where weeks = 52) on true", "book_rev", "overlap"),
+    )
+    q["spanning_factors"] = (
+        lambda s, d: out(studies.spanning_factors(grid(s, d), 13, 5)),
+        compose(f"select date, {_r('avg(ret)', 'market')}, {_r('avg(case when share > 0.9 then ret end) - avg(case when share < 0.5 then ret end)', 'megacap_spread')} from (select date, ret, ({_rank('dv', 'date')}) / count(dv) over (partition by date) as share from (select *, {_mean('close * volume', 13, 5)} as dv from rets)) group by 1", "rets"),
+    )
+    q["spanning_regression"] = (lambda s, d: out(studies.spanning_regression(one(s, d), grid(s, d), 4, 13, 5)), None)
+    q["fold_signs"] = (
+        lambda s, d: out(studies.fold_signs(prepared(s, d), grid(s, d), 5, 4, 4)),
+        compose("select fold::int as fold, signal, case when coalesce(abs(m) < 1e-6, true) then 0.0 else sign(m)::double end as sign from (select fold, x.signal, avg(ic) as m from (select fold, train_end, signal from folds cross join (select distinct signal from prep)) x left join ic on ic.signal = x.signal and ic.horizon = 5 and ic.date <= x.train_end group by 1, 2)", "folds", "prep", "ic"),
+    )
+    q["walkforward_signs"] = (lambda s, d: out(studies.sign_selection(prepared(s, d), grid(s, d), 5, 4, 4)), None)
+    q["diagnostics_coverage"] = (
+        lambda s, d: studies.coverage(grid(s, d)),
+        compose("select tickers, empty_tickers, dates, least, median, most from (select count(*) as tickers, sum((n = 0)::bigint)::bigint as empty_tickers from (select count(close) as n from grid group by ticker)) cross join (select count(*) as dates, min(n) as least, quantile_cont(n, 0.5)::double as median, max(n) as most from (select count(close) as n from grid group by date))", "grid"),
+    )
+    q["diagnostics_sectors"] = (lambda s, d: studies.sector_buckets(grid(s, d), sectors(s, d).where("cast(ticker as int) % 4 <> 0")), compose("select coalesce(sector, '_UNMAPPED') as sector, count(*) as n from (select distinct ticker from grid) left join (select * from sectors where cast(ticker as int) % 4 <> 0) using (ticker) group by 1", "grid", "sectors"))
+    q["diagnostics_neutral_vs_raw"] = (
+        lambda s, d: out(studies.neutral_vs_raw(raw(s, d).where(F.col("signal") != IDIO), grid(s, d), sectors(s, d)), digits=5),
+        compose(f"select a.signal, {_r('a.mean_ic', 'ic_neutral', 5)}, {_r('a.t_stat', 't_neutral', 5)}, {_r('b.mean_ic', 'ic_raw', 5)}, {_r('b.t_stat', 't_raw', 5)}, {_r('100 * (1 - abs(a.mean_ic) / nullif(abs(b.mean_ic), 0))', 'ic_lost_pct', 5)} from summary a join summary_raw b on a.signal = b.signal and a.horizon = b.horizon where a.horizon = 5 and a.signal <> '{IDIO}'", "summary", "summary_raw"),
+    )
+    q["cross_section_size"] = (lambda s, d: studies.cross_section_size(prepared(s, d)), compose("select signal, min(n) as least, quantile_cont(n, 0.5)::double as median, max(n) as most, sum((n < 20)::bigint)::bigint as thin_dates from (select signal, date, count(score) as n from prep group by 1, 2) group by 1", "prep"))
+    q["return_sanity"] = (
+        lambda s, d: out(studies.return_sanity(grid(s, d)).withColumn("ew_ann", F.log1p("ew_ann"))),
+        compose(f"select {_r('median_ret', 'median_ret')}, {_r('std_ret', 'std_ret')}, over_50, over_100, {_r('ln(1 + ew_ann)', 'ew_ann')} from (select quantile_cont(ret, 0.5) as median_ret, stddev_samp(ret) as std_ret, sum((abs(ret) > 0.5)::bigint)::bigint as over_50, sum((abs(ret) > 1.0)::bigint)::bigint as over_100 from rets) cross join (select pow(product(1 + m), 252.0 / count(*)) - 1 as ew_ann from (select coalesce(avg(ret), 0) as m from rets group by date))", "rets"),
+    )
+    q["largest_moves"] = (lambda s, d: out(studies.largest_moves(grid(s, d))), compose(f"select ticker, {_r('max(abs(ret))', 'max_move')} from rets group by 1 having max(abs(ret)) is not null order by max(abs(ret)) desc, ticker limit 8", "rets"))
+    q["lag_sandbox"] = (lambda s, d: out(studies.lag_sandbox(raw(s, d).where(F.col("signal") == REV), grid(s, d), sectors(s, d))), None)
+    q["latest_sentiment"] = (lambda s, d: out(studies.latest_sentiment(index(s, d))), compose(f"select date, {_r('composite', 'composite')}, {_r('(select composite from l where k = 22)', 'month_ago')}, {_REGIME} as regime from l where k = 1", "l"))
+    q["trailing_year"] = (lambda s, d: out(studies.trailing_year(index(s, d)), "date", "composite"), compose(f"select date, {_r('composite', 'composite')} from sent where date >= (select max(date) from sent) - 365", "sent"))
+    q["deflated_sharpe"] = (lambda s, d: s.createDataFrame([(n, *(round(float(bt.deflated_sharpe(n, 0.0, 2952)[k]), 6) for k in ("hurdle", "observed"))) for n in (1, 7, 44, 51)], "trials int, hurdle double, observed double"), None)
+    q["predictive_test"] = (lambda s, d: out(inference.predictive_test(index(s, d), spy(s, d), (5, 21))), None)
+    q["null_calibration"] = (lambda s, d: out(inference.null_calibration(index(s, d), spy(s, d), 21, 60, 63, 1)), None)
+    q["registry_describe"] = (lambda s, d: REGISTRY.describe(s), "select * from (values " + ", ".join(f"('{s.name}', '{s.family}', '{s.rationale}')" for s in REGISTRY.signals) + ") v(name, family, rationale)")
+    q["store_sql_view"] = (_store_sql, compose("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by 1", "bars"))
+    return q
+
+
+def _store_sql(spark: SparkSession, d: str) -> DataFrame:
+    panels.supplier_weeks(spark, d).createOrReplaceTempView("tidemark_bars")
+    return spark.sql("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from tidemark_bars where close is not null group by ticker")
+
+
+CTE["wk"] = ((), f"select cast(l_suppkey as varchar) as ticker, {_WEEK.format('d')} as date, arg_max(close, d) as close from (select l_suppkey, l_shipdate::date as d, sum(round(l_extendedprice * 100)::bigint)::double / (sum(l_quantity) * 100) as close from lineitem where l_shipdate is not null group by 1, 2) group by 1, 2")
+CTE["fj"] = (("joint",), "select * from (select composite, lead(px, 22) over (order by date) / nullif(lead(px, 1) over (order by date), 0) - 1 as fwd from joint) where fwd is not null")
+CTE["rk"] = (("prep",), f"select date, ticker, signal, {_rank('score', 'signal, date')} as r from prep")
+CTE["l"] = (("sent",), "select *, row_number() over (order by date desc) as k from sent where composite is not null")
+
+_QUERIES = _build()
+
+
+def queries():
+    return {n: f for n, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql():
+    return {n: sql for n, (_, sql) in _QUERIES.items() if sql}

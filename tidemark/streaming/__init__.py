@@ -1,0 +1 @@
+"""The research surface is batch only; no streaming operator is offered."""
