@@ -38,8 +38,6 @@ from .hashing import BASES, Hasher
 LENGTH, GRAM = 200, 32
 #: bytes of segments in a bin, and different segments of a key that a bin takes
 BIN_BYTES, MOST = 1 << 20, 4096
-#: a word may have so many bytes; segments with longer ones are taken byte by byte
-LONG_WORD = 100
 #: bytes of spans, and row keys, that are broadcast to the texts at most
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
@@ -115,7 +113,8 @@ def repeated_windows(parts: list[bytes], length: int, gram: int = GRAM) -> list[
 
 
 def _search(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """repeated_windows() by the suffix array of the parts; parts with an overlong word are taken byte by byte, among all others of that kind."""
+    """repeated_windows() by the suffix array of the parts; with a word of more than half a
+    window among them (some windows might hold no word's start) all are taken byte by byte."""
     b = np.frombuffer(b"".join(parts), np.uint8)
     n = np.array([len(p) for p in parts])
     edge = np.r_[0, np.cumsum(n)]
@@ -125,7 +124,7 @@ def _search(parts: list[bytes], length: int) -> list[np.ndarray]:
     begin[edge[:-1]] = True
     starts = np.flatnonzero(begin[:-1])
     ends = np.r_[starts[1:], len(b)]
-    if (ends - starts).max() > LONG_WORD:
+    if (ends - starts).max() > length // 2:
         starts = np.arange(len(b))
         ends = starts + 1
     of = np.searchsorted(edge, starts, "right") - 1
@@ -220,8 +219,6 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     whole = met.where("c > 1").select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
     # different segments under one key: their bytes, one copy of each
     differ = met.where("variants > 1").groupBy("key", "seg", "c", "variants").agg(F.min(F.struct("row", "at", "n")).alias("one"))
-    asked = common.cut(differ.groupBy("one.row").agg(F.collect_list(F.struct("key", "seg", "one.at", "one.n", (F.col("c") == 1).alias("open"), "variants")).alias("asked")))
-    needed = texts.join(F.broadcast(asked.select("row")), "row", "left_semi") if asked.count() <= BROADCAST_ROWS else texts
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,13 +236,17 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
             yield pa.RecordBatch.from_arrays(columns, ["key", "seg", "row", "at", "open", "variants", "bytes"])
         common.trim()
 
-    parts = needed.join(asked, "row").select("row", "text", "asked").mapInArrow(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
+    def fetched(some: DataFrame) -> DataFrame:
+        asked = common.cut(some.groupBy("one.row").agg(F.collect_list(F.struct("key", "seg", "one.at", "one.n", (F.col("c") == 1).alias("open"), "variants")).alias("asked")))
+        needed = texts.join(F.broadcast(asked.select("row")), "row", "left_semi") if asked.count() <= BROADCAST_ROWS else texts
+        return needed.join(asked, "row").select("row", "text", "asked").mapInArrow(fetch, "key long, seg long, row long, at int, open boolean, variants long, bytes binary")
+
     bins = max(1, -(-(total or 0) * 3 * length // 2 // bin_bytes))  # a segment has about 1.4 times the window's bytes
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["key", "seg"], ignore_index=True)
         # keys with an overlong word apart from the others
-        odd = np.array([max(map(len, _SPLIT.split(x))) > LONG_WORD for x in p["bytes"]])
+        odd = np.array([max(map(len, _SPLIT.split(x))) > length // 2 for x in p["bytes"]])
         odd = pd.Series(odd).groupby(p["key"]).transform("any").to_numpy()
         out = []
         for kind in (False, True):
@@ -256,7 +257,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                         out += [(row, at + i, at + j - 1 + length) for i, j in zip(*runs(mask), strict=True)]
         return pd.DataFrame(out, columns=["row", "at", "end"])
 
-    found = parts.where(F.col("variants") <= most).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(search, "row long, at int, end int")
+    found = fetched(differ.where(F.col("variants") <= most)).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(search, "row long, at int, end int")
     spans = found
     if (largest or 0) > most:
 
@@ -271,7 +272,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                     columns = [one.of(i, i + length).view(np.int64), two.of(i, i + length).view(np.int64), np.full(len(i), row), (at + i).astype(np.int32), np.full(len(i), is_open)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "row", "at", "open"])
 
-        every = common.cut(parts.where(F.col("variants") > most).mapInArrow(windows, "h1 long, h2 long, row long, at int, open boolean"))
+        every = common.cut(fetched(differ.where(F.col("variants") > most)).mapInArrow(windows, "h1 long, h2 long, row long, at int, open boolean"))
         twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
         rest = every.where("open").join(twice, ["h1", "h2"]).select("row", "at", (F.col("at") + length).alias("end"))
         spans = spans.unionByName(rest)
