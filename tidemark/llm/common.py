@@ -25,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: rows that go to a Python worker at once; texts may be long, and Spark's default of 10,000 is meant for numbers
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has smaller ones already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def trim() -> None:
     """Give freed memory back at the end of a task: Python workers are kept, beside a heap of Spark's that fills up."""
     import ctypes

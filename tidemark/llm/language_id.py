@@ -175,6 +175,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs + lang_pred, score, rejected, from the whole text alone."""
     names = ("lang_pred", "score", "rejected")
+    common.bound_batches(docs.sparkSession)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -36,7 +36,7 @@ LEAST = 32
 #: expected documents of a block
 BLOCK_DOCS = 512
 #: distinct words whose ids a Python worker remembers before it starts afresh, and bytes of text it takes at once
-WORDS, SLICE = 1_000_000, 4 << 20
+WORDS, SLICE = 1_000_000, 1 << 20
 #: words looked up last that are searched apart, until they are merged with the others
 RECENT = 100_000
 
@@ -167,6 +167,7 @@ def _cut(n: int, capacity: int, least: int) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, block_docs: int = BLOCK_DOCS, rows: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> block, doc_id, start, length, ids_crc32, doc_tokens."""
+    common.bound_batches(docs.sparkSession)
     n = docs.count() if rows is None else rows
     blocks = max(1, -(-n // block_docs))
     kind = dict(docs.dtypes)["doc_id"]

@@ -304,6 +304,7 @@ def merge(spans, size: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bin_bytes: int = BIN_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, removed (array of start, end in bytes), kept (the other bytes)."""
+    common.bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     # rows that agree in id and text share their spans, so they may share the key
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")

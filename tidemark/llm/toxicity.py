@@ -144,6 +144,7 @@ def train(bags: list[np.ndarray], labels: dict[str, np.ndarray], weight: np.ndar
 
 def training_sample(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN) -> pd.DataFrame:
     """bag, the categories and weight of at most max_train rows of labels(doc_id, *categories)."""
+    common.bound_batches(docs.sparkSession)
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
     stratum = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in categories])
     labels = labels.withColumn("stratum", stratum).withColumn("mix", F.xxhash64("doc_id"))
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: in
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """docs + p_<category> and <category> (flagged) for each category of the chain."""
+    common.bound_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
     # only the words some model gives weight to travel, as sorted buckets
     used = np.flatnonzero(np.any([m.words != 0 for m in chain.models], axis=0))

@@ -206,6 +206,7 @@ def _store_text(text: pd.Series) -> pd.DataFrame:
 
 def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """df + n_bytes, media: the text padded to 192-byte blocks, stored as a transport stream. Null text counts as empty."""
+    common.bound_batches(df.sparkSession)
     return df.withColumn("__m", F.pandas_udf(_store_text, "n_bytes long, media binary")(F.col(f"`{text}`"))).withColumns({"n_bytes": F.col("__m.n_bytes"), "media": F.col("__m.media")}).drop("__m")
 
 
