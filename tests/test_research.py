@@ -77,7 +77,8 @@ def test_average_rank_and_spearman_equal_pandas(spark):
     y[rng.random(y.shape) < 0.1] = np.nan
     s = long(spark, [[None if np.isnan(v) else v for v in r] for r in x])
     f = long(spark, [[None if np.isnan(v) else v for v in r] for r in y]).select("date", "ticker", F.lit(1).alias("horizon"), F.col("score").alias("fwd"))
-    got = [r.ic for r in ev.information_coefficient(s, f).orderBy("date").collect()]
+    got = [r.ic for r in ev.information_coefficient(s, f, least=5).orderBy("date").collect()]
+    assert all(r.n >= 20 for r in ev.information_coefficient(s, f).collect())
     a, b = pd.DataFrame(x).rank(axis=1), pd.DataFrame(y).rank(axis=1)
     want = [a.loc[i][b.loc[i].notna()].corr(b.loc[i][a.loc[i].notna()]) for i in range(len(a))]
     assert got == pytest.approx(want, abs=1e-12)

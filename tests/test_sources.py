@@ -39,6 +39,7 @@ def test_store_round_trip(spark, tmp_path):
     assert s.sql("select sum(id) as s from a").first().s == 21
     assert tuple(s.summary().first())[:2] == ("a", 7)
     assert s.export(f"file://{tmp_path}/out", ["a", "b"]) == ["b: missing"]
+    (tmp_path / "store" / "._manifest.json.crc").unlink()
     (tmp_path / "store" / "_manifest.json").write_text("{broken")
     assert s.manifest() == {}
 

@@ -128,6 +128,7 @@ def redundant_pairs(corr: DataFrame, bound: float = 0.8) -> DataFrame:
 
 def league_table(scores: DataFrame, grid: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons, primary: int = 5, lag: int = 1, cost_bps: float = SETTINGS.cost_bps) -> DataFrame:
     """One row per signal with its headline figures, best information ratio first."""
+    scores = scores.persist()  # three statistics read them
     decay = ic_decay(scores, grid, tuple(sorted({*horizons, primary})), lag).where(F.col("horizon") == primary)
     q = quantile_summary(quantile_returns(scores, grid, primary, lag), primary)
     t = turnover(scores).groupBy("signal").agg(F.avg("turnover").alias("turnover"))

@@ -31,11 +31,13 @@ class Store:
         where = self._path(f"{self.root}/_manifest.json")
         if not self._fs.exists(where):
             return {}
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/_manifest.json").collect())
+        stream = self._fs.open(where)
         try:
-            return json.loads(text)
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         except ValueError:
             return {}
+        finally:
+            stream.close()
 
     def _save(self, manifest: dict) -> None:
         out = self._fs.create(self._path(f"{self.root}/_manifest.json"), True)
