@@ -364,3 +364,38 @@ def test_dense_panels(spark):
     assert g.count() == 6 and g.where("close is null").count() == 3
     filled = {(r.ticker, r.date.day): r.close for r in panels.carried_forward(g).collect()}
     assert filled["A", 2] == 1.0 and filled["B", 1] is None and filled["B", 3] == 2.0
+
+
+# --- whole runs ---
+
+
+def test_research_and_sentiment_reports(spark, market, tmp_path):
+    from tidemark.plans import research
+    from tidemark.sources.store import Store
+
+    r = signals.Registry().add(signals.ShortTermReversal(lookback=5)).add(signals.LowVolatility(window=21))
+    got = research.research(signals.Market(market["bars"], market["sectors"], market["membership"]), r)
+    assert got["league"].count() == 2 and got["stats"].count() == 2 and got["walk_forward"].count() >= 3 and got["haircut"].first().trials == 2
+    small = market["bars"].where("ticker < 'STK010'")
+    with pytest.raises(ValueError):
+        research.research(signals.Market(small), r)
+    d = [x[0] for x in market["bars"].select("date").distinct().orderBy("date").collect()]
+    store = Store(spark, f"file://{tmp_path}/store")
+    rep = research.sentiment_report(synthetic.make_proxies(spark, d), market["bars"], store=store, n_sims=50, window=100, least=50)
+    assert rep["verdict"] in ("predictive", "not predictive", "coincident", "inconclusive") and store.exists("sentiment_index")
+    assert research.verdict(4.0, True, 0, 0) == "predictive" and research.verdict(4.0, False, 0, 0) == "not predictive" and research.verdict(1.0, False, 0.9, 0.1) == "coincident"
+    assert research.sign_verdict([1.0, 1.0, 1.0, -1.0]) == "supported" and research.sign_verdict([3.0, -1.0]) == "weak" and research.sign_verdict([]) == "not supported"
+
+
+def test_live_load(spark, tmp_path):
+    from tidemark.plans import research
+    from tidemark.sources.store import Store
+
+    snaps = spark.createDataFrame([(dt.date(2024, 1, 31), "A", "x"), (dt.date(2024, 1, 31), "B", None)], "snapshot_date date, ticker string, sector string")
+
+    def fetch(tickers, start, end):
+        return pd.DataFrame([(x, t, 10.0 + i, 1e6) for t in tickers for i, x in enumerate(pd.bdate_range(start, end))], columns=["date", "ticker", "close", "volume"])
+
+    m = research.load_live(Store(spark, f"file://{tmp_path}/s"), fetch, snaps, spark.createDataFrame([("B", "y")], "ticker string, sector string"), "2024-01-01", "2024-03-01", min_obs=10, least=1, pause=0)
+    assert {r.ticker: r.sector for r in m.sectors.collect()} == {"A": "x", "B": "y"}
+    assert m.membership.select("ticker").distinct().count() == 2 and m.membership.agg(F.min("date")).first()[0] == dt.date(2024, 1, 12)
