@@ -58,3 +58,7 @@ def test_entry_runs(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_sql_is_text():
+    assert all(isinstance(s, str) for s in entry.oracle_sql().values())

@@ -36,7 +36,7 @@ class Settings:
     norm_min: int = 252
     t_hurdle: float = 3.0
     proxies: tuple[str, ...] = ("^VIX", "SPY", "TLT", "HYG", "LQD")
-    data_env: str = "SIGPLAT_DATA_DIR"
+    data_env: str = "TIDEMARK_DATA_DIR"
     extra: dict = field(default_factory=dict)
 
 
