@@ -72,7 +72,7 @@ def brute(url, rules):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 @pytest.mark.parametrize("rules", [uf.RULES, (("allow", "org", "/fr/x/y"), ("block", "b.c.org", "/fr/"), ("block", "h", "/a/a/a/"), ("allow", "h", "/a/a/a/")), ()])
 def test_filters_equal_brute_force(spark, rules, broadcast):
-    pages = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0])], "page_id long, url string").withColumn("Host", F.lit("old")).withColumn("extra", F.lit(1))
+    pages = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0])], "page_id long, url string").withColumn("Host", F.lit("old")).withColumn("expr", F.lit(1)).withColumn("salt", F.lit("x")).withColumn("r_host", F.lit("y"))
     table = spark.createDataFrame(list(rules), "verdict string, host string, path string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in uf.filter_urls(pages, table, broadcast_rules=broadcast).collect())
     assert got == sorted((i, *brute(u, rules)) for i, u in [*enumerate(URLS), (0, URLS[0])])

@@ -139,7 +139,8 @@ def test_word_counts(spark):
 def sources(spark):
     rng = random.Random(5)
     rows = [(i, "w " * rng.randint(1, 40), "hot" if i % 3 else rng.choice(["a", "b", None]), i) for i in range(3000)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, epoch long").persist()
+    clash = {c: F.lit("x") for c in ("tokens", "cut", "s", "spend", "epochs", "unit", "rest")}
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, epoch long").withColumns(clash).persist()
 
 
 def tokens(df):

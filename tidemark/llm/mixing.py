@@ -108,11 +108,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", tokens: Cal
     """docs, each row once an epoch it is in, + epoch, position (its place in the mixture's order), n_tokens."""
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "position", "n_tokens")]
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in kept and not kind.startswith("map")])
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"), tokens(F.col(f"`{text}`")).alias("n_tokens"), row.alias("__row"))
+    # the table's own columns travel as one, so no name of theirs meets one of these
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"), F.col(f"`{source}`").alias("__source"), tokens(F.col(f"`{text}`")).alias("n_tokens"), row.alias("__row"))
     slim = common.cut(base.select(F.col("__source").alias("source"), F.col("n_tokens").alias("tokens"), F.col("__row").alias("row")))
     shares = plan(slim, target_entropy, max_repeats, budget)
     if shares is None:
-        return base.drop("__source", "__row").select(*kept, F.lit(0).alias("epoch"), F.lit(0.0).alias("position"), "n_tokens")
+        return base.select("own.*", F.lit(0).alias("epoch"), F.lit(0.0).alias("position"), "n_tokens")
     shares = common.cut(shares)
     small = shares.count() <= DRIVER_SOURCES
     by_source = F.broadcast(shares) if small else shares
@@ -138,7 +139,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", tokens: Cal
     out = out.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     turns = F.when(F.col("tokens") > 0, F.col("spend") / F.col("tokens")).otherwise(1.0)
     position = (F.col("epoch") + _unit(F.col("__row"), F.col("epoch"), seed)) / turns
-    return out.withColumn("position", position).select(*[F.col(f"`{c}`") for c in kept], "epoch", "position", "n_tokens")
+    return out.withColumn("position", position).select("own.*", "epoch", "position", "n_tokens")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,8 @@ def demux(stream: bytes | None) -> dict | None:
         random = (q[:, 3] & 0x20 > 0) & (q[:, 4] > 0) & (q[:, 5] & 0x40 > 0)
         begins = np.flatnonzero(q[:, 1] & 0x40)
         for a, b in zip(begins, [*begins[1:], len(q)], strict=True):
-            part = q[a:b]
-            keep = np.arange(PACKET)[None, :] >= start[a:b, None]
-            pes = part[keep & has[a:b, None]].tobytes() if (start[a:b] != 4).sum() > 2 else b"".join([part[0, start[a] :].tobytes(), part[1:-1, 4:].tobytes() if start[a + 1 : b - 1].max(initial=4) == 4 else part[1:-1][keep[1:-1]].tobytes(), part[-1, start[b - 1] :].tobytes() if b - a > 1 else b""])
+            # payload bytes: those behind each packet's header and adaptation field
+            pes = q[a:b][(np.arange(PACKET) >= start[a:b, None]) & has[a:b, None]].tobytes()
             if pes[:3] != b"\0\0\1" or len(pes) < 9:
                 errors.append("pes")
                 continue

@@ -59,11 +59,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
     clash = {"host", "path", "rule", "verdict"}
     kept = [c for c in pages.columns if c.lower() not in clash]
-    base = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{url}`").alias("__url"))
+    # the table's own columns travel as one, so no name of theirs meets one of these
+    base = pages.select(F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in kept]).alias("own"), F.col(f"`{url}`").alias("__url"))
     host, path = split_url(F.col("__url"))
     base = base.withColumns({"host": host, "path": path}).drop("__url").withColumn("__row", F.monotonically_increasing_id())
     if not n:
-        return base.drop("__row").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return base.select("own.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")).drop("__")
 
     # suffixes of the host and slash-ended prefixes of the path, no deeper than any rule's
     parts = F.split("host", "\\.")
@@ -83,9 +84,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     # one row per URL again; its expressions lie side by side, so most of this is done before the shuffle
     order = F.when(F.col("r_rank").isNotNull(), F.struct("r_rank", F.col("r_verdict") == "block", "r_host", "r_path"))
     best = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order)
-    row = F.first(F.struct(*[F.col(f"`{c}`") for c in kept], "host", "path"))
+    row = F.first(F.struct("own", "host", "path"))
     out = met.groupBy("__row").agg(row.alias("row"), best.alias("won"))
-    return out.select("row.*", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    return out.select("row.own.*", "row.host", "row.path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")).drop("__")
 
 
 def given_rules(spark: SparkSession) -> DataFrame:
