@@ -399,3 +399,13 @@ def test_live_load(spark, tmp_path):
     m = research.load_live(Store(spark, f"file://{tmp_path}/s"), fetch, snaps, spark.createDataFrame([("B", "y")], "ticker string, sector string"), "2024-01-01", "2024-03-01", min_obs=10, least=1, pause=0)
     assert {r.ticker: r.sector for r in m.sectors.collect()} == {"A": "x", "B": "y"}
     assert m.membership.select("ticker").distinct().count() == 2 and m.membership.agg(F.min("date")).first()[0] == dt.date(2024, 1, 12)
+
+
+def test_sparse_scores_are_filled(spark):
+    g = panel(spark, {f"T{i:02d}": [100.0 + i + d for d in range(15)] for i in range(20)})
+    s = prices.returns(g).select("date", "ticker", F.col("close").alias("score"))
+    sparse = s.where("not (ticker = 'T19' and date > '2024-01-05')")
+    a = bt.backtest(sparse, g, dense=False, least=10).orderBy("date").collect()
+    null = s.withColumn("score", F.when(F.expr("not (ticker = 'T19' and date > '2024-01-05')"), F.col("score")))
+    b = bt.backtest(null, g, least=10).orderBy("date").collect()
+    assert [r.net for r in a] == pytest.approx([r.net for r in b])

@@ -70,9 +70,14 @@ def equity(returns: DataFrame, value: str = "net") -> DataFrame:
     return x.withColumn("drawdown", F.try_divide(F.col("equity"), F.max("equity").over(w)) - 1)
 
 
-def backtest(scores: DataFrame, grid: DataFrame, top: float = 0.2, bottom: float = 0.2, cost_bps: float = SETTINGS.cost_bps, lag: int = SETTINGS.execution_lag, scaler: DataFrame | None = None, least: int = SETTINGS.min_names) -> DataFrame:
-    """Weekly rebalanced long-short backtest: date, gross, cost, net, equity, drawdown."""
-    book = positions(filled(weekly(scores)), top, bottom, least=least)
+def backtest(scores: DataFrame, grid: DataFrame, top: float = 0.2, bottom: float = 0.2, cost_bps: float = SETTINGS.cost_bps, lag: int = SETTINGS.execution_lag, scaler: DataFrame | None = None, least: int = SETTINGS.min_names, dense: bool = True) -> DataFrame:
+    """Weekly rebalanced long-short backtest: date, gross, cost, net, equity, drawdown.
+
+    dense: the scores have a row for every name on every date, as combine() of panel scores gives; else
+    rows are filled in, so that a name without a score leaves the book.
+    """
+    sampled = weekly(scores)
+    book = positions(sampled if dense else filled(sampled), top, bottom, least=least)
     if scaler is not None:
         book = scaled(book, scaler)
     return equity(pnl(book, grid, lag, cost_bps))
@@ -121,13 +126,13 @@ def walk_forward(scores: DataFrame, grid: DataFrame, k: int = 4, embargo: int =
     """performance() of each fold's backtest, all folds in one job.
 
     Scores are those of the fold's test dates; prices run from its start to the end of the sample (as the
-    research protocol has it), or to the fold's end if bounded.
+    research protocol has it), or to the fold's end if bounded. Scores have a row for every name and date.
     """
     folds = F.broadcast(walk_forward_splits(grid, k, embargo).select("fold", "test_start", "test_end"))
     s = scores.join(folds, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold", "date", "ticker", "score")
     until = F.col("date") <= F.col("test_end") if bounded else F.lit(True)
     g = grid.join(folds, (F.col("date") >= F.col("test_start")) & until).drop("test_start", "test_end")
-    book = positions(filled(weekly(s)), kw.pop("top", 0.2), kw.pop("bottom", 0.2), least=kw.pop("least", SETTINGS.min_names))
+    book = positions(weekly(s), kw.pop("top", 0.2), kw.pop("bottom", 0.2), least=kw.pop("least", SETTINGS.min_names))
     lag, cost = kw.pop("lag", SETTINGS.execution_lag), kw.pop("cost_bps", SETTINGS.cost_bps)
     r = returns_by_fold(g)
     x = r.join(book, ["fold", "date", "ticker"], "left")

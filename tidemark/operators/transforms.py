@@ -42,18 +42,16 @@ def rank_share(df: DataFrame) -> DataFrame:
 def sector_neutralize(df: DataFrame, sectors: DataFrame | None) -> DataFrame:
     """Scores less their sector's mean of the date.
 
-    Names without a sector share one; a sector with a single name in the panel's ticker list (not on the
-    date) is left alone. Without sectors nothing changes.
+    Names without a sector share one; a sector with a single name in the panel is left alone. The table
+    has a row for every name on every date, as panels and signals give (missing scores are null), so the
+    rows of a sector on a date are its names in the panel. Without sectors nothing changes.
     """
     if sectors is None or sectors.limit(1).count() == 0:
         return df
-    names = df.select("ticker").distinct().join(sectors.select("ticker", "sector").dropDuplicates(["ticker"]), "ticker", "left")
-    names = names.withColumn("__sector", F.coalesce("sector", F.lit("_UNMAPPED"))).drop("sector")
-    sizes = names.groupBy("__sector").agg((F.count("*") >= 2).alias("__shared"))
-    names = names.join(sizes, "__sector")  # one row a ticker, a dimension that AQE broadcasts while it is small
-    joined = df.join(names, "ticker")
-    mean = F.avg("score").over(Window.partitionBy(*_keys(df), "date", "__sector"))
-    return joined.withColumn("score", F.when(F.col("__shared"), F.col("score") - mean).otherwise(F.col("score"))).select(*df.columns)
+    names = sectors.select("ticker", F.col("sector").alias("__sector")).dropDuplicates(["ticker"])
+    joined = df.join(names, "ticker", "left").withColumn("__sector", F.coalesce("__sector", F.lit("_UNMAPPED")))
+    w = Window.partitionBy(*_keys(df), "date", "__sector")
+    return joined.withColumn("score", F.when(F.count(F.lit(1)).over(w) >= 2, F.col("score") - F.avg("score").over(w)).otherwise(F.col("score"))).select(*df.columns)
 
 
 def prepare(df: DataFrame, sectors: DataFrame | None = None, neutralize: bool = True, method: str = "zscore", limits: tuple[float, float] = SETTINGS.winsor) -> DataFrame:

@@ -48,7 +48,7 @@ def spanning_factors(grid: DataFrame, window: int = 63, least: int = 20) -> Data
 
 def spanning_regression(scores: DataFrame, grid: DataFrame, lags: int = 21, window: int = 63, least: int = 20) -> DataFrame:
     """Terms of the regression of a signal's gross book return on the factors."""
-    book = bt.positions(bt.filled(transforms.weekly(scores)))
+    book = bt.positions(transforms.weekly(scores))
     rows = bt.pnl(book, grid, cost_bps=0).select("date", F.col("gross").alias("pnl")).join(spanning_factors(grid, window, least), "date")
     return inference.regression(rows, "pnl", ["market", "megacap_spread"], lags)
 
@@ -86,7 +86,7 @@ def sign_selection(scores: DataFrame, grid: DataFrame, horizon: int = 5, k: int
     test = scores.join(folds.select("fold", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end")))
     x = test.join(F.broadcast(variants), ["fold", "signal"]).withColumn("w", F.when(F.col("score").isNotNull(), F.col("w")))
     comp = x.groupBy("fold", "variant", "date", "ticker").agg(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum(F.abs("w"))).alias("score"))
-    book = bt.positions(bt.filled(transforms.weekly(comp)), least=least).persist()
+    book = bt.positions(transforms.weekly(comp), least=least).persist()
     # returns of the whole panel; weights start inside the fold's test dates
     r = prices.returns(grid).select("date", "ticker", "ret").join(folds.select("fold", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end")))
     r = r.crossJoin(F.broadcast(book.select("variant").distinct()))
@@ -110,7 +110,7 @@ def sentiment_variants(composite_index: DataFrame) -> DataFrame:
 def ablation_neutral(scores: DataFrame, grid: DataFrame, composite_index: DataFrame) -> DataFrame:
     """variant, figures and Sharpe less the unscaled one's, of the market-neutral book with and without sentiment scaling."""
     # one book for three variants: kept while they are built, else its whole lineage runs once for each
-    book = bt.positions(bt.filled(transforms.weekly(scores))).persist()
+    book = bt.positions(transforms.weekly(scores)).persist()
     scalers = sentiment_variants(composite_index).persist()
     books = book.withColumn("variant", F.lit("no sentiment"))
     for v in ("contrarian", "momentum"):
