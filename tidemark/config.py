@@ -13,7 +13,7 @@ SECTOR_ETFS = (
     ("XLE", "Energy", "1998-12-22"),
     ("XLF", "Financials", "1998-12-22"),
     ("XLI", "Industrials", "1998-12-22"),
-    ("XLK", "Information Technology", "1998-12-22"),
+    ("XLK", "Technology", "1998-12-22"),
     ("XLP", "Consumer Staples", "1998-12-22"),
     ("XLRE", "Real Estate", "2015-10-08"),
     ("XLU", "Utilities", "1998-12-22"),
