@@ -136,6 +136,18 @@ def test_formats_and_links(replaced):
             assert len(new) == len(old)
 
 
+def test_credentials_in_any_case_and_whole(spark):
+    key = "aB3" * 100
+    old = ['TOKEN = "9233A8EC1B2C3D4E"', "PASSWORD=hunterhunter", "Api_Key: abcdefgh-ijkl", "Secret=QWERTYUIOP", f"token={key} end", f"API-KEY: {key}"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    new = [(r.text, r.n_replaced) for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    for a, (b, n) in zip(old, new, strict=True):
+        value = max(re.findall(r"[A-Za-z0-9_+/-]+", a), key=len)
+        at = a.index(value)
+        assert n == 1 and len(a) == len(b) and b[:at] == a[:at] and b[at + len(value) :] == a[at + len(value) :] and b != a
+    assert all(b[k : k + 60] != a[k : k + 60] for a, (b, _) in zip(old[4:], new[4:], strict=True) for k in range(10, 240, 20))
+
+
 def test_networks_are_permutations(spark):
     g = spark.range(320 * 230).selectExpr("id div 230 a", "id % 230 b").where("a < 319 and b < 229")
     s = g.select(pii.feistel(F.col("a"), F.col("b"), F.lit(319), F.lit(229), "k", "t", F.lit("")).alias("s")).select("s.*")

@@ -15,7 +15,7 @@ Kinds and their validation (fixed values):
   ipv4        four octets up to 255
   iban        two letters, two check digits, 11 to 30 characters, mod 97 = 1
   date        yyyy-mm-dd, yyyy/mm/dd or dd.mm.yyyy of a real day, 1900 to 2099
-  credential  AKIA key ids; values of password, passwd, secret, token, api_key, api-key and apikey
+  credential  AKIA key ids; whole values of password, passwd, secret, token, api_key, api-key and apikey, in any case
 
 Defined cases: null text stays null with 0 replacements; empty texts and texts without personal data
 come back unchanged; what fails its validation is left alone. A value of few symbols may map to
@@ -39,10 +39,10 @@ SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 PHONE = r"(?<![\p{L}\p{N}+(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}+-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}-])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![\p{L}\p{N}])"
-CREDENTIAL = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=(?:password|passwd|secret|token|api_key|api-key|apikey) ?[=:] ?\"?)[A-Za-z0-9_+/-]{8,128}"
+CREDENTIAL = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=(?i:password|passwd|secret|token|api_key|api-key|apikey) ?[=:] ?\"?)[A-Za-z0-9_+/-]{8,}"
 ANY = "|".join([EMAIL, CREDENTIAL, IPV4, DATE, SSN, PHONE, IBAN, CARD])
 #: whatever has none of these has no personal data of the kinds above
-HINT = r"[0-9@]|password|passwd|secret|token|api[_-]?key"
+HINT = r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 DAYS = 73049  # 1900-01-01 to 2099-12-31: 319 x 229
