@@ -133,6 +133,13 @@ def test_components_of_odd_rows(spark):
     assert jj.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_equal_ids_with_different_texts(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(7, x), (7, y), (1, x + " tail"), (2, y + " tail"), (7, "some other text of its own")]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (7, 200), (300, 301), (301, 302), (None, 1)]
     got = {r.node: r.comp for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

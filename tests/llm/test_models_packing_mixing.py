@@ -213,4 +213,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert cp.packed(spark, mixed, SF).count() > 0
 
 
+def test_near_duplicates_by_id_and_text(spark):
+    import corpus_pipeline as cp
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(7, x, "a"), (7, y, "b"), (1, x + " tail", "a"), (9, z, "a"), (9, z, "a"), (None, z + " end", "b"), (None, "alone without an id here", "a"), (None, "alone without an id here", "b"), (4, "one", "a"), (4, "two", "b"), (None, "", "a"), (None, None, "b"), (None, " ", "c")]
+    got = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    want = [(1, x + " tail"), (7, y), (9, z), (None, "alone without an id here"), (4, "one"), (4, "two"), (None, ""), (None, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
