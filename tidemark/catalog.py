@@ -75,10 +75,10 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Current members (suppliers of even number) and a change log from large orders' suppliers."""
+    """Current members (suppliers of even number): an order of even number adds its lines' suppliers, another one removes them."""
     s = panels.read(spark, d, "supplier")
     current = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("ticker"))
-    rows = panels.read(spark, d, "lineitem").where("l_quantity >= 50 and l_linenumber = 1 and l_orderkey % 7 = 0").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 2).alias("side"))
+    rows = panels.read(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 2).alias("side"))
     name = F.col("k").cast("string")
     return current, rows.select("date", F.when(F.col("side") == 0, name).alias("added"), F.when(F.col("side") == 1, name).alias("removed")).distinct()
 
@@ -331,7 +331,7 @@ _book_scaled()
 # universe
 CTE["snaps"] = (("bars",), "select distinct q as snapshot_date, ticker from (select ticker, date, last_day((date_trunc('quarter', date) + interval 2 month)::date) as q from bars) where date_trunc('month', date) = date_trunc('month', q)")
 CTE["members"] = (("snaps", "dates"), "select date, ticker from (select d.date, coalesce(max(case when s.snapshot_date <= d.date then s.snapshot_date end), min(s.snapshot_date)) as snapshot_date from dates d cross join (select distinct snapshot_date from snaps) s group by 1) join snaps using (snapshot_date)")
-CTE["log"] = ((), "select distinct l_shipdate::date as date, case when l_orderkey % 2 = 0 then cast(l_suppkey as varchar) end as added, case when l_orderkey % 2 = 1 then cast(l_suppkey as varchar) end as removed from lineitem where l_quantity >= 50 and l_linenumber = 1 and l_orderkey % 7 = 0 and l_shipdate is not null")
+CTE["log"] = ((), "select distinct l_shipdate::date as date, case when l_orderkey % 2 = 0 then cast(l_suppkey as varchar) end as added, case when l_orderkey % 2 = 1 then cast(l_suppkey as varchar) end as removed from lineitem where l_shipdate is not null")
 CTE["events_"] = (("log",), "select ticker, date, max(was) as was from (select added as ticker, date, 0 as was from log where added is not null union all select removed, date, 1 from log where removed is not null) group by 1, 2")
 CTE["everyone"] = (("events_",), "select cast(s_suppkey as varchar) as ticker, (s_suppkey % 2 = 0)::int as now from supplier union select ticker, 0 from events_ where ticker not in (select cast(s_suppkey as varchar) from supplier)")
 CTE["longs"] = (("book_rev",), "select date, list(ticker) as names, row_number() over (order by date) as i from book_rev where w > 0 group by 1")
