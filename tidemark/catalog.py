@@ -421,7 +421,7 @@ def _build() -> dict[str, tuple]:
     q["zscore"] = (lambda s, d: out(transforms.zscore(transforms.winsorize(raw(s, d))), "date", "ticker", "signal", "score"), _select("raw_z", "date, ticker, signal", "score"))
     q["rank_share"] = (lambda s, d: out(transforms.rank_share(raw(s, d)), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(f'({_rank('score', 'signal, date')}) / count(score) over (partition by signal, date)', 'score')} from raw", "raw"))
     q["rank_normalize"] = (lambda s, d: out(transforms.rank_normalize(raw(s, d)), "date", "ticker", "signal", "score"), None)
-    q["sector_neutralize"] = (lambda s, d: out(damped(transforms.sector_neutralize(transforms.winsorize(raw(s, d)), sectors(s, d))).where(F.col("signal") != IDIO), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_n where signal <> '{IDIO}'", "prep_n"))
+    q["sector_neutralize"] = (lambda s, d: out(damped(transforms.sector_neutralize(transforms.winsorize(raw(s, d)), sectors(s, d))), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_n", "prep_n"))
     q["prepare"] = (lambda s, d: out(prepared(s, d), "date", "ticker", "signal", "score"), _select("prep", "date, ticker, signal", "score"))
     q["rebalance_sample"] = (
         lambda s, d: out(transforms.weekly(panels.dense(panels.bars(panels.read(s, d, "lineitem"), F.col("l_suppkey"), F.col("l_shipdate").cast("date"))), "close"), "date", "ticker", "close"),
@@ -512,8 +512,8 @@ def _build() -> dict[str, tuple]:
     )
     q["diagnostics_sectors"] = (lambda s, d: studies.sector_buckets(grid(s, d), sectors(s, d).where("cast(ticker as int) % 4 <> 0")), compose("select coalesce(sector, '_UNMAPPED') as sector, count(*) as n from (select distinct ticker from grid) left join (select * from sectors where cast(ticker as int) % 4 <> 0) using (ticker) group by 1", "grid", "sectors"))
     q["diagnostics_neutral_vs_raw"] = (
-        lambda s, d: out(studies.neutral_vs_raw(raw(s, d).where(F.col("signal") != IDIO), grid(s, d), sectors(s, d)), digits=5),
-        compose(f"select a.signal, {_r('a.mean_ic', 'ic_neutral', 5)}, {_r('a.t_stat', 't_neutral', 5)}, {_r('b.mean_ic', 'ic_raw', 5)}, {_r('b.t_stat', 't_raw', 5)}, {_r('100 * (1 - abs(a.mean_ic) / nullif(abs(b.mean_ic), 0))', 'ic_lost_pct', 5)} from summary a join summary_raw b on a.signal = b.signal and a.horizon = b.horizon where a.horizon = 5 and a.signal <> '{IDIO}'", "summary", "summary_raw"),
+        lambda s, d: out(studies.neutral_vs_raw(raw(s, d), grid(s, d), sectors(s, d)), digits=5),
+        compose(f"select a.signal, {_r('a.mean_ic', 'ic_neutral', 5)}, {_r('a.t_stat', 't_neutral', 5)}, {_r('b.mean_ic', 'ic_raw', 5)}, {_r('b.t_stat', 't_raw', 5)}, {_r('100 * (1 - abs(a.mean_ic) / nullif(abs(b.mean_ic), 0))', 'ic_lost_pct', 5)} from summary a join summary_raw b on a.signal = b.signal and a.horizon = b.horizon where a.horizon = 5", "summary", "summary_raw"),
     )
     q["cross_section_size"] = (lambda s, d: studies.cross_section_size(prepared(s, d)), compose("select signal, min(n) as least, quantile_cont(n, 0.5)::double as median, max(n) as most, sum((n < 20)::bigint)::bigint as thin_dates from (select signal, date, count(score) as n from prep group by 1, 2) group by 1", "prep"))
     q["return_sanity"] = (
