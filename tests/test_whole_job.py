@@ -31,3 +31,8 @@ def test_neutral_scores_of_all_signals(spark, duck):  # noqa: F811
         g = got[r["signal"]]
         assert all(g[c] == r[c] for c in ("ic_neutral", "t_neutral", "ic_raw", "t_raw"))
         assert abs(g["ic_lost_pct"] - r["ic_lost_pct"]) <= 1e-4 * abs(r["ic_lost_pct"])
+
+
+def test_null_has_all_simulations(spark):
+    row = catalog.queries()["null_calibration"](spark, SF).first()
+    assert row.n_sims == 500 and row.null_p05 < row.null_p95 < row.null_p99 and row.significant == (row.p_value < 0.05)

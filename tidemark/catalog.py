@@ -526,7 +526,7 @@ def _build() -> dict[str, tuple]:
     q["trailing_year"] = (lambda s, d: out(studies.trailing_year(index(s, d)), "date", "composite"), compose(f"select date, {_r('composite', 'composite')} from sent where date >= (select max(date) from sent) - 365", "sent"))
     q["deflated_sharpe"] = (lambda s, d: s.createDataFrame([(n, *(round(float(bt.deflated_sharpe(n, 0.0, 2952)[k]), 6) for k in ("hurdle", "observed"))) for n in (1, 7, 44, 51)], "trials int, hurdle double, observed double"), None)
     q["predictive_test"] = (lambda s, d: out(inference.predictive_test(index(s, d), spy(s, d), (5, 21))), None)
-    q["null_calibration"] = (lambda s, d: out(inference.null_calibration(index(s, d), spy(s, d), 21, 60, 63, 1)), None)
+    q["null_calibration"] = (lambda s, d: out(inference.null_calibration(index(s, d), spy(s, d), 63, 500, 63, 1)), None)
     q["registry_describe"] = (lambda s, d: REGISTRY.describe(s), "select * from (values " + ", ".join(f"('{s.name}', '{s.family}', '{s.rationale}')" for s in REGISTRY.signals) + ") v(name, family, rationale)")
     q["store_sql_view"] = (_store_sql, compose("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by 1", "bars"))
     return q
