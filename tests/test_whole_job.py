@@ -36,3 +36,14 @@ def test_neutral_scores_of_all_signals(spark, duck):  # noqa: F811
 def test_null_has_all_simulations(spark):
     row = catalog.queries()["null_calibration"](spark, SF).first()
     assert row.n_sims == 500 and row.null_p05 < row.null_p95 < row.null_p99 and row.significant == (row.p_value < 0.05)
+
+
+def test_all_horizons(spark, duck):  # noqa: F811
+    assert {(r["signal"], r["horizon"]) for r in same(spark, duck, "ic_decay")} == {(s, h) for s in catalog.NAMES for h in (1, 5, 21, 63)}
+    assert {"t_1", "t_5", "t_21", "t_63"} <= set(same(spark, duck, "horizon_sweep")[0])
+    assert same(spark, duck, "significance")[0]["trials"] == 28
+    same(spark, duck, "strongest_cell")
+
+
+def test_predictive_horizons(spark):
+    assert sorted(r.horizon for r in catalog.queries()["predictive_test"](spark, SF).collect()) == [5, 21, 63]

@@ -29,7 +29,8 @@ WEEKLY = {
 REGISTRY = signals.default_registry(**WEEKLY)
 NAMES = [s.name for s in REGISTRY.signals]
 MOM, REV, VOL, TREND, LIQ, IDIO, SHOCK = NAMES
-HORIZONS = (1, 5)
+#: bars ahead: the reference's numbers of days, here of weeks
+HORIZONS = (1, 5, 21, 63)
 SPANS = {"breadth": 40}
 
 
@@ -440,7 +441,7 @@ def _build() -> dict[str, tuple]:
     q["ic_pearson"] = (lambda s, d: out(ev.information_coefficient(one(s, d), prices.forward_returns(grid(s, d), HORIZONS), "pearson")), _select("ic_rev_p", "date, signal, horizon, n", "ic"))
     q["ic_decay"] = (lambda s, d: out(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS)), _select("summary", "signal, horizon, n", "mean_ic, ic_std, t_stat, ic_ir, hit_rate"))
     q["ic_summary_p"] = (lambda s, d: out(ev.with_p(ev.ic_decay(one(s, d), grid(s, d), HORIZONS))), None)
-    q["horizon_sweep"] = (lambda s, d: out(ev.horizon_sweep(prepared(s, d), grid(s, d), HORIZONS)), compose(f"select signal, {_r('max(case when horizon = 1 then t_stat end)', 't_1')}, {_r('max(case when horizon = 5 then t_stat end)', 't_5')} from summary group by 1", "summary"))
+    q["horizon_sweep"] = (lambda s, d: out(ev.horizon_sweep(prepared(s, d), grid(s, d), HORIZONS)), compose("select signal, " + ", ".join(_r(f"max(case when horizon = {h} then t_stat end)", f"t_{h}") for h in HORIZONS) + " from summary group by 1", "summary"))
     q["significance"] = (lambda s, d: out(studies.significance(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select sum((abs(t_stat) > 3)::bigint)::bigint as passing, count(t_stat) as trials, {_r('max(abs(t_stat))', 'max_abs_t')} from summary", "summary"))
     q["strongest_cell"] = (lambda s, d: out(ev.strongest(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select signal, horizon, {_r('t_stat', 't_stat')}, survivors from (select *, sum((abs(t_stat) > 3)::bigint) over ()::bigint as survivors from summary) order by abs(t_stat) desc limit 1", "summary"))
     q["quantile_returns"] = (lambda s, d: out(ev.quantile_returns(prepared(s, d), grid(s, d), 5)), _select("qret", "date, signal", "q1, q2, q3, q4, q5, spread"))
@@ -525,7 +526,7 @@ def _build() -> dict[str, tuple]:
     q["latest_sentiment"] = (lambda s, d: out(studies.latest_sentiment(index(s, d))), compose(f"select date, {_r('composite', 'composite')}, {_r('(select composite from l where k = 22)', 'month_ago')}, {_REGIME} as regime from l where k = 1", "l"))
     q["trailing_year"] = (lambda s, d: out(studies.trailing_year(index(s, d)), "date", "composite"), compose(f"select date, {_r('composite', 'composite')} from sent where date >= (select max(date) from sent) - 365", "sent"))
     q["deflated_sharpe"] = (lambda s, d: s.createDataFrame([(n, *(round(float(bt.deflated_sharpe(n, 0.0, 2952)[k]), 6) for k in ("hurdle", "observed"))) for n in (1, 7, 44, 51)], "trials int, hurdle double, observed double"), None)
-    q["predictive_test"] = (lambda s, d: out(inference.predictive_test(index(s, d), spy(s, d), (5, 21))), None)
+    q["predictive_test"] = (lambda s, d: out(inference.predictive_test(index(s, d), spy(s, d), (5, 21, 63))), None)
     q["null_calibration"] = (lambda s, d: out(inference.null_calibration(index(s, d), spy(s, d), 63, 500, 63, 1)), None)
     q["registry_describe"] = (lambda s, d: REGISTRY.describe(s), "select * from (values " + ", ".join(f"('{s.name}', '{s.family}', '{s.rationale}')" for s in REGISTRY.signals) + ") v(name, family, rationale)")
     q["store_sql_view"] = (_store_sql, compose("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by 1", "bars"))
