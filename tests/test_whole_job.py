@@ -2,6 +2,8 @@
 
 from tests.test_oracle import SF, _key, _plain, duck  # noqa: F401
 from tidemark import catalog
+from tidemark.operators import universe
+from tidemark.plans import studies
 
 
 def same(spark, duck, name):
@@ -47,3 +49,20 @@ def test_all_horizons(spark, duck):  # noqa: F811
 
 def test_predictive_horizons(spark):
     assert sorted(r.horizon for r in catalog.queries()["predictive_test"](spark, SF).collect()) == [5, 21, 63]
+
+
+def test_whole_sector_map(spark, duck):  # noqa: F811
+    assert [r["coverage"] for r in same(spark, duck, "sector_coverage")] == [1.0]
+    assert "_UNMAPPED" not in {r["sector"] for r in same(spark, duck, "diagnostics_sectors")}
+    assert not any(r["sector"].startswith("N") for r in same(spark, duck, "sector_map_priority"))
+
+
+def test_missing_labels(spark):
+    grid = spark.createDataFrame([("2024-01-05", t, 1.0) for t in "ABCD"], "date string, ticker string, close double")
+    first = spark.createDataFrame([("A", "X"), ("B", " "), ("C", "Y")], "ticker string, sector string")
+    second = spark.createDataFrame([("A", "Z"), ("B", "Z"), ("D", "")], "ticker string, sector string")
+    whole = universe.sector_map(first, second)
+    assert {r.ticker: r.sector for r in whole.collect()} == {"A": "X", "B": "Z", "C": "Y"}
+    row = universe.sector_coverage(grid, whole).first()
+    assert row.coverage == 0.75 and row.warn
+    assert {r.sector: r.n for r in studies.sector_buckets(grid, whole).collect()} == {"X": 1, "Y": 1, "Z": 1, "_UNMAPPED": 1}

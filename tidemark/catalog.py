@@ -403,12 +403,12 @@ def _build() -> dict[str, tuple]:
         r"select min(seq) as seq, ticker from (select p_partkey as seq, upper(trim(replace(upper(substr(p_name, 1, 4)) || '.' || cast(p_size as varchar), '.', '-'))) as ticker from part) where regexp_matches(ticker, '^[A-Z][A-Z0-9\-]{0,6}$') group by ticker",
     )
     q["sector_map_priority"] = (
-        lambda s, d: universe.sector_map(sectors(s, d).where("cast(ticker as int) % 3 = 0"), panels.read(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))).otherwise(F.lit(" ")).alias("sector"))),
-        compose("select ticker, arg_min(sector, k) as sector from (select ticker, sector, 0 as k from sectors where cast(ticker as int) % 3 = 0 union all select cast(s_suppkey as varchar), case when s_suppkey % 5 <> 0 then 'N' || cast(s_nationkey as varchar) else ' ' end, 1 from supplier) where trim(sector) <> '' group by 1", "sectors"),
+        lambda s, d: universe.sector_map(sectors(s, d), panels.read(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))).otherwise(F.lit(" ")).alias("sector"))),
+        compose("select ticker, arg_min(sector, k) as sector from (select ticker, sector, 0 as k from sectors union all select cast(s_suppkey as varchar), case when s_suppkey % 5 <> 0 then 'N' || cast(s_nationkey as varchar) else ' ' end, 1 from supplier) where trim(sector) <> '' group by 1", "sectors"),
     )
     q["sector_coverage"] = (
-        lambda s, d: out(universe.sector_coverage(grid(s, d), sectors(s, d).where("cast(ticker as int) % 4 <> 0"))),
-        compose(f"select {_r('avg((s.sector is not null)::int)', 'coverage')}, avg((s.sector is not null)::int) < 0.9 as warn from (select distinct ticker from grid) t left join (select * from sectors where cast(ticker as int) % 4 <> 0) s using (ticker)", "grid", "sectors"),
+        lambda s, d: out(universe.sector_coverage(grid(s, d), sectors(s, d))),
+        compose(f"select {_r('avg((s.sector is not null)::int)', 'coverage')}, avg((s.sector is not null)::int) < 0.9 as warn from (select distinct ticker from grid) t left join sectors s using (ticker)", "grid", "sectors"),
     )
     short = ("momentum", "reversal", "lowvol", "trend", "liquidity", "idio_momentum", "volume_shock")
     for k, (n, sig) in enumerate(zip(short, REGISTRY.signals, strict=True)):
@@ -511,7 +511,7 @@ def _build() -> dict[str, tuple]:
         lambda s, d: studies.coverage(grid(s, d)),
         compose("select tickers, empty_tickers, dates, least, median, most from (select count(*) as tickers, sum((n = 0)::bigint)::bigint as empty_tickers from (select count(close) as n from grid group by ticker)) cross join (select count(*) as dates, min(n) as least, quantile_cont(n, 0.5)::double as median, max(n) as most from (select count(close) as n from grid group by date))", "grid"),
     )
-    q["diagnostics_sectors"] = (lambda s, d: studies.sector_buckets(grid(s, d), sectors(s, d).where("cast(ticker as int) % 4 <> 0")), compose("select coalesce(sector, '_UNMAPPED') as sector, count(*) as n from (select distinct ticker from grid) left join (select * from sectors where cast(ticker as int) % 4 <> 0) using (ticker) group by 1", "grid", "sectors"))
+    q["diagnostics_sectors"] = (lambda s, d: studies.sector_buckets(grid(s, d), sectors(s, d)), compose("select coalesce(sector, '_UNMAPPED') as sector, count(*) as n from (select distinct ticker from grid) left join sectors using (ticker) group by 1", "grid", "sectors"))
     q["diagnostics_neutral_vs_raw"] = (
         lambda s, d: out(studies.neutral_vs_raw(raw(s, d), grid(s, d), sectors(s, d)), digits=5),
         compose(f"select a.signal, {_r('a.mean_ic', 'ic_neutral', 5)}, {_r('a.t_stat', 't_neutral', 5)}, {_r('b.mean_ic', 'ic_raw', 5)}, {_r('b.t_stat', 't_raw', 5)}, {_r('100 * (1 - abs(a.mean_ic) / nullif(abs(b.mean_ic), 0))', 'ic_lost_pct', 5)} from summary a join summary_raw b on a.signal = b.signal and a.horizon = b.horizon where a.horizon = 5", "summary", "summary_raw"),
