@@ -188,6 +188,29 @@ def test_recall_of_the_tree(spark):
     assert hits / (10 * len(want)) >= 0.9 and figures["leaves"] > 8 and figures["recall"] >= ann.TARGET
 
 
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6)).astype(np.float32)
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
+    # copies of whole rows, and other vectors under ids that are there: the smallest array stands for its id
+    more = [(i, x[i].tolist(), "clash") for i in range(0, 90, 3)] + [(i, (x[i] + 1).tolist(), "clash") for i in range(0, 90, 5)] + [(2**60 + 1, x[7].tolist(), "clash")] * 3
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>, score string").repartition(3)
+    got, figures = ann.search(df, F.col("vec_id") % 20 == 0, k=80, block_bytes=6 * 8 * 10)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids = np.r_[np.arange(90), 2**60 + 1]
+    assert found == brute_nearest(ids, np.r_[x, x[7:8]].astype(float), 80, lambda i: i % 20 == 0) and figures["rows"] == 91 and figures["blocks"] > 5
+
+
+def test_far_clusters_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(40, 12)) * 6, 100, 0) + rng.normal(size=(4000, 12))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(4000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(4)
+    _, figures = ann.search(df, F.col("vec_id") % 20 == 0, k=10, leaf_rows=50)
+    assert figures["visits"] <= figures["leaves"] / 8 and figures["recall"] >= ann.TARGET
+
+
 def test_fewer_candidates_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got, _ = ann.search(df, F.col("vec_id") % 20 == 0)

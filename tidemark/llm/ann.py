@@ -4,15 +4,20 @@ The tree is fitted on a bounded sample (max_sample rows); every row is then sent
 of the nearest centres. A query visits leaves in the order in which a priority queue over the tree's
 nodes yields them (best inner product with a node's centre plus its spread first). How many leaves
 are visited is calibrated: a bounded set of the queries is answered exactly, in blocks over all rows,
-and the visits widen until these queries' recall reaches the target. Leaves are stored in blocks of
-bounded size, so a hot leaf is many blocks; queries travel to the leaves they visit.
+and the visits widen until these queries' recall reaches the target.
+
+Neighbouring leaves are stored together in blocks of bounded size, a hot leaf in several. A query
+travels once to each block that holds leaves it visits, with the list of these leaves, and meets
+their rows alone; so its vector is written once a block, not once a leaf.
 
 Nearness is the largest inner product, in double precision on the original vectors; ties go to the
 smaller id.
 
 Defined cases: null ids, null, empty or zero vectors, and vectors with null or non-finite components
 or another length than the table's most common one take no part; an empty table gives no rows;
-fewer candidates than k are all returned.
+fewer candidates than k are all returned. A vec_id counts once, as a query and as a candidate: of
+several vectors under one id, the smallest in array order stands for it. Equal vectors under
+different ids are all candidates. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,17 +28,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: rows of the sample that the tree is fitted on, children of a node, and rows a leaf should hold
-MAX_SAMPLE, BRANCH, LEAF_ROWS = 20_000, 8, 512
+MAX_SAMPLE, BRANCH, LEAF_ROWS = 20_000, 8, 64
 #: queries that calibrate, the recall they have to reach, and how the visits widen
-CALIBRATE, TARGET, WIDEN = 192, 0.95, 1.15
-#: rows of a stored block, queries of a travelling one
-BLOCK, QUERIES = 2048, 4096
+CALIBRATE, TARGET, WIDEN = 256, 0.93, 1.05
+#: bytes of a stored block's vectors (as doubles), queries of a travelling one, and travelling ones that one task meets
+BLOCK_BYTES, QUERIES, TURNS = 8 << 20, 256, 64
 SEED = 13
 
 
@@ -115,13 +121,17 @@ def fit_tree(sample: np.ndarray, leaf_sample: float, branch: int = BRANCH, seed:
     return Tree(np.stack(centre), np.array(spread), np.array(first), np.array(count))
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id, v of the rows that take part."""
+def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """vec_id, v of the rows that take part, each vec_id once, and their number."""
     v = F.col(f"`{vector}`")
     rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), v.alias("v"))
     rows = rows.where("vec_id is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
+    if not sizes:
+        return rows, 0
+    rows = rows.where(F.size("v") == sizes["d"])
+    ids = rows.agg(F.count_distinct("vec_id")).first()[0]
+    return (rows if ids == sizes["n"] else common.cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")))), ids
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -129,16 +139,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def top(ids: np.ndarray, x: np.ndarray, q_id: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query, its own id left out; rough scores choose, exact ones order."""
-    own = ids == q_id
-    if own.any():
-        rough = np.where(own, -np.inf, rough)
-    left = len(ids) - int(own.sum())
-    if left > k:
-        bar = np.partition(rough, len(rough) - k)[len(rough) - k]
-        rows = np.flatnonzero(rough >= bar - 1e-9 * (1 + abs(bar)))
-    else:
-        rows = np.flatnonzero(~own)
+    """The k best of a block for one query, its own id and rows without a rough score (-inf) left out; rough scores choose, exact ones order."""
+    rough = np.where(ids == q_id, -np.inf, rough)
+    rows = np.flatnonzero(rough > -np.inf)
+    if len(rows) > k:
+        bar = np.partition(rough[rows], len(rows) - k)[len(rows) - k]
+        rows = rows[rough[rows] >= bar - 1e-9 * (1 + abs(bar))]
     score = (x[rows] * q).sum(1)  # equal vectors get equal scores, wherever they are stored
     by = np.lexsort((ids[rows], -score))[:k]
     return ids[rows][by], score[by]
@@ -183,15 +189,33 @@ def exact(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, tree: Tree
     return pd.DataFrame({"query_id": out["query_id"], "ids": [[x["id"] for x in n] for n in out["n"]], "leaf": [[x["leaf"] for x in n] for n in out["n"]]})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", target: float = TARGET, max_sample: int = MAX_SAMPLE, leaf_rows: int = LEAF_ROWS, calibrate: int = CALIBRATE) -> tuple[DataFrame, dict]:
+def layout(tree: Tree, sizes: dict[int, int], rows: int) -> dict[int, tuple[int, int]]:
+    """leaf -> its first block and how many it is dealt over; small leaves that are neighbours share a block."""
+    order, stack = [], [0]
+    while stack:
+        node = stack.pop()
+        stack += range(int(tree.first[node]) + int(tree.count[node]) - 1, int(tree.first[node]) - 1, -1) if tree.count[node] else []
+        if sizes.get(node):
+            order.append(node)
+    out, block, held = {}, 0, 0
+    for leaf in order:
+        n = sizes[leaf]
+        if held and held + n > rows:
+            block, held = block + 1, 0
+        parts = -(-n // rows)
+        out[leaf] = (block, parts)
+        block, held = (block, held + n) if parts == 1 else (block + parts, 0)
+    return out
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", target: float = TARGET, max_sample: int = MAX_SAMPLE, leaf_rows: int = LEAF_ROWS, calibrate: int = CALIBRATE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict]:
     """Each query's k nearest other rows -> (query_id, rank, vec_id, score) and the index's figures.
 
-    is_query: a condition on vec_id. Figures: leaves, visits, and recall of the calibration queries.
+    is_query: a condition on vec_id. Figures: rows, queries, leaves, visits, blocks, and recall of the calibration queries.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
-    rows = usable(vectors, key, vector)
-    total = rows.count()
+    rows, total = usable(vectors, key, vector)
     if not total:
         return spark.createDataFrame([], shape), {"rows": 0}
     bucket = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30))
@@ -222,42 +246,68 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     most = 1
     while most < len(sizes) and ranks and np.mean(np.array(ranks) < most) < target:
         most = min(len(sizes), max(most + 1, int(most * WIDEN)))
-    figures = {"rows": total, "queries": n_queries, "leaves": len(sizes), "visits": most, "recall": float(np.mean(np.array(ranks) < most)) if ranks else 1.0}
+    dims = q.shape[1]
+    where = layout(tree, sizes, max(1, block_bytes // (8 * dims)))
+    figures = {"rows": total, "queries": n_queries, "leaves": len(sizes), "visits": most, "blocks": max(b + n for b, n in where.values()), "recall": float(np.mean(np.array(ranks) < most)) if ranks else 1.0}
 
-    # stored blocks of the leaves, and the queries packed for each leaf they visit
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in sizes.items()}
-    n_blocks = F.create_map(*[x for leaf, n in blocks.items() for x in (F.lit(int(leaf)), F.lit(int(n)))])
-    sub = F.pmod(F.xxhash64("vec_id"), n_blocks[F.col("leaf")]).cast("int")
-    stored = placed.withColumn("sub", sub).groupBy("leaf", "sub").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    least_rows = k + 1
+    # stored blocks, dealt over the turns of queries that meet them
+    exact_type = "<f4" if kind == "array<float>" else "<f8"
     parts = -(-n_queries // QUERIES)
+    turns = -(-parts // TURNS)
+    blocks = spark.createDataFrame([(int(leaf), b, n) for leaf, (b, n) in where.items()], "leaf long, block int, over int")
 
-    def travel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("vec_id", ignore_index=True)
-        ids, x = p["vec_id"].to_numpy(), _matrix(p["v"])
-        at: dict[int, list[int]] = {}
-        for i, leaves in enumerate(tree.visits(x, most, sizes, least_rows)):
-            for leaf in leaves:
-                at.setdefault(leaf, []).append(i)
-        return pd.DataFrame([(leaf, s, ids[i].tobytes(), x[i].tobytes()) for leaf, i in at.items() for s in range(blocks[leaf])], columns=["leaf", "sub", "q_ids", "q"])
+    def store(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("leaf", "ascending"), ("vec_id", "ascending")])
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(exact_type)
+        packed = [t["block"][0].as_py(), t["vec_id"].to_numpy().tobytes(), t["leaf"].to_numpy().tobytes(), x.tobytes()]
+        return pa.table([pa.array([c], f) for c, f in zip(packed, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "leaves", "x"])
 
-    asking = placed.where(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(parts))).groupBy("part").applyInPandas(travel, "leaf long, sub int, q_ids binary, q binary")
-    pairs = stored.join(asking, ["leaf", "sub"])
+    dealt = placed.join(F.broadcast(blocks), "leaf").select("vec_id", "v", "leaf", (F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("over"))).cast("int").alias("block"))
+    stored = dealt.groupBy("block").applyInArrow(store, "block int, ids binary, leaves binary, x binary").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    least_rows = k + 1
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = Best(k)
+    def travel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        ids, x = t["vec_id"].to_numpy(), np.stack(t["v"].to_numpy()).astype(exact_type)
+        at: dict[int, tuple[list[int], list[int]]] = {}
+        for i, leaves in enumerate(tree.visits(x.astype(np.float64), most, sizes, least_rows)):
+            for leaf in leaves:
+                first, over = where[leaf]
+                for block in range(first, first + over):
+                    who, what = at.setdefault(block, ([], []))
+                    who.append(i)
+                    what.append(leaf)
+        turn, out = t["part"][0].as_py() // TURNS, []
+        for block, (who, what) in at.items():
+            some, spot = np.unique(who, return_inverse=True)
+            out.append((block, turn, ids[some].tobytes(), x[some].tobytes(), spot.astype(np.int64).tobytes(), np.array(what, np.int64).tobytes()))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table([pa.array(list(c), f) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "turn", "q_ids", "q", "who", "what"])
+
+    asking = placed.where(is_query).select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(travel, "block int, turn int, q_ids binary, q binary, who binary, what binary")
+    pairs = stored.join(asking, ["block", "turn"]).select("ids", "leaves", "x", "q_ids", "q", "who", "what")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.list_(pa.float64()))])
         for b in batches:
-            for found, raw_ids, raw in zip(b["rows"], b["q_ids"], b["q"], strict=True):
-                ids = np.array([r["vec_id"] for r in found])
-                x = np.array([r["v"] for r in found], np.float64)
-                who = np.frombuffer(raw_ids, np.int64)
-                q = np.frombuffer(raw, np.float64).reshape(len(who), -1)
-                rough = q @ x.T
-                for i, one in enumerate(who):
-                    best.add(int(one), *top(ids, x, one, q[i], rough[i], k))
-        yield best.frame(["ids", "score"])
-
-    met = pairs.mapInPandas(meet, "query_id long, ids array<long>, score array<double>")
+            for at in range(b.num_rows):
+                ids, leaves, raw, q_ids, asked, who, what = (b[c][at].as_buffer() for c in ("ids", "leaves", "x", "q_ids", "q", "who", "what"))
+                ids, leaves, q_ids, who, what = (np.frombuffer(c, np.int64) for c in (ids, leaves, q_ids, who, what))
+                x, q = (np.frombuffer(c, exact_type).astype(np.float64).reshape(-1, dims) for c in (raw, asked))
+                rough = np.full((len(q), len(x)), -np.inf)
+                names, begins = np.unique(leaves, return_index=True)
+                ends = np.r_[begins[1:], len(leaves)]
+                by = np.argsort(what, kind="stable")
+                who, what = who[by], what[by]
+                for leaf, i, j in zip(names, begins, ends, strict=True):
+                    some = who[np.searchsorted(what, leaf) : np.searchsorted(what, leaf, "right")]
+                    if len(some):
+                        rough[some, i:j] = q[some] @ x[i:j].T
+                kept = [top(ids, x, one, q[i], rough[i], k) for i, one in enumerate(q_ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((q_ids, [f for f, _ in kept], [s for _, s in kept]), shape, strict=True)], schema=shape)
+        common.trim()
+
+    met = pairs.mapInArrow(meet, "query_id long, ids array<long>, score array<double>")
     together = met.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "score"))).alias("all"))
     nearest = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["score"]).alias("s"), x["ids"].alias("id")))), 1, k)
     out = together.select("query_id", F.posexplode(nearest).alias("pos", "n"))
