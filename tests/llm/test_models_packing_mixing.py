@@ -126,6 +126,23 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack_documents(df.limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_packing_keeps_ids_beside_nulls_and_clashes(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, 2**60 + 3, -5]
+    df = spark.createDataFrame([(i, "a word " * 5, 9) for i in ids], "doc_id long, text string, offset long").coalesce(1)
+    got = packing.pack_documents(df, packing.default_tokenizer()).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    names = spark.createDataFrame([("x", "a"), (None, "b")], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack_documents(names, packing.default_tokenizer()).collect()} == {"x", None}
+
+
+def test_copies_of_a_row_are_many_blocks(spark):
+    df = spark.createDataFrame([(1, "word " * 300)], "doc_id long, text string").crossJoin(spark.range(600)).select("doc_id", "text").coalesce(1)
+    got = packing.pack_documents(df, packing.default_tokenizer(), block_docs=64).toPandas()
+    used = got.groupby("sequence_id").length.sum()
+    assert got.length.sum() == 600 * got.doc_tokens.iat[0] and used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.85
+    assert (got.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length.cumsum() <= 2048).all()
+
+
 # --- mixing ---
 
 

@@ -4,28 +4,27 @@ Each document is tokenised and closed with one separator id. Whole windows are c
 stand alone; the rest is halved again and again into parts that a block's differencing run spreads over its windows:
 partial partitions with opposing imbalances are merged (largest against smallest sums) until one
 near-equal partition is left, and the window count rises while any window exceeds the capacity.
-Blocks are formed by a hash of the row and hold a bounded expected number of documents, so every
-run is independent and only piece descriptions (no ids) are shuffled.
+A block is a run of documents as they lie in a task's input, so each task packs what it reads: nothing
+is shuffled, copies of a row are spread like other rows, and the input's order is kept but inside blocks.
+A task that is run again packs its rows anew as a whole, so lost executors leave no piece out or double.
 
-Defined cases: null text counts as empty (its document is the separator alone); an empty table gives
-no rows; null or repeated doc_ids are packed like any other rows.
+Defined cases: null text counts as empty (its document is the separator alone); very long texts are
+many whole windows; an empty table gives no rows; null or repeated doc_ids are packed like any other
+rows, and ids of any type are passed on as they are; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common
 from .hashing import Hasher
@@ -33,7 +32,7 @@ from .hashing import Hasher
 CAPACITY, SEPARATOR = 2048, 1
 #: halving ends at parts of about so many tokens
 LEAST = 32
-#: expected documents of a block
+#: documents of a block
 BLOCK_DOCS = 512
 #: distinct words whose ids a Python worker remembers before it starts afresh, and bytes of text it takes at once
 WORDS, SLICE = 1_000_000, 1 << 20
@@ -135,12 +134,16 @@ def _sorted(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[by], places[by]
 
 
+_HELD: dict[str, WordEncoder] = {}
+
+
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python process: the words that earlier tasks looked up are still known."""
-    held = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders")).__dict__
-    if path not in held:
-        held[path] = WordEncoder(path)
-    return held[path]
+    from tidemark.llm import packing  # the module that the process imported, whatever copy of this function came with the task
+
+    if path not in packing._HELD:
+        packing._HELD[path] = WordEncoder(path)
+    return packing._HELD[path]
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -165,36 +168,6 @@ def _cut(n: int, capacity: int, least: int) -> list[int]:
     return [*out, rest] if rest else out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, block_docs: int = BLOCK_DOCS, rows: int | None = None) -> DataFrame:
-    """docs(doc_id, text) -> block, doc_id, start, length, ids_crc32, doc_tokens."""
-    common.bound_batches(docs.sparkSession)
-    n = docs.count() if rows is None else rows
-    blocks = max(1, -(-n // block_docs))
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer), np.array([SEPARATOR], "<u4")
-        for batch in batches:
-            for b in slices(batch, "text"):
-                ids, begins = encoder.encode(b["text"])
-                row, start, length, crc, whole = [], [], [], [], []
-                for k in range(b.num_rows):
-                    own, at = np.concatenate([ids[begins[k] : begins[k + 1]], end]).astype("<u4"), 0
-                    for n in _cut(len(own), capacity, least):
-                        row.append(k)
-                        start.append(at)
-                        length.append(n)
-                        crc.append(zlib.crc32(own[at : at + n]))
-                        whole.append(len(own))
-                        at += n
-                kept = [b[c].take(pa.array(row, pa.int64())) for c in ("block", "doc_id")]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))], ["block", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        common.trim()
-
-    asked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    return asked.mapInArrow(cut, f"block long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-
-
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """Karmarkar-Karp: the window of each size, sums as equal as differencing makes them."""
     n = len(sizes)
@@ -242,30 +215,67 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces() -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    kind = dict(parts.dtypes)["doc_id"]
+def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window and offset of each piece of a block: whole windows alone, the others by differencing, larger pieces first."""
+    order = np.argsort(-sizes, kind="stable")
+    size = sizes[order]
+    whole = int((size == capacity).sum())
+    window = np.concatenate([np.arange(whole), whole + fill(size[whole:], capacity)])
+    by = np.argsort(window, kind="stable")
+    before = np.cumsum(size[by]) - size[by]
+    first = np.r_[True, window[by][1:] != window[by][:-1]]
+    windows, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    windows[order] = window
+    offsets[order[by]] = before - np.maximum.accumulate(np.where(first, before, 0))
+    return windows, offsets
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        size = p["length"].to_numpy(np.int64)
-        whole = int((size == capacity).sum())
-        window = np.concatenate([np.arange(whole), whole + fill(size[whole:], capacity)])
-        p["sequence_id"] = (int(p["block"].iat[0]) << 32) + window
-        order = np.argsort(window, kind="stable")
-        before = np.cumsum(size[order]) - size[order]
-        first = np.r_[True, window[order][1:] != window[order][:-1]]
-        offset = np.empty(len(p), np.int64)
-        offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        p["offset"] = offset
-        return p[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return parts.groupBy("block").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """One row per piece of every row of docs(doc_id, text)."""
-    return pack(pieces(docs, tokenizer, capacity, least, block_docs), capacity)
+    """docs(doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece of every row."""
+    common.bound_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = worker_encoder(tokenizer), np.array([SEPARATOR], "<u4")
+        held: list[tuple[pa.Array, np.ndarray]] = []  # of the open block: ids of documents and their pieces
+        docs_held, sequence = 0, TaskContext.get().partitionId() << 32
+
+        def packed() -> pa.RecordBatch:
+            nonlocal sequence
+            numbers = np.concatenate([n for _, n in held], 1)
+            window, offset = place(numbers[1], capacity)
+            columns = [*numbers, sequence + window, offset]
+            sequence += int(window.max()) + 1
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([i for i, _ in held]), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *NUMBERS])
+
+        for whole in batches:
+            for b in (x for s in slices(whole, "text") for x in parted(s, block_docs)):
+                if docs_held + b.num_rows > block_docs:
+                    yield packed()
+                    held, docs_held = [], 0
+                ids, begins = encoder.encode(b["text"])
+                row, numbers = [], []
+                for k in range(b.num_rows):
+                    own, at = np.concatenate([ids[begins[k] : begins[k + 1]], end]).astype("<u4"), 0
+                    for n in _cut(len(own), capacity, least):
+                        row.append(k)
+                        numbers.append((at, n, zlib.crc32(own[at : at + n]), len(own)))
+                        at += n
+                held.append((b["doc_id"].take(pa.array(row, pa.int64())), np.array(numbers, np.int64).T))
+                docs_held += b.num_rows
+        if held:
+            yield packed()
+        common.trim()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in NUMBERS))
+
+
+def parted(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def default_tokenizer() -> str:
