@@ -66,6 +66,14 @@ def test_repeats_equal_brute_force(spark, seed, words, most):
         assert cut == bytes(r.kept) and all(x.start < x.end for x in r.removed)
 
 
+def test_repeats_keep_ids_beside_nulls(spark):
+    ids, t = [2**60 + 1, None, 2**60 + 3, 2**60 + 3], "a b c d " * 3 + "q" * 300
+    df = spark.createDataFrame([(i, f"{t} {k} {t}" if k % 2 else f"alone {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    got = repeats.remove_repeats(df).collect()
+    assert sorted((r.doc_id, len(r.removed) > 0) for r in got if r.doc_id) == [(2**60 + 1, False), (2**60 + 3, False), (2**60 + 3, True)]
+    assert [len(r.removed) > 0 for r in got if r.doc_id is None] == [True]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

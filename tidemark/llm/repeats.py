@@ -312,20 +312,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     size = spans.agg(F.sum(8 * F.size("spans") + 32)).first()[0] or 0
     joined = texts.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "row", "left")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, t, s in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                data = raw(t)
-                if s is None or not len(s):
-                    out.append((doc, len(data), [], data))
+            n_bytes, removed, kept = [], [], []
+            for t, s in zip(batch["text"], batch["spans"], strict=True):
+                data, s = raw(t.as_py()), s.as_py()
+                n_bytes.append(len(data))
+                if not s:
+                    removed.append([])
+                    kept.append(data)
                     continue
                 mask = merge(s, len(data))
-                removed = [{"start": int(i), "end": int(j)} for i, j in zip(*runs(mask), strict=True)]
-                out.append((doc, len(data), removed, np.frombuffer(data, np.uint8)[~mask].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "removed", "kept"]).astype({"doc_id": batch["doc_id"].dtype})
+                removed.append([{"start": int(i), "end": int(j)} for i, j in zip(*runs(mask), strict=True)])
+                kept.append(np.frombuffer(data, np.uint8)[~mask].tobytes())
+            # ids stay Arrow's, as nulls beside large ones would not survive as numbers of pandas
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_bytes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        common.trim()
 
-    return joined.select("doc_id", "text", "spans").mapInPandas(cut, f"doc_id {kind}, n_bytes long, removed array<struct<start: int, end: int>>, kept binary")
+    return joined.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, removed array<struct<start: int, end: int>>, kept binary")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
