@@ -1,6 +1,10 @@
 """Transport streams, URL filters and pseudonyms: round trips, brute force, odd rows."""
 
+import datetime as dt
+import hashlib
+import math
 import re
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -41,14 +45,98 @@ def test_damage_is_reported():
     assert ts.mux(None) is None and ts.demux(None) is None
 
 
+def test_legal_oddities_are_read():
+    data = bytes(i * 31 % 256 for i in range(5000))
+    s = ts.mux(data)
+    rows = [s[i : i + 188] for i in range(0, len(s), 188)]
+    twice = b"".join(r for k, r in enumerate(rows) for _ in range(2 if k in (4, 9) else 1))
+    assert ts.demux(twice)["payload"] == data and ts.demux(twice)["errors"] == []
+    # a PES packet of unbounded length
+    open_ = bytearray(s)
+    at = open_.index(b"\0\0\1\xbd") + 4
+    open_[at : at + 2] = b"\0\0"
+    assert ts.demux(bytes(open_))["payload"] == data and ts.demux(bytes(open_))["errors"] == []
+    # a signalled discontinuity is none, an unsignalled one is
+    jump = bytearray(s[:376])
+    unit = bytearray(ts.mux(data[:100])[376:])
+    unit[3] = unit[3] & 0xF0 | 9
+    second = bytearray(ts.mux(data[100:150])[376:])
+    assert "continuity" in ts.demux(bytes(jump + unit + second))["errors"]
+    second[5] |= 0x80
+    got = ts.demux(bytes(jump + unit + second))
+    assert got["payload"] == data[:150] and got["errors"] == []
+
+
+def test_sections_over_several_packets():
+    streams = [(0x200 + k, bytes([k]) * 200) for k in range(60)]
+    body = ts.struct.pack(">HH", 0xE000 | 0x200, 0xF000) + b"".join(ts.struct.pack(">BHH", 6, 0xE000 | p, 0xF000) for p, _ in streams)
+    section = b"\0" + ts._section(0x02, 1, body)
+    out = [ts._PAT]
+    for k, at in enumerate(range(0, len(section), 184)):
+        part = section[at : at + 184]
+        out.append(ts.struct.pack(">BHB", ts.SYNC, (0x4000 if k == 0 else 0) | ts.PMT_PID, 0x10 | k) + part + b"\xff" * (184 - len(part)))
+    for pid, data in streams:
+        unit = bytearray(ts.mux(data)[376:])
+        for i in range(0, len(unit), 188):
+            unit[i + 1], unit[i + 2] = unit[i + 1] & 0xE0 | pid >> 8, pid & 0xFF
+        out.append(bytes(unit))
+    got = ts.demux(b"".join(out))
+    assert len(out) > 3 and got["pids"] == [p for p, _ in streams] and got["payload"] == b"".join(d for _, d in streams) and got["errors"] == []
+
+
+def test_packets_are_found_again():
+    data = bytes(i * 7 % 251 for i in range(20_000))
+    s = ts.mux(data, unit=1000)
+    for damaged in (s[:5000] + b"xyz" + s[5000:], s[:5000] + s[5003:], b"abc" + s):
+        got = ts.demux(damaged)
+        assert "sync" in got["errors"] and len(got["payload"]) >= 17_000 and got["pts"][-1] == 19 * ts.TICKS
+    flagged = bytearray(s)
+    flagged[188 * 5 + 1] |= 0x80
+    assert {"transport", "continuity"} <= set(ts.demux(bytes(flagged))["errors"])
+
+
+def plain_packets(stream):
+    """PID and payload of each packet, byte by byte."""
+    for i in range(0, len(stream), 188):
+        r = stream[i : i + 188]
+        assert r[0] == 0x47 and len(r) == 188
+        at = 4 + (1 + r[4] if r[3] & 0x20 else 0)
+        yield (r[1] & 31) << 8 | r[2], r[1] & 0x40, r[3] & 15, r[at:]
+
+
+def test_query_by_brute_force(spark):
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = ts.op2_transport_stream(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(want) and [f for f in got[0].asDict()][:8] == "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
+    for r in got:
+        raw = want[r.doc_id]
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = ts.mux(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        carried = [p for p in plain_packets(media) if p[0] == ts.ES_PID]
+        assert [c for _, _, c, _ in carried] == [k % 16 for k in range(len(carried))]
+        units, data = -1, b""
+        for _, begins, _, part in carried:
+            units += bool(begins)
+            data += part[14:] if begins else part
+        assert data == padded and r.pts == [k * 3600 for k in range(units + 1)] and r.random_access == [k * ts.UNIT for k in range(0, units + 1, 8)]
+        p = [padded.count(bytes([c])) / len(padded) for c in set(padded)]
+        assert r.feature.startswith(f"entropy={abs(sum(x * math.log2(x) for x in p)):.6f};distinct={len(p)};") and f"lines={padded.count(10) + 1};" in r.feature and r.feature.endswith("errors=")
+    assert len({r.feature for r in got}) > 0.95 * len({r.payload_sha256 for r in got})
+
+
 def test_stream_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "häß\U0001f600" * 300, "c"), (3, "häß\U0001f600" * 300, "c")], "doc_id long, text string, media string")
     stored = ts.store_texts(df)
-    assert [f.name for f in stored.schema] == ["doc_id", "text", "media", "n_bytes"]
+    assert [f.name for f in stored.schema] == ["doc_id", "text", "n_bytes", "media"]
     back = stored.select("doc_id", "text", "n_bytes", ts.from_stream(F.col("media")).alias("m")).orderBy("doc_id").collect()
     for r in back:
         raw = (r.text or "").encode()
         assert r.n_bytes == len(raw) and r.m.payload.rstrip(b" ") == raw.rstrip(b" ") and len(r.m.payload) % 192 == 0 and len(r.m.payload) >= 192 and not r.m.errors
+    clash = df.withColumns({"__m": F.lit(7), "own": F.lit(8), "n_bytes": F.lit("x")})
+    assert {(r["__m"], r.own) for r in ts.store_texts(clash).collect()} == {(7, 8)} and ts.store_texts(clash).columns == ["doc_id", "text", "__m", "own", "n_bytes", "media"]
+    assert ts.store_texts(df.limit(0)).count() == 0
     assert spark.createDataFrame([(None,)], "x binary").select(ts.from_stream(ts.to_stream(F.col("x"))).alias("m")).first().m.payload is None
 
 
@@ -84,6 +172,8 @@ def test_filters_of_nothing(spark):
 
 # --- pseudonyms ---
 
+KEY = "k of the tests"
+
 TEXTS = [
     "mail a.b@mail6.example.com, or x@y.de.",
     "+1 (523) 555-2059 and (013) 555-1111%%% 212-555-0199",
@@ -104,7 +194,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def replaced(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    return [(r.text, r.n_replaced) for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    return [(r.text, r.n_replaced) for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
 
 
 def luhn(s):
@@ -140,7 +230,7 @@ def test_credentials_in_any_case_and_whole(spark):
     key = "aB3" * 100
     old = ['TOKEN = "9233A8EC1B2C3D4E"', "PASSWORD=hunterhunter", "Api_Key: abcdefgh-ijkl", "Secret=QWERTYUIOP", f"token={key} end", f"API-KEY: {key}"]
     df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
-    new = [(r.text, r.n_replaced) for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    new = [(r.text, r.n_replaced) for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
     for a, (b, n) in zip(old, new, strict=True):
         value = max(re.findall(r"[A-Za-z0-9_+/-]+", a), key=len)
         at = a.index(value)
@@ -148,6 +238,99 @@ def test_credentials_in_any_case_and_whole(spark):
     assert all(b[k : k + 60] != a[k : k + 60] for a, (b, _) in zip(old[4:], new[4:], strict=True) for k in range(10, 240, 20))
 
 
+def feistel(a, b, m, n, key, kind, tweak):
+    """The network in plain Python."""
+    for i in range(pii.ROUNDS):
+        f = lambda v, mod: int(hashlib.sha256("|".join([key, kind, str(tweak), str(i), str(v)]).encode()).hexdigest()[:15], 16) % mod
+        a, b = ((a + f(b, m)) % m, b) if i % 2 == 0 else (a, (b + f(a, n)) % n)
+    return a, b
+
+
+def letters(text, key, kind):
+    half = len(text) // 2
+    parts = [text[:half], text[half:]]
+    for i in range(pii.ROUNDS):
+        k = i % 2
+        part, other = parts[k], parts[1 - k]
+        d = hashlib.sha256("|".join([key, kind, str(i), str(len(part)), other]).encode()).hexdigest()
+        out = ""
+        for j, c in enumerate(part):
+            at = j * 4 % 61
+            by = int(d[at : at + 4], 16)
+            for s in (pii.LOWER, pii.UPPER, pii.DIGITS):
+                if c in s:
+                    c = s[(s.index(c) + by) % len(s)]
+                    break
+            out += c
+        parts[k] = out
+    return "".join(parts)
+
+
+def plain_card(text, key):
+    d = re.sub("[^0-9]", "", text)
+    n = len(d) - 2
+    u, v = n // 2, n - n // 2
+    a, b = feistel(int(d[1 : u + 1]), int(d[u + 1 : -1]), 10**u, 10**v, key, "card", len(d))
+    body = f"{d[0]}{a:0{u}d}{b:0{v}d}"
+    new = next(body + c for c in "0123456789" if luhn(body + c))
+    it = iter(new)
+    return "".join(next(it) if c.isdigit() else c for c in text)
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "3782-822463-10005", "6011000990139424", "5500005555555559"]
+    mails = ["john@x.com", "John@X.com", "a.b+c@mail6.example.org"]
+    rows = [*cards, *mails, "1990-02-28", "10.0.0.1", "123-45-6789", "token=abcdefgh12"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert got[:5] == [plain_card(c, KEY) for c in cards]
+
+    def mail(m):
+        cased = lambda old, new: "".join(n.upper() if o.isupper() else n for o, n in zip(old, new, strict=True))
+        local, domain = m.split("@")
+        names, tld = domain.rsplit(".", 1)
+        return cased(local, letters(local.lower(), KEY, "email")) + "@" + cased(names, letters(names.lower(), KEY, "domain")) + "." + tld
+
+    assert got[5:8] == [mail(m) for m in mails] and got[5].lower() == got[6].lower()
+    n = (dt.date(1990, 2, 28) - dt.date(1900, 1, 1)).days
+    a, b = feistel(n // 229, n % 229, 319, 229, KEY, "date", "")
+    assert got[8] == str(dt.date(1900, 1, 1) + dt.timedelta(a * 229 + b))
+    a, b = feistel(10 * 256, 1, 65536, 65536, KEY, "ipv4", "")
+    assert got[9] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    a, b = feistel((123 - 1) * 99 + 44, 6788, 898 * 99, 9999, KEY, "ssn", "")
+    area = a // 99 + 1
+    assert got[10] == f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    assert got[11] == "token=" + letters("abcdefgh12", KEY, "credential")
+
+
+def test_nothing_hides_a_value(spark):
+    card, iban, phone = "4111111111111111", "DE89370400440532013000", "212-555-0199"
+    spaced = "4111 1111 1111 1111"
+    hidden = {
+        f"{card} 12/26": [card], f"{spaced} 123": [spaced], f"{iban} USD now": [iban], "DE89 3704 0044 0532 0130 00 BIC": ["DE89 3704 0044 0532 0130 00"],
+        f"{card}/12/26": [card], f"{spaced}/123": [spaced], f"12 {spaced}": [spaced], f"1234 5678 {spaced} 99": [spaced], f"Visa-{card}.": [card], f"{card}-": [card],
+        f"{card} {phone}": [card, phone], f"{card} 1990-02-28": [card, "1990-02-28"], f"{card} 1990/02/28": [card, "1990/02/28"], f"{card} 10.0.0.1": [card, "10.0.0.1"],
+        f"{card} 123-45-6789 {spaced}": [card, "123-45-6789", spaced], f"{card} {card}": [card], f"{iban} {card}": [iban, card], f"NO9386011117947 {phone}": ["NO9386011117947", phone],
+        f"DE12 {spaced} 00": [spaced], "password=123456789012345": ["123456789012345"], "NO9386011117947 NO9386011117947": ["NO9386011117947"], f"12345678 1990/02/28 {card}": ["1990/02/28", card],
+        "7 " * 300 + spaced + " 8" * 300: [spaced],
+    }
+    df = spark.createDataFrame(list(enumerate(hidden)), "doc_id long, text string")
+    for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect():
+        old = list(hidden)[r.doc_id]
+        assert len(r.text) == len(old) or "10.0.0.1" in old
+        assert r.n_replaced >= len(hidden[old]) and not [v for v in hidden[old] if v in r.text], (old, r.text)
+
+
+def test_clashing_names_and_odd_tables(spark):
+    df = spark.createDataFrame([("x@y.com", "f", "n", 5, 1), (None, "f", "n", 5, 1), ("x@y.com", "f", "n", 5, 1)], "text string, __found string, new string, n_replaced int, own int")
+    got = pii.pseudonymise(df, KEY)
+    assert got.columns == ["text", "__found", "new", "own", "n_replaced"]
+    rows = got.collect()
+    assert [(r["__found"], r.new, r.own) for r in rows] == [("f", "n", 1)] * 3 and [r.n_replaced for r in rows] == [1, 0, 1] and rows[0].text == rows[2].text
+    assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
 def test_networks_are_permutations(spark):
     g = spark.range(320 * 230).selectExpr("id div 230 a", "id % 230 b").where("a < 319 and b < 229")
     s = g.select(pii.feistel(F.col("a"), F.col("b"), F.lit(319), F.lit(229), "k", "t", F.lit("")).alias("s")).select("s.*")
