@@ -2,12 +2,17 @@
 
 A payload is cut into access units; each is a PES packet with a presentation timestamp on one
 elementary stream of private data, carried in 188-byte packets after a program association table
-and a program map table. Reading back parses the tables (with their CRC), checks the continuity
-counters, reassembles the PES packets and lists timestamps and random-access points.
+and a program map table. Reading back finds the packets (again, after lost or extra bytes), puts the
+tables' sections together over as many packets as they take and checks their CRC, checks the continuity
+counters, reassembles the PES packets and lists timestamps and random-access points. A packet sent
+twice is read once, a signalled discontinuity is none, a PES packet of length 0 lasts until the next.
 
 Defined cases: null payload -> null stream and null fields; an empty payload -> tables only, no
-access unit. A stream that breaks a rule (sync byte, CRC, lost packet, short PES) is reported in
-`errors` and its readable units are still returned.
+access unit; null and empty texts are one block of blanks; very long texts are many access units;
+repeated rows get equal streams; an empty table gives no rows; extra columns stay as they are, whatever
+their names, but those named n_bytes and media are replaced. A stream that breaks a rule (sync byte,
+CRC, flagged or lost packet, short section or PES) is reported in `errors` and its readable units are
+still returned.
 """
 
 from __future__ import annotations
@@ -107,57 +112,100 @@ def mux(payload: bytes | None, unit: int = UNIT, ticks: int = TICKS, access_ever
     return b"".join(out)
 
 
-def _parse_section(packet: np.ndarray) -> tuple[bytes, str | None]:
-    raw = packet[4:].tobytes()
-    at = 1 + raw[0]
-    n = (raw[at + 1] & 0x0F) << 8 | raw[at + 2]
-    body = raw[at : at + 3 + n]
-    if len(body) < 12 or mpeg_crc(body) != 0:  # the CRC over a section and its own CRC is 0
-        return b"", "crc"
-    return body[8:-4], None
+def packets(stream: bytes) -> tuple[np.ndarray, list[str]]:
+    """The stream's packets, one a row. Where the rhythm of sync bytes breaks, it is looked for anew."""
+    b = np.frombuffer(stream, np.uint8)
+    if len(b) % PACKET == 0 and (b[::PACKET] == SYNC).all():
+        return b.reshape(-1, PACKET), []
+    marks = np.flatnonzero(b == SYNC)
+    marked = np.zeros(len(b) + 2 * PACKET, bool)
+    marked[marks] = True
+    marked[len(b) :] = True  # behind the end nothing contradicts
+    good = marks[(marks + PACKET <= len(b)) & marked[np.minimum(marks + PACKET, len(marked) - 1)]]
+    starts, at, errors = [], 0, []
+    while True:
+        k = np.searchsorted(good, at)
+        if k == len(good):
+            break
+        if good[k] != at:
+            errors = ["sync"]
+        starts.append(int(good[k]))
+        at = starts[-1] + PACKET
+    if at != len(b):
+        errors.append("length")
+    return b[np.array(starts, np.int64)[:, None] + np.arange(PACKET)], errors
+
+
+def _payload_at(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each packet: where its payload begins, and whether it has one."""
+    return np.where(q[:, 3] & 0x20, np.minimum(5 + q[:, 4].astype(np.int32), PACKET), 4), q[:, 3] & 0x10 > 0
+
+
+def sections(q: np.ndarray) -> tuple[list[bytes], list[str]]:
+    """Bodies of the sections that one PID's packets carry, between the header and the CRC."""
+    out, errors, held = [], [], b""
+
+    def finish(data: bytes) -> None:
+        while len(data) >= 3 and data[0] != 0xFF:
+            n = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if n > len(data):
+                errors.append("section")
+                return
+            if n < 12 or mpeg_crc(data[:n]) != 0:  # the CRC over a section and its own CRC is 0
+                errors.append("crc")
+            else:
+                out.append(data[8 : n - 4])
+            data = data[n:]
+
+    start, has = _payload_at(q)
+    for row, at in zip(q[has], start[has], strict=True):
+        data = row[at:].tobytes()
+        if row[1] & 0x40 and data:
+            finish(held + data[1 : 1 + data[0]])
+            held = data[1 + data[0] :]
+        elif held:
+            held += data
+    finish(held)
+    return out, errors
 
 
 def demux(stream: bytes | None) -> dict | None:
     """payload, pts and random_access (one entry per access unit), pids, errors."""
     if stream is None:
         return None
-    errors: list[str] = []
-    p = np.frombuffer(stream, np.uint8)
-    if len(p) % PACKET:
-        errors.append("length")
-    p = p[: len(p) // PACKET * PACKET].reshape(-1, PACKET)
-    if (p[:, 0] != SYNC).any():
-        errors.append("sync")
-        p = p[p[:, 0] == SYNC]
+    p, errors = packets(stream)
+    flagged = p[:, 1] & 0x80 > 0
+    if flagged.any():
+        errors.append("transport")
+        p = p[~flagged]
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    elementary: list[int] = []
-    for pat in p[pid == PAT_PID]:
-        body, bad = _parse_section(pat)
-        errors += [bad] if bad else []
-        for at in range(0, len(body) - 3, 4):
-            number, where = struct.unpack_from(">HH", body, at)
-            for pmt in p[pid == where & 0x1FFF] if number else ():
-                info, bad = _parse_section(pmt)
-                errors += [bad] if bad else []
-                i = 4 + (struct.unpack_from(">H", info, 2)[0] & 0xFFF) if info else 0
-                while info and i + 5 <= len(info):
-                    es, skip = struct.unpack_from(">HH", info, i + 1)
-                    elementary.append(es & 0x1FFF)
-                    i += 5 + (skip & 0xFFF)
-    elementary = sorted(set(elementary))
-    units: list[tuple[int, int, bool, bytes]] = []
-    for es in elementary:
+    elementary: set[int] = set()
+    tables, bad = sections(p[pid == PAT_PID])
+    errors += bad
+    maps = {where & 0x1FFF for body in tables for number, where in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if number}
+    for where in sorted(maps):
+        found, bad = sections(p[pid == where])
+        errors += bad
+        for info in found:
+            i = 4 + (struct.unpack_from(">H", info, 2)[0] & 0xFFF) if len(info) >= 4 else len(info)
+            while i + 5 <= len(info):
+                es, skip = struct.unpack_from(">HH", info, i + 1)
+                elementary.add(es & 0x1FFF)
+                i += 5 + (skip & 0xFFF)
+    units: list[tuple[int, bool, bytes]] = []
+    for es in sorted(elementary):
         q = p[pid == es]
-        if not len(q):
-            continue
+        if len(q):  # a packet may be sent twice in a row
+            q = q[np.r_[True, ~((q[1:] == q[:-1]).all(1) & (q[1:, 3] & 0x10 > 0))]]
+        start, has = _payload_at(q)
         counter = q[:, 3] & 15
-        has = q[:, 3] & 0x10 > 0
-        if ((counter[1:] - counter[:-1] - has[1:]) & 15).any():
+        flags = np.where((q[:, 3] & 0x20 > 0) & (q[:, 4] > 0), q[:, 5], 0)
+        if (((counter[1:] - counter[:-1] - has[1:]) & 15 > 0) & (flags[1:] & 0x80 == 0)).any():
             errors.append("continuity")
-        start = np.where(q[:, 3] & 0x20, 5 + q[:, 4].astype(np.int32), 4)
-        random = (q[:, 3] & 0x20 > 0) & (q[:, 4] > 0) & (q[:, 5] & 0x40 > 0)
         begins = np.flatnonzero(q[:, 1] & 0x40)
-        for a, b in zip(begins, [*begins[1:], len(q)], strict=True):
+        if len(q) and (not len(begins) or begins[0]) and has[: begins[0] if len(begins) else len(q)].any():
+            errors.append("pes")  # bytes without a beginning
+        for a, b in zip(begins, np.r_[begins[1:], len(q)][: len(begins)], strict=True):
             # payload bytes: those behind each packet's header and adaptation field
             pes = q[a:b][(np.arange(PACKET) >= start[a:b, None]) & has[a:b, None]].tobytes()
             if pes[:3] != b"\0\0\1" or len(pes) < 9:
@@ -168,15 +216,15 @@ def demux(stream: bytes | None) -> dict | None:
                 errors.append("short")
             t = pes[9:14]
             pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1 if pes[7] & 0x80 and len(t) == 5 else -1
-            units.append((es, pts, bool(random[a]), pes[skip : 6 + n]))
-    return {"payload": b"".join(u[3] for u in units), "pts": [u[1] for u in units], "random_access": [u[2] for u in units], "pids": elementary, "packets": len(p), "errors": sorted(set(errors))}
+            units.append((pts, bool(flags[a] & 0x40), pes[skip : 6 + n if n else None]))
+    return {"payload": b"".join(u[2] for u in units), "pts": [u[0] for u in units], "random_access": [u[1] for u in units], "starts": np.cumsum([0, *(len(u[2]) for u in units)])[:-1].tolist(), "pids": sorted(elementary), "packets": len(p), "errors": sorted(set(errors))}
 
 
 def _mux_series(payload: pd.Series) -> pd.Series:
     return payload.map(mux, na_action="ignore")
 
 
-READ = "payload binary, pts array<long>, random_access array<boolean>, pids array<int>, packets int, errors array<string>"
+READ = "payload binary, pts array<long>, random_access array<boolean>, starts array<long>, pids array<int>, packets int, errors array<string>"
 
 
 def _demux_series(stream: pd.Series) -> pd.DataFrame:
@@ -204,20 +252,37 @@ def _store_text(text: pd.Series) -> pd.DataFrame:
 
 
 def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df + n_bytes, media: the text padded to 192-byte blocks, stored as a transport stream. Null text counts as empty."""
+    """df + n_bytes, media: the text padded to 192-byte blocks, stored as a transport stream."""
     common.bound_batches(df.sparkSession)
-    return df.withColumn("__m", F.pandas_udf(_store_text, "n_bytes long, media binary")(F.col(f"`{text}`"))).withColumns({"n_bytes": F.col("__m.n_bytes"), "media": F.col("__m.media")}).drop("__m")
+    kept = [c for c in df.columns if c.lower() not in ("n_bytes", "media")]
+    # the table's own columns travel as one, so no name of theirs meets one of these
+    stored = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"), F.pandas_udf(_store_text, "n_bytes long, media binary")(F.col(f"`{text}`")).alias("m"))
+    return stored.select(*[F.col(f"own.`{c}`").alias(c) for c in kept], "m.n_bytes", "m.media")
+
+
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+
+_KINDS = np.full(256, 4)
+for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\v\f\r", bytes(range(128, 256)))):
+    _KINDS[list(_bytes)] = _k
 
 
-DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def content_feature(data: bytes) -> str:
+    """Entropy in bits a byte, distinct bytes, shares of letters, digits, white space, bytes over 127 and others, and lines."""
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    p = counts[counts > 0] / max(len(data), 1)
+    shares = np.bincount(_KINDS, counts, 5) / max(len(data), 1)
+    names = ("letters", "digits", "blanks", "high", "other")
+    return ";".join([f"entropy={abs(float((p * np.log2(p)).sum())):.6f}", f"distinct={len(p)}", *(f"{n}={x:.6f}" for n, x in zip(names, shares, strict=True)), f"lines={int(counts[10]) + 1}"])
 
 
 def digest(stream: bytes) -> tuple:
-    """Values of DIGEST, all from the stored stream."""
+    """Values of DIGEST, all from the stored stream; random_access: payload bytes before each such point."""
     got = demux(stream)
     data = got["payload"]
-    feature = f"units={len(got['pts'])};rap={sum(got['random_access'])};last_pts={max(got['pts'], default=-1)};packets={got['packets']};pids={','.join(map(str, got['pids']))};errors={','.join(got['errors'])}"
-    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature
+    feature = content_feature(data) + f";units={len(got['pts'])};packets={got['packets']};errors={','.join(got['errors'])}"
+    points = [at for at, r in zip(got["starts"], got["random_access"], strict=True) if r]
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, got["pts"], points
 
 
 def _digest_series(stream: pd.Series) -> pd.DataFrame:
