@@ -13,10 +13,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """Use the shared folder the cluster names; a temporary one only where none is set and all runs on this machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,25 +52,48 @@ def trim() -> None:
         pass
 
 
+#: rows of a key beyond which it is hot, keys that are broadcast at most (under 100 bytes each), and tasks that salting deals a key over
+HOT, BROADCAST_KEYS, SALTS = 1000, 200_000, 32
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a table of unique keys; `count` is a column of it: how many rows each key has.
+
+    Rows of hot keys are salted, which few enough hot keys tell by a broadcast; with more, all rows are. So
+    no key's rows go to one task, and rows are read once. The table is read more than once: cut it before.
+    """
+    hot = table.where(F.col(count) > HOT)
+    n = hot.count()
+    if not n:
+        return rows.join(table, on, how)
+    salt, every = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if n <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(hot.select(*on, F.lit(True).alias("__hot"))), on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+        dealt = table.withColumn("__salt", F.explode(F.when(F.col(count) > HOT, every).otherwise(F.array(F.lit(0)))))
+    else:
+        rows, dealt = rows.withColumn("__salt", salt), table.withColumn("__salt", F.explode(every))
+    return rows.join(dealt, [*on, "__salt"], how).drop("__salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (a long, b long) -> (node, comp): comp is the smallest node of the component.
 
-    Alternating large-star / small-star rounds: every node keeps one row per neighbour, so a hub
-    with a third of all nodes is one key with many *rows* whose minimum is a map-side combined
-    aggregate; no group is ever gathered in one task. Ends when a round changes nothing. Self
-    edges are allowed (they make isolated nodes). Nulls are dropped.
+    Alternating large-star / small-star rounds: every node keeps one row per neighbour, so a hub with a
+    third of all nodes is one key with many *rows*, whose minimum is a map-side combined aggregate and
+    meets them by join_counted(); no group is ever gathered in one task. Ends when a round changes nothing.
+    Self edges are allowed (they make isolated nodes). Nulls are dropped.
     """
     e = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         # large star: join every larger neighbour to the smallest neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
-        large = large.distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
+        large = join_counted(both, low, ["u"], "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
+        large = cut(large.distinct())
         # small star: join every smaller neighbour (and the node) to the smallest one
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low2, "u")
+        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
+        pairs = join_counted(large, low2, ["u"], "c")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u >= v")
         e = cut(small.union(e.where("u = v")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
