@@ -5,19 +5,24 @@ corpus. Strings are the windows of `length` bytes of the texts' UTF-8 bytes.
 
 1. Windows are dealt out by their minimiser: the window's smallest hash of GRAM bytes (the leftmost
    of several). Runs of windows that share it form a segment, so equal windows meet under one key.
-   Only (key, segment hash, count) rows are shuffled; a copy of a whole segment is settled by them.
+   Keys are counted first, combined before they are shuffled; segments travel only under keys that
+   several have, and the rows of hot keys are salted. Equal segments are one string with a count.
 2. Keys under which different segments meet are candidates; one copy of each such segment is fetched.
+   (A segment that recurs as a whole is repeated from end to end; its count says so.)
 3. Keys are put into bins of bounded size. A bin's segments, cut after each blank into words, become
    one string of word ranks, whose suffix array is built by grouping (gsaca.py). As words end with
    their blank, it is the byte order of all suffixes that start at words; longest common prefixes of
    neighbours, in bytes, give every repeated window that starts at a word. Windows that start inside
    a word are repeated if and only if, in some run of the suffix array whose common prefixes reach
    the window's end, the bytes before the next word agree too.
-4. Keys with more than MOST different segments (an adversarial passage) have all their windows
-   counted by 128-bit hash instead, which has no bound on what meets.
-
-Defined cases: null text counts as empty; texts below `length` bytes lose nothing; overlapping
-repeats inside a text count; rows that are copies in every column are each other's repeats.
+4. Keys with more than MOST different segments (a passage in very many contexts) would overfill a bin.
+   Their windows are dealt out one by one, by a 128-bit hash of all their bytes; where that recurs, two
+   of its windows go to a bin, and its suffix array decides.
+
+Defined cases: null text counts as empty; texts below `length` bytes lose nothing; very long texts are
+taken whole; overlapping repeats inside a text count; rows that are copies in every column are each
+other's repeats; doc_ids of any type are passed on as they are, null or not; an empty table gives no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -181,7 +186,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(texts: DataFrame, length: int, gram: int, merged: bool) -> DataFrame:
-    """texts(row, text) -> key, seg, c (copies in the batch) if merged, else key, seg, row, at, n for each segment."""
+    """texts(row, text) -> key, c, lo, hi (segments in the batch, the least and the greatest) if merged, else key, seg, row, at, n for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
@@ -195,30 +200,32 @@ def occurrences(texts: DataFrame, length: int, gram: int, merged: bool) -> DataF
                 continue
             key, seg, at, n = (np.concatenate([g[k] for g in got]) for k in range(1, 5))
             if merged:
-                by = np.lexsort((seg, key))
+                by = np.argsort(key, kind="stable")
                 key, seg = key[by], seg[by]
-                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(seg[first]), pa.array(np.diff(np.r_[first, len(key)]))], ["key", "seg", "c"])
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[first], np.diff(np.r_[first, len(key)]), np.minimum.reduceat(seg, first), np.maximum.reduceat(seg, first))], ["key", "c", "lo", "hi"])
             else:
                 row = rows[np.repeat([g[0] for g in got], [len(g[1]) for g in got])]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "seg", "row", "at", "n"])
         common.trim()
 
-    return texts.mapInArrow(run, "key long, seg long, c long" if merged else "key long, seg long, row long, at int, n int")
+    return texts.mapInArrow(run, "key long, c long, lo long, hi long" if merged else "key long, seg long, row long, at int, n int")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bin_bytes: int = BIN_BYTES) -> DataFrame:
     """texts(row, text), row a long that only equal texts share -> row, spans (array of at, end): repeated bytes."""
-    # what meets under each key; both sums use the one exchange by key
-    seen = occurrences(texts, length, gram, True).repartition("key").groupBy("key", "seg").agg(F.sum("c").alias("c"))
-    keys = seen.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("variants")).where(F.col("all") > 1).select("key", "variants")
-    seen = common.cut(seen.join(keys, "key"))
-    largest, total = seen.agg(F.max("variants"), F.sum((F.col("variants") > 1).cast("bigint"))).first()
-    met = common.cut(occurrences(texts, length, gram, False).join(seen, ["key", "seg"]))
+    keys = occurrences(texts, length, gram, True).groupBy("key").agg(F.sum("c").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    keys = common.cut(keys.where(F.col("all") > 1).select("key", "all", (F.col("lo") != F.col("hi")).alias("differ")))
+    met = common.cut(common.join_counted(occurrences(texts, length, gram, False), keys, ["key"], "all").drop("all"))
+    # equal segments: a count each, and one copy; map-side combined, so a copied segment is no hot key
+    each = common.cut(met.groupBy("key", "seg", "differ").agg(F.count("*").alias("c"), F.min(F.struct("row", "at", "n")).alias("one")))
     # copies of whole segments
-    whole = met.where("c > 1").select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
-    # different segments under one key: their bytes, one copy of each
-    differ = met.where("variants > 1").groupBy("key", "seg", "c", "variants").agg(F.min(F.struct("row", "at", "n")).alias("one"))
+    copied = each.where("c > 1").select("key", "seg", "c")
+    whole = common.join_counted(met.select("key", "seg", "row", "at", "n"), copied, ["key", "seg"], "c").select("row", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"))
+    # different segments under one key
+    variants = common.cut(each.where("differ").groupBy("key").agg(F.count("*").alias("variants")))
+    largest, total = variants.agg(F.max("variants"), F.sum("variants")).first()
+    differ = common.join_counted(each.where("differ").select("key", "seg", "c", "one"), variants, ["key"], "variants")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,8 +280,19 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "row", "at", "open"])
 
         every = common.cut(fetched(differ.where(F.col("variants") > most)).mapInArrow(windows, "h1 long, h2 long, row long, at int, open boolean"))
-        twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-        rest = every.where("open").join(twice, ["h1", "h2"]).select("row", "at", (F.col("at") + length).alias("end"))
+        place = F.struct("row", "at", F.lit(length).alias("n"))
+        twice = common.cut(every.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.array(F.min(place), F.max(place)).alias("two")).where("m > 1"))
+        twins = twice.select(F.col("h1").alias("key"), F.col("h2").alias("seg"), F.lit(1).cast("bigint").alias("c"), F.lit(2).cast("bigint").alias("variants"), F.explode("two").alias("one"))
+
+        def confirm(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values(["key", "seg"], ignore_index=True)
+            kept = [k for k, mask in enumerate(repeated_windows(list(p["bytes"]), length, gram)) if mask[0]] if len(p) > 1 else []
+            return p.loc[kept, ["key", "seg"]].drop_duplicates().rename(columns={"key": "h1", "seg": "h2"})
+
+        pair_bins = max(1, -(-twice.count() * 2 * length // bin_bytes))
+        sure = fetched(twins).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(pair_bins))).groupBy("bin").applyInPandas(confirm, "h1 long, h2 long")
+        sure = common.cut(twice.select("h1", "h2", "m").join(sure, ["h1", "h2"]))
+        rest = common.join_counted(every.where("open"), sure, ["h1", "h2"], "m").select("row", "at", (F.col("at") + length).alias("end"))
         spans = spans.unionByName(rest)
     spans = whole.unionByName(spans.select("row", F.struct("at", "end").alias("span")))
     return spans.groupBy("row").agg(merged_spans(F.collect_set("span")).alias("spans"))
