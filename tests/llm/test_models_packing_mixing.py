@@ -32,6 +32,41 @@ def test_held_out_accuracy_and_rejection(spark, docs):
     assert [(r.lang_pred, r.rejected) for r in got[:3]] == [("und", True)] * 3 and got[3].lang_pred == "en" and got[4][2:] == got[5][2:] and got[4].lang_pred in model.labels
 
 
+def test_predictions_by_brute_force(spark, docs):
+    from collections import Counter
+
+    model = lid.fit(docs.where(~lid.held_out(F.col("doc_id"))), max_train=400)
+    rows = lid.identify(docs.select("doc_id", "text").limit(60), model).collect()
+    for r in rows:
+        data, counts = lid.prepare(r.text or ""), Counter()
+        for n in lid.ORDERS:
+            for a in range(len(data) - n + 1):
+                if b" " not in data[a + 1 : a + n - 1]:
+                    h = sum(data[a + k] * int(lid._FACTORS[k]) for k in range(n)) + n
+                    counts[(h * int(lid._SPREAD) & 0xFFFFFFFF) >> (32 - lid.BITS)] += 1
+        x = sum((c * model.table[u].astype(float) for u, c in counts.items()), np.zeros(len(model.labels))) / max(sum(counts.values()), 1) + model.bias
+        p = np.exp(x / model.temperature - (x / model.temperature).max())
+        p /= p.sum()
+        assert r.lang_pred == model.labels[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-5) and r.rejected == (r.score < model.threshold)
+
+
+def test_training_sample_is_bounded_and_spread(spark):
+    rows = [(i, f"text number {i}", f"l{i % 7}" if i % 50 else f"rare{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lid.training_sample(df, 70, 7).groupBy("lang").count().collect()
+    assert {r.lang for r in got} == {f"l{k}" for k in range(7)} and all(r["count"] <= 10 for r in got)
+    u, c = lid.bag("abcdefg hij " * 50, most=9)
+    assert len(u) == 9 and c.sum() == pytest.approx(1) and (np.diff(u) > 0).all()
+
+
+def test_language_of_clashes_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "abc", "en", "x", 5)], "doc_id long, text string, lang string, lang_pred string, own int")
+    model = lid.fit(df)
+    got = lid.identify(df, model)
+    assert got.columns == ["doc_id", "text", "lang", "own", "lang_pred", "score", "rejected"] and got.first().lang_pred == "en"
+    assert lid.identify(df.limit(0), model).count() == 0 and lid.fit(df.limit(0)).labels == []
+
+
 def test_models_of_few_labels(spark):
     shape = "doc_id long, text string, lang string"
     none = lid.fit(spark.createDataFrame([(1, "abc", None), (2, None, "en")], shape))
@@ -79,6 +114,26 @@ def test_no_labels_flag_nothing(spark):
     assert not toxicity.score(df, chain).first().toxic
 
 
+def test_scores_by_brute_force(spark):
+    import math
+    import zlib as z
+
+    rows = [(i, " ".join(["vile"] * (i % 5 == 0) + [f"w{(i * k) % 17}" for k in range(1, 9)]), 3) for i in range(400)] + [(900, None, 3), (901, "", 3), (902, "Vile " * 30_000, 3), (5, "w1", 3), (5, "w1", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p_toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int, low int")
+    chain = toxicity.fit(df, labels, ["low", "toxic"])
+    got = toxicity.score(df, chain).collect()
+    assert len(got) == len(rows) and len(chain.models[1].chain) == 1
+    for r in got:
+        bag = {z.crc32(w.encode()) & ((1 << toxicity.BITS) - 1) for w in __import__("re").findall(r"[^\W\d_]+", (r.text or "").lower())}
+        odds = []
+        for m in chain.models:
+            odds.append(float(sum(float(m.words[b]) for b in bag) + sum(c * min(14, max(-14, o)) for c, o in zip(m.chain, odds, strict=True)) + m.intercept))
+        for p, flag, o, t in zip((r.p_low, r.p_toxic), (r.low, r.toxic), odds, chain.thresholds, strict=True):
+            assert p == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, o)))), abs=1e-5) and flag == (p >= t)
+    assert toxicity.score(df.limit(0), chain).count() == 0
+
+
 # --- packing ---
 
 
@@ -177,6 +232,41 @@ def test_limits_and_budgets_are_met(sources, block):
     assert sum(cut.values()) == pytest.approx(total / 2, rel=0.02)
 
 
+@pytest.mark.parametrize("block,many", [(8, 2), (64, 1024)])
+def test_choice_of_rows_by_brute_force(sources, block, many):
+    budget, repeats = 40_000, 1.7
+    got = mixing.mix(sources, max_repeats=repeats, budget=budget, block_rows=block, sum_blocks=many)
+    kept = [c for c in sources.columns if c != "epoch"]
+    row = F.xxhash64(*[F.col(c) for c in kept])
+    units = sources.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"), *[mixing._unit(row, F.lit(e), mixing.SEED).alias(f"u{e}") for e in range(4)]).collect()
+    total = {}
+    for r in units:
+        total[r.source] = total.get(r.source, 0) + r.n
+    everything = sum(total.values())
+    p = {s: n / everything for s, n in total.items()}
+
+    def weights(a):
+        z = sum(x**a for x in p.values())
+        return {s: x**a / z for s, x in p.items()}
+
+    a = 0.0  # the flattest mixture within the limit, by small steps
+    while max(weights(a)[s] * budget / total[s] for s in p) > repeats * (1 + 1e-9) and a < 1:
+        a += 1e-5
+    want = set()
+    for s, w in weights(a).items():
+        spend, rows = w * budget, [r for r in units if r.source == s]
+        whole, left = int(spend // total[s]), spend % total[s]
+        want |= {(r.doc_id, e) for r in rows for e in range(whole)}
+        for r in sorted(rows, key=lambda r: r[f"u{whole}"]):
+            left -= r.n
+            if left < 0:
+                break
+            want.add((r.doc_id, whole))
+    have = {(r.doc_id, r.epoch) for r in got.collect()}
+    # the steps of alpha move a budget by a few tokens, so a row a source may differ
+    assert len(have ^ want) <= len(p) and len(have) > 1500
+
+
 def test_entropy_target(sources):
     n = tokens(mixing.mix(sources, target_entropy=1.2, max_repeats=None, budget=60_000))
     p = np.array(list(n.values())) / sum(n.values())

@@ -7,9 +7,15 @@ all, equally many a language at most), a fifth of which is kept aside to calibra
 that minimises its log loss, and the confidence under which a prediction is rejected. Scoring reads
 whole texts on the executors; as the softmax is linear, they only get the product of both matrices.
 
+Training takes no text to the driver: executors make the sample's bags of subwords, of at most BAG
+buckets each (those of the smallest mixed numbers, so of the whole text), and the most frequent
+MAX_LABELS labels train.
+
 Defined cases: null text, or one without a letter -> `und`, score 0, rejected; no labelled row at
 all -> the same for every document; one label only -> that label with score 1; null labels and null
-texts never train; equal texts get equal answers.
+texts never train; equal texts get equal answers, so repeated rows do; very long texts are scored whole,
+in one piece each; an empty table gives no rows; extra columns stay, whatever their names, but
+lang_pred, score and rejected of the input are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from . import common
 BITS, DIM, ORDERS, UNKNOWN = 17, 16, (3, 4, 5), "und"
 #: documents of the training sample in all
 MAX_TRAIN = 4000
+#: labels that train, the most frequent ones, and different subwords of a training document
+MAX_LABELS, BAG = 1000, 4096
 #: share of the calibration documents that the rejection threshold gives up at most, and its ceiling
 GIVE_UP, CEILING = 0.002, 0.5
 EPOCHS, RATE, SEED = 5, 0.5, 7
@@ -108,18 +116,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Texts must have a letter each."""
+def bag(text: str, most: int = BAG) -> tuple[np.ndarray, np.ndarray]:
+    """Different buckets of a text with a letter and their shares of all its subwords; of more than `most`, a sample by hash."""
+    u, c = np.unique(np.concatenate([b for _, b in subwords(prepare(text))]), return_counts=True)
+    if len(u) > most:
+        kept = np.sort(np.argsort(u.astype(np.uint32) * _SPREAD, kind="stable")[:most])
+        u, c = u[kept], c[kept]
+    return u.astype(np.int32), (c / c.sum()).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     if len(labels) < 2:
         return Model(labels, np.zeros((1 << BITS, len(labels)), np.float32), np.zeros(len(labels)))
-    bags = []
-    for t in texts:
-        u, c = np.unique(np.concatenate([b for _, b in subwords(prepare(t))]), return_counts=True)
-        bags.append((u, (c / c.sum()).astype(np.float32)))
     y = np.array([labels.index(x) for x in langs])
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     aside, fit = order[: len(order) // 5], order[len(order) // 5 :]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weights, bias = np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32)
@@ -138,7 +150,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
             step += 1
     model = Model(labels, emb @ weights, bias.astype(np.float64))
     if len(aside):
-        x = model.logits([texts[i] for i in aside])
+        x = np.stack([bags[i][1] @ model.table[bags[i][0]] + model.bias for i in aside])
         grid = np.geomspace(0.05, 5, 60)
         loss = [-np.log(softmax(x / t)[np.arange(len(aside)), y[aside]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -151,25 +163,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN) -> pd.DataFrame:
-    """text, lang of at most max_train labelled rows, equally many a label at most, by a hash of the row."""
+def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> DataFrame:
+    """text, lang, mix of at most max_train labelled rows, equally many a label at most, by a hash of the row."""
     able = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most_frequent = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(max_labels, max_train))
+    counts = {r["lang"]: r["n"] for r in most_frequent.collect()}
     if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
+        return docs.sparkSession.createDataFrame([], "text string, lang string, mix long")
     most = max(1, max_train // len(counts))
     # a share of each label's rows first, so that what is ranked is bounded too
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * most / n)))])
     mix = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")))
-    chosen = able.withColumn("mix", mix).where(F.pmod("mix", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = able.withColumn("mix", mix).where(F.pmod("mix", F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "doc_id"))
-    return chosen.withColumn("k", rank).where(F.col("k") <= most).select("text", "lang", "mix").toArrow().to_pandas().sort_values(["lang", "mix"], ignore_index=True)
+    return chosen.withColumn("k", rank).where(F.col("k") <= most).select("text", "lang", "mix")
+
+
+def _bags(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([bag(t) for t in text], columns=["u", "c"])
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from docs(doc_id, text, lang)."""
-    s = training_sample(docs, max_train)
-    return train(s["text"].tolist(), s["lang"].tolist()) if len(s) else Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    bags = F.pandas_udf(_bags, "u array<int>, c array<float>")("text")
+    rows = training_sample(docs, max_train).select("lang", "mix", bags.alias("b")).select("lang", "mix", "b.u", "b.c").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("mix", "ascending")])
+    if not rows.num_rows:
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    arrays = zip(*([x.values.to_numpy() for x in rows[c]] for c in ("u", "c")), strict=True)
+    return train(list(arrays), rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

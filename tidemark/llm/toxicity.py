@@ -10,9 +10,12 @@ out-of-fold predictions.
 Training reads a bounded sample (max_train labelled rows in all, spread evenly over the label
 combinations and weighted back to their true shares); scoring reads whole texts of all documents.
 
-Defined cases: null or empty text scores as a text without words; a null label is skipped for its
-category; repeated label rows of a document count as their maximum; no labels at all, or one class
-only, -> that constant probability (0 without labels) and nothing flagged unless it is 1.
+Defined cases: null or empty text scores as a text without words; very long texts are scored whole; a
+null label is skipped for its category; repeated label rows of a document count as their maximum, and a
+document's text trains once a row; labels without a document are ignored; no labels at all, or one
+class only, -> that constant probability (0 without labels) and nothing flagged unless it is 1; an
+empty table of documents gives no rows; extra columns stay, whatever their names, but those named as a
+category or its probability are replaced.
 """
 
 from __future__ import annotations
