@@ -5,13 +5,15 @@ weights' entropy meets a target, or to the flattest mixture in which no source i
 a limit (the larger alpha if both are asked for). Each source then gets a token budget; it is spent
 in whole permutations of the source's documents, one an epoch, and in the first blocks of one more:
 a row's keyed hash of the epoch places it in a block, blocks follow each other until the budget is
-reached, and the block that it ends in is cut inside. Only sums per source and block and the rows of
-that last block are ordered, so no source is ever gathered, however large its share.
+reached, and the block that it ends in is cut inside. Sums are found in two levels, of many blocks and
+of one, so only such sums and the rows of the last block are ordered; no source is ever gathered,
+however large its share.
 
 Defined cases: null sources are one source of their own; null texts have no tokens; a source without
 tokens is emitted once; an empty table gives no rows; copies of a row that agree in everything are
-chosen or left together. Without a budget the budget is the smallest that emits every row at least
-once. Extra columns stay; epoch, position and n_tokens of the input are replaced.
+chosen or left together, and so are other rows of one hash (ties); very long texts are one row like
+others, their words counted whole. Without a budget the budget is the smallest that emits every row at
+least once. Extra columns stay; epoch, position and n_tokens of the input are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import common
 MAX_REPEATS, SEED = 2.0, 17
 #: expected rows of a block, and sources whose sums the driver takes; with more, sums stay distributed
 BLOCK_ROWS, DRIVER_SOURCES = 1024, 100_000
+#: blocks whose sums are summed up
+SUM_BLOCKS = 1024
 STEPS = 60
 
 
@@ -104,7 +108,7 @@ def _unit(row: Column, epoch: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(row, epoch, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", tokens: Callable[[Column], Column] = word_count, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", tokens: Callable[[Column], Column] = word_count, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS, sum_blocks: int = SUM_BLOCKS) -> DataFrame:
     """docs, each row once an epoch it is in, + epoch, position (its place in the mixture's order), n_tokens."""
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "position", "n_tokens")]
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in kept and not kind.startswith("map")])
@@ -122,9 +126,18 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", tokens: Cal
     placed = slim.join(by_source.select(F.col("source").alias("s"), "epochs", "rest", "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.where("rest > 0").withColumn("unit", _unit(F.col("row"), F.col("epochs"), seed))
     placed = placed.withColumn("block", F.floor(F.col("unit") * F.ceil(F.col("n") / block_rows)).cast("bigint"))
-    blocks = placed.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens"))
-    before = F.sum("tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    last = blocks.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest")))
+    blocks = common.cut(placed.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("many", F.floor(F.col("block") / sum_blocks)))
+
+    def ending(sums: DataFrame, by: str, start: Column) -> DataFrame:
+        """The row of each source in which its rest ends, with the tokens before it."""
+        earlier = F.sum("tokens").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+        at = sums.withColumn("before", start + F.coalesce(earlier, F.lit(0)))
+        return at.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest")))
+
+    coarse = ending(blocks.groupBy("source", "many", "rest").agg(F.sum("tokens").alias("tokens")), "many", F.lit(0))
+    coarse = common.cut(coarse.select(F.col("source").alias("s"), F.col("many").alias("m"), F.col("before").alias("so_far")))
+    fine = blocks.join(F.broadcast(coarse) if small else coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("many") == F.col("m")))
+    last = ending(fine, "block", F.col("so_far"))
     last = common.cut(last.select(F.col("source").alias("s"), F.col("block").alias("b"), "before"))
     inside = placed.join(F.broadcast(last) if small else last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     run = F.sum("tokens").over(Window.partitionBy("source").orderBy("unit"))
