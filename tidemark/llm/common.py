@@ -89,11 +89,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: join every larger neighbour to the smallest neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
-        large = join_counted(both, low, ["u"], "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
-        large = cut(large.distinct())
+        hubs = low.where(F.col("c") > HOT).limit(1).count() > 0  # without any, none comes about in the small star
+        join = (lambda rows, table: join_counted(rows, cut(table), ["u"], "c")) if hubs else (lambda rows, table: rows.join(table, "u"))
+        large = (join_counted(both, low, ["u"], "c") if hubs else both.join(low, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
+        large = large.distinct()
         # small star: join every smaller neighbour (and the node) to the smallest one
-        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
-        pairs = join_counted(large, low2, ["u"], "c")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        pairs = join(large, low2)
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u >= v")
         e = cut(small.union(e.where("u = v")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
