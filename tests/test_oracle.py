@@ -19,7 +19,11 @@ CHOSEN = [
     "ic_decay", "quantile_returns", "quantile_summary", "turnover", "signal_correlation", "league_table", "positions",
     "backtest_daily", "performance_stats", "walk_forward_splits", "walk_forward_report", "sentiment_index", "predictive_stats",
     "coincident_test", "timed_market", "ablation_neutral", "rank_autocorr", "book_overlap", "spanning_factors", "fold_signs",
-    "return_sanity", "store_sql_view",
+    "return_sanity", "store_sql_view", "store_roundtrip", "store_manifest", "cache_summary", "store_staleness", "store_load", "store_export",
+    "wiki_constituents", "wiki_changes", "wiki_table_scores", "wiki_change_scores", "wiki_snapshots", "wiki_revisions", "vendor_ingest",
+    "vendor_quality", "vendor_proxies", "synthetic_bars", "synthetic_latent", "synthetic_membership", "synthetic_proxies",
+    "equity_drawdown", "causal_percentile", "registry_describe", "deflated_sharpe", "rank_normalize", "ic_summary_p", "lag_sandbox",
+    "ablation_folds", "ablation_verdict", "predictive_test", "spanning_regression", "walkforward_signs", "preregistered_run",
 ]
 
 

@@ -93,7 +93,7 @@ def test_constant_cross_section_has_no_ic(spark):
 def test_quantile_buckets_equal_qcut(spark):
     rng = np.random.default_rng(2)
     rows = [rng.normal(size=23).tolist(), rng.integers(0, 4, 23).astype(float).tolist(), [2.0] * 23, [None] * 3 + rng.normal(size=20).tolist()]
-    got = long(spark, rows).withColumn("b", stats.quantile_bucket(F.col("score"), 5, "date")).orderBy("date", "ticker").collect()
+    got = stats.with_bucket(long(spark, rows), "score", 5, ("date",), "b").orderBy("date", "ticker").collect()
     got = np.array([np.nan if r.b is None else r.b for r in got]).reshape(4, 23)
     for k, row in enumerate(rows):
         s = pd.Series(row, dtype=float)
@@ -341,8 +341,71 @@ def test_index_averages_what_there_is(spark):
     assert (i["n_components"] == i[names].notna().sum(axis=1)).all()
     px = sentiment.fallback_market(synthetic.make_proxies(spark, d), m["bars"])
     assert px.count() == len(d)
-    null = inference.null_calibration(spark.createDataFrame(i.reset_index()[["date", "composite"]].dropna(), "date date, composite double"), px, 5, 60, 21, 1, least=100).collect()
-    assert len(null) <= 1
+
+
+def test_null_calibration_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, h, sims, block, seed = 420, 5, 60, 21, 9
+    days = pd.bdate_range("2020-01-01", periods=n).date
+    px, x = 100 * np.cumprod(1 + rng.normal(0, 0.01, n)), rng.uniform(0, 100, n)
+    sent = spark.createDataFrame(pd.DataFrame({"date": days, "composite": x}), "date date, composite double")
+    market = spark.createDataFrame(pd.DataFrame({"date": days, "px": px}), "date date, px double")
+    row = inference.null_calibration(sent, market, h, sims, block, seed, least=100).first()
+    ret = px[1:] / px[:-1] - 1
+
+    def slope(path):
+        p = np.cumprod(1 + path)
+        f = p[1 + h :] / p[1:-h] - 1
+        z = np.column_stack([np.ones(len(f)), x[1:][: len(f)]])
+        beta, *_ = np.linalg.lstsq(z, f, rcond=None)
+        g = z * (f - z @ beta)[:, None]
+        meat = g.T @ g
+        for k in range(1, h):
+            meat += (1 - k / h) * (g[k:].T @ g[:-k] + g[:-k].T @ g[k:])
+        inv = np.linalg.inv(z.T @ z)
+        return beta[1] / np.sqrt((inv @ meat @ inv)[1, 1])
+
+    want = []
+    for k in range(sims):
+        starts = np.random.default_rng([seed, k]).integers(0, len(ret) - block, size=-(-len(ret) // block))
+        want.append(slope(np.concatenate([ret[i : i + block] for i in starts])[: len(ret)]))
+    want = np.array(want)
+    assert row.observed_t == pytest.approx(slope(ret)) and row.n_sims == sims
+    assert row.null_mean_t == pytest.approx(want.mean()) and row.null_std_t == pytest.approx(want.std(ddof=1))
+    assert row.null_p95 == pytest.approx(np.quantile(abs(want), 0.95)) and row.p_value == pytest.approx((abs(want) >= abs(row.observed_t)).mean())
+
+
+def test_normal_quantiles_and_tails(spark):
+    from statistics import NormalDist
+
+    p = [1e-12, 1e-6, 0.01, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.9249, 0.9251, 0.999, 1 - 1e-6]
+    z = [0.0, 0.1, -1.0, 1.96, -3.0, 5.0, 7.0, 7.2, 12.0]
+    got = spark.createDataFrame([(x,) for x in [*p, None]], "p double").select(stats.normal_quantile(F.col("p"))).collect()
+    assert [r[0] for r in got[:-1]] == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-12, abs=1e-12) and got[-1][0] is None
+    got = spark.createDataFrame([(x,) for x in [*z, None]], "z double").select(stats.two_sided(F.col("z"))).collect()
+    assert [r[0] for r in got[:-1]] == pytest.approx([stats.two_sided_p(x) for x in z], rel=1e-8, abs=1e-300) and got[-1][0] is None
+    rows = long(spark, [[3.0, 1.0, 1.0, None, 7.0]])
+    r = transforms.rank_normalize(rows).orderBy("ticker").collect()
+    want = [NormalDist().inv_cdf(min(max(x, 1e-6), 1 - 1e-6)) if x else None for x in (0.75, 0.375, 0.375, None, 1.0)]
+    assert [x.score for x in r] == [w if w is None else pytest.approx(w) for w in want]
+    hurdle = spark.range(1, 60).select("id", bt.sharpe_hurdle(F.col("id"), F.lit(2952)).alias("h")).collect()
+    assert all(x.h == pytest.approx(bt.deflated_sharpe(x.id, 0.0, 2952)["hurdle"]) for x in hurdle)
+
+
+def test_spanning_regression_equals_numpy(spark, market):
+    m = signals.Market(market["bars"], market["sectors"], market["membership"])
+    one = transforms.prepare(signals.Registry().add(signals.ShortTermReversal(lookback=5)).compute_all(m), market["sectors"])
+    got = {r.term: r for r in studies.spanning_regression(one, market["bars"], lags=3).collect()}
+    book = bt.pnl(bt.positions(transforms.weekly(one)), market["bars"], cost_bps=0).select("date", "gross")
+    x = book.join(studies.spanning_factors(market["bars"]), "date").dropna().orderBy("date").toPandas()
+    z, y = np.column_stack([np.ones(len(x)), x["market"], x["megacap_spread"]]), x["gross"].to_numpy()
+    beta = np.linalg.solve(z.T @ z, z.T @ y)
+    g = z * (y - z @ beta)[:, None]
+    meat = sum((1 - abs(k) / 4) * (g[max(k, 0) : len(g) + min(k, 0)].T @ g[max(-k, 0) : len(g) + min(-k, 0)]) for k in range(-3, 4))
+    inv = np.linalg.inv(z.T @ z)
+    t = beta / np.sqrt(np.diag(inv @ meat @ inv))
+    for k, name in enumerate(("const", "market", "megacap_spread")):
+        assert got[name].coef == pytest.approx(beta[k]) and got[name].t_stat == pytest.approx(t[k]) and got[name].n == len(x)
 
 
 def test_studies_run_on_a_synthetic_market(spark, market):
@@ -369,6 +432,41 @@ def test_dense_panels(spark):
 # --- whole runs ---
 
 
+def test_preregistered_ablation_and_diagnosis(spark, market):
+    from tidemark.plans import research
+
+    m = signals.Market(market["bars"], market["sectors"], market["membership"])
+    r = signals.Registry().add(signals.ShortTermReversal(lookback=5)).add(signals.LowVolatility(window=21))
+    got = research.preregistered(m, r.signals[1].name, r, (1, 5), 5, (1, 21), (1, 13, 52), 3, 21)
+    a = got["accounting"].first()
+    assert (a.trials, a.prior, a.cumulative) == (4, 7, 11) and a.hurdle == pytest.approx(bt.deflated_sharpe(11, 0.0, 420)["hurdle"])
+    assert a.max_abs_t == pytest.approx(max(abs(x.t_stat) for x in got["sweep"].collect())) and got["strongest"].first().survivors >= 0
+    assert got["static_bet"] in ("supported", "mixed", "not supported") and got["signs"] in ("supported", "weak", "not supported")
+    folds = got["folds"].collect()
+    assert len(folds) == 3 and got["signs"] == research.sign_verdict([x.signed_sharpe - x.naive_sharpe for x in folds])
+    d = [x[0] for x in market["bars"].select("date").distinct().orderBy("date").collect()]
+    p = synthetic.make_proxies(spark, d)
+    i = sentiment.index(p, market["bars"], window=100, least=50)
+    ab = research.ablation(m, i, sentiment.fallback_market(p, market["bars"]), r, 3, 21)
+    assert {x.variant for x in ab["neutral"].collect()} == {"no sentiment", "contrarian", "momentum"} and ab["folds"].count() == 9
+    sharpe = {(x.variant, x.fold): x.sharpe for x in ab["folds"].collect()}
+    for v in ab["verdict"].collect():
+        assert v.wins == sum(sharpe[v.variant, f] > sharpe["buy and hold", f] for f in (1, 2, 3)) and v.adds_value == (v.wins >= 3)
+    dia = research.diagnosis(m, r)
+    assert dia["coverage"].first().tickers == 60 and dia["mapped"].first().coverage == 1.0 and dia["neutral_vs_raw"].count() == 2 and dia["cross_section"].count() == 2 and dia["moves"].count() == 8
+
+
+def test_synthetic_markets_are_keyed(spark):
+    a = synthetic.make_market(spark, 40, 12, seed=4)
+    whole = {(r.date, r.ticker): (r.close, r.volume) for r in a["bars"].collect()}
+    more = {(r.date, r.ticker): (r.close, r.volume) for r in synthetic.make_market(spark, 60, 30, seed=4)["bars"].repartition(7).collect()}
+    assert all(more[k] == v for k, v in whole.items()) and len(whole) == 480
+    days = sorted({d for d, _ in whole})
+    assert days == list(pd.bdate_range("2015-01-01", periods=40).date)
+    z = spark.range(4000).select(synthetic.normal(synthetic.draw(1, "t", F.col("id"))).alias("z")).toPandas()["z"]
+    assert abs(z.mean()) < 0.05 and abs(z.std() - 1) < 0.05 and abs((z.abs() < 1.96).mean() - 0.95) < 0.02
+
+
 def test_research_and_sentiment_reports(spark, market, tmp_path):
     from tidemark.plans import research
     from tidemark.sources.store import Store
@@ -376,7 +474,7 @@ def test_research_and_sentiment_reports(spark, market, tmp_path):
     r = signals.Registry().add(signals.ShortTermReversal(lookback=5)).add(signals.LowVolatility(window=21))
     got = research.research(signals.Market(market["bars"], market["sectors"], market["membership"]), r)
     assert got["league"].count() == 2 and got["stats"].count() == 2 and got["walk_forward"].count() >= 3 and got["haircut"].first().trials == 2
-    small = market["bars"].where("ticker < 'STK010'")
+    small = market["bars"].where("ticker < 'SYN0010'")
     with pytest.raises(ValueError):
         research.research(signals.Market(small), r)
     d = [x[0] for x in market["bars"].select("date").distinct().orderBy("date").collect()]

@@ -86,3 +86,40 @@ def test_wiki_revisions(spark):
     revs = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 2, 1))], "revid int, at date")
     dates = spark.createDataFrame([(dt.date(2023, 12, 1),), (dt.date(2024, 1, 31),), (dt.date(2024, 2, 1),)], "date date")
     assert {(r.date.month, r.revid) for r in wiki.latest_revisions(revs, dates).collect()} == {(1, 1), (2, 2)}
+
+
+def test_http_and_csv_fetchers(tmp_path):
+    import http.server
+    import threading
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.path.startswith("/A")
+            self.send_response(200 if known else 404)
+            self.send_header("Content-Type", "text/csv; charset=utf-8")
+            self.end_headers()
+            self.wfile.write("Date,Close, Volume\n2024-01-02,1.5,10\n2024-01-03,,20\n".encode() if known else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}"
+        fetch = vendor.csv_fetcher(lambda t, a, b: f"{root}/{t}?from={a}&to={b}", wiki.http_get)
+        rows = vendor.fetch_batch(fetch, ["A", "AB"], "2024-01-01", "2024-01-05", sleep=lambda _: None)
+        assert rows["ticker"].tolist() == ["A", "A", "AB", "AB"] and rows.columns.tolist() == ["date", "ticker", "close", "volume"]
+        with pytest.raises(RuntimeError):
+            vendor.fetch_batch(fetch, ["none"], "2024-01-01", "2024-01-05", sleep=lambda _: None)
+    finally:
+        server.shutdown()
+
+
+def test_batches_are_written_as_they_come(spark, tmp_path):
+    def fetch(tickers, start, end):
+        rows = _rows(tickers, start, end)
+        return rows.drop(columns="volume") if "C" in tickers else rows
+
+    got = vendor.download(spark, fetch, ["A", "B", "C"], "2024-01-01", "2024-01-10", f"file://{tmp_path}/in", batch_size=2, pause=0)
+    assert got.columns == ["date", "ticker", "close", "volume"] and got.where("ticker = 'C' and volume is null").count() == 8 and got.where("ticker <> 'C' and volume = 10").count() == 16

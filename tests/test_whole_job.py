@@ -24,15 +24,7 @@ def test_change_log_has_every_line(spark, duck):  # noqa: F811
 
 def test_neutral_scores_of_all_signals(spark, duck):  # noqa: F811
     assert {r["signal"] for r in same(spark, duck, "sector_neutralize")} == set(catalog.NAMES)
-    name = "diagnostics_neutral_vs_raw"
-    got = {r.signal: r for r in catalog.queries()[name](spark, SF).collect()}
-    rel = duck.sql(catalog.oracle_sql()[name])
-    want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
-    assert set(got) == {r["signal"] for r in want} == set(catalog.NAMES)
-    for r in want:  # a rank that rounding decides moves a percentage of a mean near 0
-        g = got[r["signal"]]
-        assert all(g[c] == r[c] for c in ("ic_neutral", "t_neutral", "ic_raw", "t_raw"))
-        assert abs(g["ic_lost_pct"] - r["ic_lost_pct"]) <= 1e-4 * abs(r["ic_lost_pct"])
+    assert {r["signal"] for r in same(spark, duck, "diagnostics_neutral_vs_raw")} == set(catalog.NAMES)
 
 
 def test_null_has_all_simulations(spark):

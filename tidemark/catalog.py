@@ -7,15 +7,20 @@ The SQL is composed of named common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.stats import rounded
+from .functions.stage import settled
+from .functions.stats import AS241, HART, causal_percentile, rounded
 from .operators import backtest as bt
 from .operators import evaluation as ev
 from .operators import inference, prices, sentiment, signals, transforms, universe
-from .plans import studies
-from .sources import panels
+from .plans import research, studies
+from .sources import panels, synthetic, vendor, wiki
+from .sources.store import Store
 
 WEEKLY = {
     "Momentum12_1": {"lookback": 52, "skip": 4},
@@ -65,7 +70,7 @@ def one(spark: SparkSession, d: str, name: str = REV) -> DataFrame:
 
 
 def combined(spark: SparkSession, d: str) -> DataFrame:
-    return transforms.combine(prepared(spark, d))
+    return transforms.combine(prepared(spark, d), names=NAMES)
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +89,23 @@ def changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return current, rows.select("date", F.when(F.col("side") == 0, name).alias("added"), F.when(F.col("side") == 1, name).alias("removed")).distinct()
 
 
+def settled_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Prepared scores and the grid that they are of, each written once, for what reads them several times."""
+    g = settled(grid(spark, d))
+    return settled(transforms.prepare(REGISTRY.compute_all(signals.Market(g)), sectors(spark, d))), g
+
+
+def composite(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The combined scores and the grid that they are of, which is written once."""
+    g = settled(grid(spark, d))
+    return transforms.combine(transforms.prepare(REGISTRY.compute_all(signals.Market(g)), sectors(spark, d)), names=NAMES), g
+
+
+def decay(spark: SparkSession, d: str) -> DataFrame:
+    g = settled(grid(spark, d))
+    return ev.ic_decay(transforms.prepare(REGISTRY.compute_all(signals.Market(g)), sectors(spark, d)), g, HORIZONS)
+
+
 def index(spark: SparkSession, d: str) -> DataFrame:
     return sentiment.index(panels.region_days(spark, d), grid(spark, d), spans=SPANS)
 
@@ -139,6 +161,25 @@ def _r(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0 as {name}"
 
 
+def _poly(x: str, by_falling_powers) -> str:
+    out = f"{by_falling_powers[0]!r}e0" if "e" not in repr(by_falling_powers[0]) else repr(by_falling_powers[0])
+    for c in by_falling_powers[1:]:
+        out = f"({out} * {x} + {c!r}{'' if 'e' in repr(c) else 'e0'})"
+    return out
+
+
+def _ppf(p: str) -> str:
+    """Standard normal quantile of a column of doubles (AS 241)."""
+    c, m, t = ((f"({_poly('(' + x + ')', a)} / {_poly('(' + x + ')', b)})") for x, (a, b) in zip((f"0.180625e0 - ({p} - 0.5e0) * ({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1 - {p}))) - 1.6e0", f"sqrt(-ln(least({p}, 1 - {p}))) - 5e0"), AS241, strict=True))
+    return f"case when abs({p} - 0.5e0) <= 0.425e0 then ({p} - 0.5e0) * {c} else sign({p} - 0.5e0) * case when sqrt(-ln(least({p}, 1 - {p}))) <= 5 then {m} else {t} end end"
+
+
+def _two_sided(t: str) -> str:
+    """p value of a z statistic (Hart's approximation; beyond 7 its continued fraction)."""
+    z = f"abs({t})"
+    return f"2 * exp(-{z} * {z} / 2) * case when {z} < 7.07106781186547 then {_poly(z, HART[0])} / {_poly(z, HART[1])} else 1 / ({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65e0))))) / 2.506628274631e0 end"
+
+
 SIGNAL_SQL = (
     f"lag(close, 4) {W} / nullif(lag(close, 52) {W}, 0) - 1",
     f"-(close / nullif(lag(close, 4) {W}, 0) - 1)",
@@ -208,7 +249,7 @@ def _hac(src: str, to: str) -> None:
 _ic("prep", "ic")
 _ic("prev", "ic_rev")
 _ic("prev", "ic_rev_p", method="pearson")
-_ic("raw_z", "ic_raw")
+_ic("prep_w", "ic_raw")
 _hac("ic", "summary")
 _hac("ic_raw", "summary_raw")
 
@@ -270,8 +311,12 @@ def _stats(src: str, to: str, key: str = "") -> None:
 _equity("pnl", "curve")
 _stats("pnl", "perf")
 
-CTE["cal"] = (("dates",), "select date, row_number() over (order by date) - 1 as i, count(*) over () as n from dates")
-CTE["folds"] = (("cal",), "select f as fold, min(case when i = 0 then date end) as train_start, max(case when i = f * (n // 5) - 1 then date end) as train_end, max(case when i = f * (n // 5) + 4 then date end) as test_start, max(case when i = least(f * (n // 5) + n // 5, n) - 1 then date end) as test_end from cal cross join range(1, 5) r(f) group by 1")
+def _folds(dates: str, to: str, embargo: int) -> None:
+    CTE[f"{to}_cal"] = ((dates,), f"select date, row_number() over (order by date) - 1 as i, count(*) over () as n from (select distinct date from {dates})")
+    CTE[to] = ((f"{to}_cal",), f"select f as fold, min(case when i = 0 then date end) as train_start, max(case when i = f * (n // 5) - 1 then date end) as train_end, max(case when i = f * (n // 5) + {embargo} then date end) as test_start, max(case when i = least(f * (n // 5) + n // 5, n) - 1 then date end) as test_end from {to}_cal cross join range(1, 5) r(f) group by 1")
+
+
+_folds("dates", "folds", 4)
 CTE["wf_s"] = (("comb", "folds"), "select fold, date, ticker, score from comb join folds on date between test_start and test_end")
 _weekly("wf_s", "wf_wk", "fold,")
 _book("wf_wk", "wf_book", "fold,")
@@ -339,6 +384,86 @@ CTE["longs"] = (("book_rev",), "select date, list(ticker) as names, row_number()
 CTE["overlap"] = (("longs",), "select k as weeks, avg(len(list_intersect(a.names, b.names)) / len(a.names)) as overlap from longs a cross join (values (1), (13), (52)) o(k) join longs b on b.i = a.i + k group by 1")
 
 
+_ic("prep", "ic_l0", "fwd0")
+_ic("prep_w", "ic_raw_l0", "fwd0")
+for _x in ("ic_l0", "ic_raw_l0", "ic_rev"):
+    _hac(_x, f"summary_{_x}")
+_folds("timed", "t_folds", 21)
+CTE["timed_f"] = (("timed", "t_folds"), "select fold, variant, t.date, net from timed t join t_folds on t.date between test_start and test_end")
+_stats("timed_f", "timed_fp", "fold, variant,")
+
+# sign selection
+CTE["signs"] = (("folds", "prep", "ic"), "select fold, signal, case when coalesce(abs(m) < 1e-6, true) then 0.0 else sign(m)::double end as sign from (select fold, x.signal, avg(ic) as m from (select fold, train_end, signal from folds cross join (select distinct signal from prep)) x left join ic on ic.signal = x.signal and ic.horizon = 5 and ic.date <= x.train_end group by 1, 2)")
+CTE["sg_w"] = (("signs",), "select fold, signal, 'signed' as variant, sign as w from signs union all select fold, signal, 'naive', 1.0::double from signs")
+CTE["sg_s"] = (("prep", "folds", "sg_w"), "select p.fold, variant, date, ticker, sum(case when score is not null then w * score end) / nullif(sum(case when score is not null then abs(w) end), 0) as score from (select fold, date, ticker, signal, score from prep join folds on date between test_start and test_end) p join sg_w on sg_w.fold = p.fold and sg_w.signal = p.signal group by 1, 2, 3, 4")
+_weekly("sg_s", "sg_wk", "fold, variant,")
+_book("sg_wk", "sg_book", "fold, variant,")
+CTE["sg_r"] = (("rets", "folds"), "select fold, variant, ticker, date, ret from rets join folds on date between test_start and test_end cross join (values ('naive'), ('signed')) v(variant)")
+CTE["sg_h"] = (("sg_r", "sg_book"), "select fold, variant, ticker, date, ret, coalesce(lag(w) over (partition by fold, variant, ticker order by date), 0) as held from (select r.fold, r.variant, r.ticker, r.date, r.ret, last_value(b.w ignore nulls) over (partition by r.fold, r.variant, r.ticker order by r.date rows between unbounded preceding and current row) as w from sg_r r left join sg_book b on b.fold = r.fold and b.variant = r.variant and b.ticker = r.ticker and b.date = r.date)")
+CTE["sg_pnl"] = (("sg_h",), "select fold, variant, date, coalesce(sum(held * ret), 0) - sum(coalesce(abs(held - p), 0)) * 10 / 1e4 as net from (select *, lag(held) over (partition by fold, variant, ticker order by date) as p from sg_h) group by 1, 2, 3")
+_stats("sg_pnl", "sg_perf", "fold, variant,")
+CTE["sg"] = (("sg_perf", "signs", "folds"), "select f.fold::int as fold, " + ", ".join(f"max(case when variant = '{v}' then {c} end) as {v}_{n}" for v in ("naive", "signed") for c, n in (("sharpe", "sharpe"), ("ann_return", "return"))) + ", any_value(n_positive_signs) as n_positive_signs, any_value(test_start) as test_start, any_value(test_end) as test_end from folds f join sg_perf using (fold) join (select fold, sum((sign > 0)::bigint)::bigint as n_positive_signs from signs group by 1) using (fold) group by 1")
+
+
+# regressions with autocorrelation-robust errors: by partialling out, a coefficient is that of its regressor's residual r
+def _robust(src: str, to: str, key: str, lags: str) -> None:
+    """src(key, i, r, u, b): b, t of each key; r the regressor's residual, u the regression's."""
+    CTE[f"{to}_c"] = ((src,), f"select a.{key}, sum(a.r * a.u * b.r * b.u * (1 - (a.i - b.i) / ({lags} + 1.0))) as c from {src} a join {src} b on a.{key} = b.{key} and a.i - b.i between 1 and {lags} group by 1")
+    CTE[to] = ((src, f"{to}_c"), f"select {key}, b, b / (sqrt(greatest(v, 0)) / d) as t from (select {key}, any_value(b) as b, sum(r * u * r * u) + 2 * coalesce((select c from {to}_c c where c.{key} = s.{key}), 0) as v, sum(r * r) as d from {src} s group by {key})")
+
+
+CTE["fjh"] = (("joint",), "select * from (" + " union all ".join(f"select {h} as horizon, date, composite, lead(px, {1 + h}) over (order by date) / nullif(lead(px, 1) over (order by date), 0) - 1 as fwd from joint" for h in (5, 21, 63)) + ") where fwd is not null")
+CTE["fjm"] = (("fjh",), "select horizon, regr_slope(fwd, composite) as b, regr_intercept(fwd, composite) as a, avg(composite) as m from fjh group by 1")
+CTE["fju"] = (("fjh", "fjm"), "select horizon, row_number() over (partition by horizon order by date) as i, composite - m as r, fwd - a - b * composite as u, b from fjh join fjm using (horizon)")
+_robust("fju", "fjt", "horizon", "greatest(a.horizon - 1, 1)")
+CTE["fjb"] = (("fjh",), "select horizon, composite, fwd, len(list_filter(e[2:6], lambda v: v < round(composite, 12))) as b from fjh join (select horizon, list_sort(list_distinct(list_transform(quantile_cont(composite, [0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda e: round(e, 12)))) as e from fjh group by 1) using (horizon)")
+CTE["fjs"] = (("fjb",), f"select horizon, count(*) as n, regr_slope(fwd, composite) as slope, regr_r2(fwd, composite) as r2, {_corr('composite', 'fwd')} as corr, avg(case when b = 0 then fwd end) * 252 / horizon as low_ann, avg(case when b = top then fwd end) * 252 / horizon as high_ann from (select *, max(b) over (partition by horizon) as top from fjb) group by 1 having count(*) >= 200")
+CTE["factors"] = (("rets",), f"select date, avg(ret) as market, avg(case when share > 0.9 then ret end) - avg(case when share < 0.5 then ret end) as megacap_spread from (select date, ret, ({_rank('dv', 'date')}) / count(dv) over (partition by date) as share from (select *, {_mean('close * volume', 13, 5)} as dv from rets)) group by 1")
+
+
+def _spanning(book: str, to: str) -> None:
+    """The regression of a book's gross return on both factors, term by term."""
+    _pnl(book, f"{to}_p", 0.0)
+    CTE[f"{to}_x"] = ((f"{to}_p", "factors"), f"select row_number() over (order by date) as i, gross as y, market as x1, megacap_spread as x2 from {to}_p join factors using (date) where market is not null and megacap_spread is not null")
+    CTE[f"{to}_m"] = ((f"{to}_x",), f"select count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, covar_pop(x1, x1) as c11, covar_pop(x2, x2) as c22, covar_pop(x1, x2) as c12, covar_pop(x1, y) as c1, covar_pop(x2, y) as c2, covar_pop(y, y) as cy, sum(x1 * x1) as s11, sum(x2 * x2) as s22, sum(x1 * x2) as s12, sum(x1) as s1, sum(x2) as s2 from {to}_x")
+    CTE[f"{to}_b"] = ((f"{to}_m",), f"select *, (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) as b1, (c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12) as b2, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as g1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as g2 from {to}_m")
+    CTE[f"{to}_r"] = ((f"{to}_x", f"{to}_b"), f"select i, y - (my - b1 * m1 - b2 * m2) - b1 * x1 - b2 * x2 as u, 1 - g1 * x1 - g2 * x2 as r0, x1 - m1 - c12 / c22 * (x2 - m2) as r1, x2 - m2 - c12 / c11 * (x1 - m1) as r2, my - b1 * m1 - b2 * m2 as b0, b1, b2, n, cy from {to}_x cross join {to}_b")
+    CTE[f"{to}_l"] = ((f"{to}_r",), " union all ".join(f"select '{t}' as term, i, r{k} as r, u, b{k} as b from {to}_r" for k, t in enumerate(("const", "market", "megacap_spread"))))
+    _robust(f"{to}_l", f"{to}_t", "term", "4")
+    CTE[to] = ((f"{to}_t", f"{to}_r"), f"select term, b as coef, t as t_stat, {_two_sided('t')} as p_value, r2, n from {to}_t cross join (select 1 - sum(u * u) / (any_value(cy) * count(*)) as r2, count(*) as n from {to}_r)")
+
+
+_spanning("book_rev", "span_rev")
+CTE["prev_liq"] = (("prep",), f"select date, ticker, score from prep where signal = '{LIQ}'")
+_weekly("prev_liq", "prev_liq_wk")
+_book("prev_liq_wk", "book_liq")
+_spanning("book_liq", "span_liq")
+CTE["longs_liq"] = (("book_liq",), "select date, list(ticker) as names, row_number() over (order by date) as i from book_liq where w > 0 group by 1")
+CTE["year_liq"] = (("longs_liq",), "select avg(len(list_intersect(a.names, b.names)) / len(a.names)) as overlap from longs_liq a join longs_liq b on b.i = a.i + 52")
+
+# synthetic: draws are keyed hashes
+_MD5 = "md5(concat_ws('|', '{seed}', {keys}))"
+
+
+def _uniform(digest: str, half: int = 0) -> str:
+    return f"((('0x' || substr({digest}, {1 + 13 * half}, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+def _normal(seed: int, *keys: str) -> str:
+    digest = _MD5.format(seed=seed, keys=", ".join(keys))
+    return f"(sqrt(-2 * ln({_uniform(digest)})) * cos({_uniform(digest, 1)} * 6.283185307179586e0))"
+
+
+SYN_DAYS, SYN_NAMES, SYN_SEED = 260, 60, 7
+CTE["syn_names"] = ((), f"select i, printf('SYN%04d', i) as ticker, floor({_uniform(_MD5.format(seed=SYN_SEED, keys=chr(39) + 'sector' + chr(39) + ', i'))} * 8)::int as g from range({SYN_NAMES}) r(i)")
+CTE["syn_cells"] = (("syn_names",), f"select *, date '2014-12-29' + (((d + 3) // 5) * 7 + (d + 3) % 5)::int as date from syn_names cross join range({SYN_DAYS}) r(d)")
+CTE["syn_state"] = (("syn_cells",), f"select *, sum(e) over w / sqrt(count(e) over w) as state from (select *, {_normal(SYN_SEED, chr(39) + 'shock' + chr(39), 'i', 'd')} as e from syn_cells) window w as (partition by i order by d rows between 23 preceding and current row)")
+CTE["syn_step"] = (("syn_state",), "select *, 0.0003e0 + 0.011e0 * " + _normal(SYN_SEED, "'market'", "d") + " + 0.007e0 * " + _normal(SYN_SEED, "'group'", "g", "d") + " + 0.016e0 * " + _normal(SYN_SEED, "'own'", "i", "d") + " + 0.03e0 * 0.15e0 * coalesce(lag(state) over (partition by i order by d), 0) as step from syn_state")
+CTE["syn_bars"] = (("syn_step",), "select date, ticker, 100 * exp(sum(step) over (partition by i order by d)) as close, round(exp(13 + 0.7e0 * " + _normal(SYN_SEED, "'size'", "i") + " + 0.3e0 * " + _normal(SYN_SEED, "'volume'", "i", "d") + ")) as volume from syn_step")
+CTE["syn_proxy_e"] = (("dates",), "select name, row_number() over (partition by name order by date) - 1 as d, date from dates cross join (values ('^VIX'), ('SPY'), ('TLT'), ('HYG'), ('LQD')) v(name)")
+CTE["syn_proxies"] = (("syn_proxy_e",), "select name, date, case when name = '^VIX' then 12 + 6 * abs(sum(e) over (partition by name order by d rows between 9 preceding and current row) / sqrt(count(e) over (partition by name order by d rows between 9 preceding and current row))) else 100 * exp(sum(case name when 'SPY' then 0.0003e0 + 0.011e0 * e when 'TLT' then 0.0001e0 + 0.006e0 * e when 'HYG' then 0.0002e0 + 0.004e0 * e when 'LQD' then 0.0001e0 + 0.003e0 * e end) over (partition by name order by d)) end as px from (select *, " + _normal(3, "'proxy'", "name", "d") + " as e from syn_proxy_e)")
+
+
 def compose(final: str, *needs: str) -> str:
     """The final select with the common table expressions that it needs, in order."""
     order: list[str] = []
@@ -364,6 +489,20 @@ def _select(cte: str, exact: str = "", doubles: str = "", digits: int = 6) -> st
 PERF = "ann_return, ann_vol, sharpe, max_drawdown, calmar, hit_rate, skew"
 
 
+REGISTRY_SQL = """
+select * from (values
+  ('Momentum12_1_lookback52_skip4', 'momentum', 'past winners keep winning; the latest month is skipped, as it reverses'),
+  ('ShortTermReversal_lookback4', 'reversal', 'short-run losers rebound'),
+  ('LowVolatility_window13', 'risk', 'quiet names earn more per unit of risk'),
+  ('TrendStrength_vol_window13_window40', 'trend', 'distance from the long average, in units of volatility'),
+  ('LiquidityTurnover_window13', 'liquidity', 'thinly traded names pay a premium'),
+  ('IdiosyncraticMomentum_lookback52_skip4', 'momentum', 'momentum of what the market does not explain'),
+  ('VolumeShock_long13_short2', 'attention', 'names with sudden volume are overbought')
+) v(name, family, rationale)
+"""
+_HURDLE = f"((1 - 0.5772156649e0) * ({_ppf('p')}) + 0.5772156649e0 * ({_ppf('q')})) / sqrt({{n}}) * sqrt(252)"
+
+
 def _build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     q["panel_weekly"] = (lambda s, d: out(grid(s, d), "date", "ticker", "close", "volume"), _select("grid", "date, ticker, close", "volume"))
@@ -396,7 +535,7 @@ def _build() -> dict[str, tuple]:
     )
     q["etf_universe"] = (
         lambda s, d: universe.etf_universe(s, panels.calendar(panels.supplier_weeks(s, d))),
-        compose("select date, ticker, date >= first_day::date as is_member from dates cross join (values " + ", ".join(f"('{t}', '{x}')" for t, _, x in universe.SECTOR_ETFS) + ") e(ticker, first_day)", "dates"),
+        compose("select date, ticker, date >= first_day::date as is_member from dates cross join (values ('XLB', '1998-12-22'), ('XLC', '2018-06-19'), ('XLE', '1998-12-22'), ('XLF', '1998-12-22'), ('XLI', '1998-12-22'), ('XLK', '1998-12-22'), ('XLP', '1998-12-22'), ('XLRE', '2015-10-08'), ('XLU', '1998-12-22'), ('XLV', '1998-12-22'), ('XLY', '1998-12-22')) e(ticker, first_day)", "dates"),
     )
     q["constituent_filter"] = (
         lambda s, d: universe.constituents(panels.read(s, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.upper(F.substring("p_name", 1, 4)), F.lit("."), F.col("p_size").cast("string")).alias("ticker"))).select("seq", "ticker"),
@@ -421,7 +560,10 @@ def _build() -> dict[str, tuple]:
     q["winsorize"] = (lambda s, d: out(damped(transforms.winsorize(raw(s, d))), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_w", "prep_w"))
     q["zscore"] = (lambda s, d: out(transforms.zscore(transforms.winsorize(raw(s, d))), "date", "ticker", "signal", "score"), _select("raw_z", "date, ticker, signal", "score"))
     q["rank_share"] = (lambda s, d: out(transforms.rank_share(raw(s, d)), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(f'({_rank('score', 'signal, date')}) / count(score) over (partition by signal, date)', 'score')} from raw", "raw"))
-    q["rank_normalize"] = (lambda s, d: out(transforms.rank_normalize(raw(s, d)), "date", "ticker", "signal", "score"), None)
+    q["rank_normalize"] = (
+        lambda s, d: out(transforms.rank_normalize(raw(s, d)), "date", "ticker", "signal", "score"),
+        compose(f"select date, ticker, signal, {_r(_ppf('p'), 'score')} from (select date, ticker, signal, case when score is not null then least(greatest(share, 1e-6), 1 - 1e-6) end as p from (select date, ticker, signal, score, ({_rank('score', 'signal, date')}) / count(score) over (partition by signal, date) as share from raw))", "raw"),
+    )
     q["sector_neutralize"] = (lambda s, d: out(damped(transforms.sector_neutralize(transforms.winsorize(raw(s, d)), sectors(s, d))), "date", "ticker", "signal", "score"), compose(f"select date, ticker, signal, {_r(DAMPED, 'score')} from prep_n", "prep_n"))
     q["prepare"] = (lambda s, d: out(prepared(s, d), "date", "ticker", "signal", "score"), _select("prep", "date, ticker, signal", "score"))
     q["rebalance_sample"] = (
@@ -430,7 +572,7 @@ def _build() -> dict[str, tuple]:
     )
     q["combine"] = (lambda s, d: out(combined(s, d), "date", "ticker", "score"), _select("comb", "date, ticker", "score"))
     q["combine_weighted"] = (
-        lambda s, d: out(transforms.combine(prepared(s, d), {n: w for n, w in zip(NAMES, (2.0, 1.0, 0.0, -1.0, 0.5, 1.0, 1.0), strict=True)}), "date", "ticker", "score"),
+        lambda s, d: out(transforms.combine(prepared(s, d), {n: w for n, w in zip(NAMES, (2.0, 1.0, 0.0, -1.0, 0.5, 1.0, 1.0), strict=True)}, NAMES), "date", "ticker", "score"),
         compose(f"select date, ticker, {_r('sum(w * score) / nullif(sum(case when score is not null then abs(w) end), 0)', 'score')} from prep join (values " + ", ".join(f"('{n}', {w})" for n, w in zip(NAMES, (2.0, 1.0, 0.0, -1.0, 0.5, 1.0, 1.0), strict=True)) + ") v(signal, w) using (signal) group by 1, 2", "prep"),
     )
     q["display_rankings"] = (
@@ -439,30 +581,33 @@ def _build() -> dict[str, tuple]:
     )
     q["ic_spearman"] = (lambda s, d: out(ev.information_coefficient(one(s, d), prices.forward_returns(grid(s, d), HORIZONS))), _select("ic_rev", "date, signal, horizon, n", "ic"))
     q["ic_pearson"] = (lambda s, d: out(ev.information_coefficient(one(s, d), prices.forward_returns(grid(s, d), HORIZONS), "pearson")), _select("ic_rev_p", "date, signal, horizon, n", "ic"))
-    q["ic_decay"] = (lambda s, d: out(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS)), _select("summary", "signal, horizon, n", "mean_ic, ic_std, t_stat, ic_ir, hit_rate"))
-    q["ic_summary_p"] = (lambda s, d: out(ev.with_p(ev.ic_decay(one(s, d), grid(s, d), HORIZONS))), None)
-    q["horizon_sweep"] = (lambda s, d: out(ev.horizon_sweep(prepared(s, d), grid(s, d), HORIZONS)), compose("select signal, " + ", ".join(_r(f"max(case when horizon = {h} then t_stat end)", f"t_{h}") for h in HORIZONS) + " from summary group by 1", "summary"))
-    q["significance"] = (lambda s, d: out(studies.significance(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select sum((abs(t_stat) > 3)::bigint)::bigint as passing, count(t_stat) as trials, {_r('max(abs(t_stat))', 'max_abs_t')} from summary", "summary"))
-    q["strongest_cell"] = (lambda s, d: out(ev.strongest(ev.ic_decay(prepared(s, d), grid(s, d), HORIZONS))), compose(f"select signal, horizon, {_r('t_stat', 't_stat')}, survivors from (select *, sum((abs(t_stat) > 3)::bigint) over ()::bigint as survivors from summary) order by abs(t_stat) desc limit 1", "summary"))
-    q["quantile_returns"] = (lambda s, d: out(ev.quantile_returns(prepared(s, d), grid(s, d), 5)), _select("qret", "date, signal", "q1, q2, q3, q4, q5, spread"))
-    q["quantile_summary"] = (lambda s, d: out(ev.quantile_summary(ev.quantile_returns(prepared(s, d), grid(s, d), 5), 5)), compose("select signal, " + ", ".join(_r(f"{c}_{k}", f"{c}_{k}") for c in _Q for k in ("ret", "vol", "sharpe")) + f", {_r('monotonicity', 'monotonicity')} from qsum left join mono using (signal)", "qsum", "mono"))
+    q["ic_decay"] = (lambda s, d: out(decay(s, d)), _select("summary", "signal, horizon, n", "mean_ic, ic_std, t_stat, ic_ir, hit_rate"))
+    q["ic_summary_p"] = (
+        lambda s, d: out(ev.with_p(ev.ic_decay(one(s, d), grid(s, d), HORIZONS))),
+        compose("select signal, horizon, n, " + ", ".join(_r(c, c) for c in ("mean_ic", "ic_std", "t_stat", "ic_ir", "hit_rate")) + f", {_r(_two_sided('t_stat'), 'p_value')} from summary_ic_rev", "summary_ic_rev"),
+    )
+    q["horizon_sweep"] = (lambda s, d: out(ev.horizon_sweep(*settled_scores(s, d), HORIZONS)), compose("select signal, " + ", ".join(_r(f"max(case when horizon = {h} then t_stat end)", f"t_{h}") for h in HORIZONS) + " from summary group by 1", "summary"))
+    q["significance"] = (lambda s, d: out(studies.significance(decay(s, d))), compose(f"select sum((abs(t_stat) > 3)::bigint)::bigint as passing, count(t_stat) as trials, {_r('max(abs(t_stat))', 'max_abs_t')} from summary", "summary"))
+    q["strongest_cell"] = (lambda s, d: out(ev.strongest(decay(s, d))), compose(f"select signal, horizon, {_r('t_stat', 't_stat')}, survivors from (select *, sum((abs(t_stat) > 3)::bigint) over ()::bigint as survivors from summary) order by abs(t_stat) desc limit 1", "summary"))
+    q["quantile_returns"] = (lambda s, d: out(ev.quantile_returns(*settled_scores(s, d), 5)), _select("qret", "date, signal", "q1, q2, q3, q4, q5, spread"))
+    q["quantile_summary"] = (lambda s, d: out(ev.quantile_summary(ev.quantile_returns(*settled_scores(s, d), 5), 5)), compose("select signal, " + ", ".join(_r(f"{c}_{k}", f"{c}_{k}") for c in _Q for k in ("ret", "vol", "sharpe")) + f", {_r('monotonicity', 'monotonicity')} from qsum left join mono using (signal)", "qsum", "mono"))
     q["turnover"] = (lambda s, d: out(ev.turnover(prepared(s, d))), _select("turn", "date, signal", "turnover"))
     q["cost_drag"] = (lambda s, d: out(ev.cost_drag(ev.turnover(prepared(s, d)), 10.0, 50.4)), compose(f"select signal, {_r('avg(turnover) * 10 / 1e4 * 50.4', 'cost_drag')} from turn group by 1", "turn"))
-    q["signal_correlation"] = (lambda s, d: out(ev.signal_correlation(prepared(s, d))), _select("corrs", "signal_a, signal_b", "corr"))
-    q["redundant_pairs"] = (lambda s, d: out(ev.redundant_pairs(ev.signal_correlation(prepared(s, d)), 0.3)), compose(f"select signal_a, signal_b, {_r('corr', 'corr')} from pairs where abs(corr) > 0.3", "pairs"))
+    q["signal_correlation"] = (lambda s, d: out(ev.signal_correlation(prepared(s, d), names=NAMES)), _select("corrs", "signal_a, signal_b", "corr"))
+    q["redundant_pairs"] = (lambda s, d: out(ev.redundant_pairs(ev.signal_correlation(prepared(s, d), names=NAMES), 0.3)), compose(f"select signal_a, signal_b, {_r('corr', 'corr')} from pairs where abs(corr) > 0.3", "pairs"))
     q["ic_correlation"] = (
         lambda s, d: out(ev.ic_correlation(ev.information_coefficient(prepared(s, d), prices.forward_returns(grid(s, d), (5,))))),
         compose(f"select a.signal as signal_a, b.signal as signal_b, a.horizon, {_r(_corr('a.ic', 'b.ic'), 'corr')} from ic a join ic b on a.date = b.date and a.horizon = b.horizon where a.horizon = 5 group by 1, 2, 3", "ic"),
     )
     q["league_table"] = (
-        lambda s, d: out(ev.league_table(prepared(s, d), grid(s, d), HORIZONS)),
+        lambda s, d: out(ev.league_table(*settled_scores(s, d), HORIZONS)),
         compose("select signal, " + ", ".join(_r(c, c) for c in ("mean_ic", "t_stat", "ic_ir", "hit_rate", "spread_ret", "spread_sharpe", "monotonicity", "turnover")) + f", {_r('turnover * 10 / 1e4 * 50.4', 'cost_drag')}, {_r('spread_ret - turnover * 10 / 1e4 * 50.4', 'net_spread_ret')} from summary left join qsum using (signal) left join mono using (signal) left join (select signal, avg(turnover) as turnover from turn group by 1) using (signal) where horizon = 5", "summary", "qsum", "mono", "turn"),
     )
     q["positions"] = (lambda s, d: out(bt.positions(transforms.weekly(combined(s, d)))), _select("book", "date, ticker", "w"))
-    q["backtest_daily"] = (lambda s, d: out(bt.backtest(combined(s, d), grid(s, d)), "date", "gross", "cost", "net", "equity", "drawdown"), _select("curve", "date", "gross, cost, net, equity, drawdown"))
-    q["performance_stats"] = (lambda s, d: out(bt.performance(bt.backtest(combined(s, d), grid(s, d)))), _select("perf", "n_periods", PERF))
+    q["backtest_daily"] = (lambda s, d: out(bt.backtest(*composite(s, d)), "date", "gross", "cost", "net", "equity", "drawdown"), _select("curve", "date", "gross, cost, net, equity, drawdown"))
+    q["performance_stats"] = (lambda s, d: out(bt.performance(bt.backtest(*composite(s, d)))), _select("perf", "n_periods", PERF))
     q["walk_forward_splits"] = (lambda s, d: bt.walk_forward_splits(panels.supplier_weeks(s, d), 4, 4), compose("select fold::int as fold, train_start, train_end, test_start, test_end from folds", "folds"))
-    q["walk_forward_report"] = (lambda s, d: out(bt.walk_forward(combined(s, d), grid(s, d), 4, 4)), compose("select fold::int as fold, n_periods, " + ", ".join(_r(c.strip(), c.strip()) for c in PERF.split(",")) + " from wf_perf", "wf_perf"))
+    q["walk_forward_report"] = (lambda s, d: out(bt.walk_forward(*composite(s, d), 4, 4)), compose("select fold::int as fold, n_periods, " + ", ".join(_r(c.strip(), c.strip()) for c in PERF.split(",")) + " from wf_perf", "wf_perf"))
     for c in sentiment.COMPONENTS:
         q[f"component_{c}"] = ((lambda c: lambda s, d: out(sentiment.component(panels.region_days(s, d), c, grid(s, d), spans=SPANS), "date", "value"))(c), _select(f"c_{c}", "date", "value"))
     q["sentiment_index"] = (lambda s, d: out(index(s, d)), _select("sent", "date, n_components", "volatility, credit, safe_haven, momentum, breadth, composite"))
@@ -484,10 +629,14 @@ def _build() -> dict[str, tuple]:
         compose("select variant, " + ", ".join(_r(c, c) for c in ("ann_return", "ann_vol", "sharpe", "max_drawdown", "hit_rate")) + f", {_r('''sharpe - (select sharpe from timed_perf where variant = 'buy and hold')''', 'delta_sharpe')} from timed_perf", "timed_perf"),
     )
     q["ablation_neutral"] = (
-        lambda s, d: out(studies.ablation_neutral(combined(s, d), grid(s, d), index(s, d))),
+        lambda s, d: out(studies.ablation_neutral(*composite(s, d), index(s, d))),
         compose("select variant, " + ", ".join(_r(c, c) for c in ("ann_return", "ann_vol", "sharpe", "max_drawdown")) + f", {_r('''sharpe - (select sharpe from v_perf where variant = 'no sentiment')''', 'delta_sharpe')} from v_perf", "v_perf"),
     )
-    q["ablation_folds"] = (lambda s, d: out(studies.ablation_folds(spy(s, d), index(s, d))), None)
+    q["ablation_folds"] = (lambda s, d: out(studies.ablation_folds(spy(s, d), settled(index(s, d)))), compose(f"select fold::int as fold, variant, {_r('sharpe', 'sharpe')} from timed_fp", "timed_fp"))
+    q["ablation_verdict"] = (
+        lambda s, d: out(studies.ablation_verdict(settled(studies.ablation_folds(spy(s, d), settled(index(s, d)))))),
+        compose(f"select a.variant, sum((a.sharpe > b.sharpe)::bigint)::bigint as wins, {_r('avg(a.sharpe - b.sharpe)', 'mean_delta')}, sum((a.sharpe > b.sharpe)::bigint) >= 3 as adds_value from timed_fp a join timed_fp b on a.fold = b.fold and b.variant = 'buy and hold' where a.variant <> 'buy and hold' group by 1", "timed_fp"),
+    )
     q["rank_autocorr"] = (
         lambda s, d: out(studies.rank_autocorrelation(prepared(s, d), (1, 4, 13, 52))),
         compose(" union all ".join(f"select signal, {k} as lag, {_r('avg(c)', 'rank_autocorr')} from (select signal, date, {_corr('r', 'p')} as c from (select signal, date, case when p is not null then r end as r, case when r is not null then p end as p from (select signal, date, r, lag(r, {k}) over (partition by signal, ticker order by date) as p from rk)) group by 1, 2) group by 1" for k in (1, 4, 13, 52)), "rk"),
@@ -501,12 +650,12 @@ def _build() -> dict[str, tuple]:
         lambda s, d: out(studies.spanning_factors(grid(s, d), 13, 5)),
         compose(f"select date, {_r('avg(ret)', 'market')}, {_r('avg(case when share > 0.9 then ret end) - avg(case when share < 0.5 then ret end)', 'megacap_spread')} from (select date, ret, ({_rank('dv', 'date')}) / count(dv) over (partition by date) as share from (select *, {_mean('close * volume', 13, 5)} as dv from rets)) group by 1", "rets"),
     )
-    q["spanning_regression"] = (lambda s, d: out(studies.spanning_regression(one(s, d), grid(s, d), 4, 13, 5)), None)
+    q["spanning_regression"] = (lambda s, d: out(studies.spanning_regression(one(s, d), grid(s, d), 4, 13, 5), digits=5), _select("span_rev", "term, n", "coef, t_stat, p_value, r2", 5))
     q["fold_signs"] = (
-        lambda s, d: out(studies.fold_signs(prepared(s, d), grid(s, d), 5, 4, 4)),
+        lambda s, d: out(studies.fold_signs(*settled_scores(s, d), 5, 4, 4)),
         compose("select fold::int as fold, signal, case when coalesce(abs(m) < 1e-6, true) then 0.0 else sign(m)::double end as sign from (select fold, x.signal, avg(ic) as m from (select fold, train_end, signal from folds cross join (select distinct signal from prep)) x left join ic on ic.signal = x.signal and ic.horizon = 5 and ic.date <= x.train_end group by 1, 2)", "folds", "prep", "ic"),
     )
-    q["walkforward_signs"] = (lambda s, d: out(studies.sign_selection(prepared(s, d), grid(s, d), 5, 4, 4)), None)
+    q["walkforward_signs"] = (lambda s, d: out(studies.sign_selection(*settled_scores(s, d), 5, 4, 4)), _select("sg", "fold, n_positive_signs, test_start, test_end", "naive_sharpe, naive_return, signed_sharpe, signed_return"))
     q["diagnostics_coverage"] = (
         lambda s, d: studies.coverage(grid(s, d)),
         compose("select tickers, empty_tickers, dates, least, median, most from (select count(*) as tickers, sum((n = 0)::bigint)::bigint as empty_tickers from (select count(close) as n from grid group by ticker)) cross join (select count(*) as dates, min(n) as least, quantile_cont(n, 0.5)::double as median, max(n) as most from (select count(close) as n from grid group by date))", "grid"),
@@ -522,20 +671,201 @@ def _build() -> dict[str, tuple]:
         compose(f"select {_r('median_ret', 'median_ret')}, {_r('std_ret', 'std_ret')}, over_50, over_100, {_r('ln(1 + ew_ann)', 'ew_ann')} from (select quantile_cont(ret, 0.5) as median_ret, stddev_samp(ret) as std_ret, sum((abs(ret) > 0.5)::bigint)::bigint as over_50, sum((abs(ret) > 1.0)::bigint)::bigint as over_100 from rets) cross join (select pow(product(1 + m), 252.0 / count(*)) - 1 as ew_ann from (select coalesce(avg(ret), 0) as m from rets group by date))", "rets"),
     )
     q["largest_moves"] = (lambda s, d: out(studies.largest_moves(grid(s, d))), compose(f"select ticker, {_r('max(abs(ret))', 'max_move')} from rets group by 1 having max(abs(ret)) is not null order by max(abs(ret)) desc, ticker limit 8", "rets"))
-    q["lag_sandbox"] = (lambda s, d: out(studies.lag_sandbox(raw(s, d).where(F.col("signal") == REV), grid(s, d), sectors(s, d))), None)
+    q["lag_sandbox"] = (
+        lambda s, d: out(studies.lag_sandbox(settled(raw(s, d)), grid(s, d), sectors(s, d)), digits=5),
+        compose(" union all ".join(f"select signal, {lag} as lag, {neutral} as neutral, {_r('mean_ic', 'mean_ic', 5)}, {_r('t_stat', 't_stat', 5)} from {src} where horizon = 5" for src, lag, neutral in (("summary_ic_l0", 0, "true"), ("summary", 1, "true"), ("summary_ic_raw_l0", 0, "false"), ("summary_raw", 1, "false"))), "summary_ic_l0", "summary", "summary_ic_raw_l0", "summary_raw"),
+    )
     q["latest_sentiment"] = (lambda s, d: out(studies.latest_sentiment(index(s, d))), compose(f"select date, {_r('composite', 'composite')}, {_r('(select composite from l where k = 22)', 'month_ago')}, {_REGIME} as regime from l where k = 1", "l"))
     q["trailing_year"] = (lambda s, d: out(studies.trailing_year(index(s, d)), "date", "composite"), compose(f"select date, {_r('composite', 'composite')} from sent where date >= (select max(date) from sent) - 365", "sent"))
-    q["deflated_sharpe"] = (lambda s, d: s.createDataFrame([(n, *(round(float(bt.deflated_sharpe(n, 0.0, 2952)[k]), 6) for k in ("hurdle", "observed"))) for n in (1, 7, 44, 51)], "trials int, hurdle double, observed double"), None)
-    q["predictive_test"] = (lambda s, d: out(inference.predictive_test(index(s, d), spy(s, d), (5, 21, 63))), None)
-    q["null_calibration"] = (lambda s, d: out(inference.null_calibration(index(s, d), spy(s, d), 63, 500, 63, 1)), None)
-    q["registry_describe"] = (lambda s, d: REGISTRY.describe(s), "select * from (values " + ", ".join(f"('{s.name}', '{s.family}', '{s.rationale}')" for s in REGISTRY.signals) + ") v(name, family, rationale)")
-    q["store_sql_view"] = (_store_sql, compose("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by 1", "bars"))
+    q["deflated_sharpe"] = (
+        lambda s, d: out(s.sql("select * from values (1), (7), (44), (51) as t(trials)").select("trials", bt.sharpe_hurdle(F.col("trials"), F.lit(2952)).alias("hurdle"), F.lit(0.0).alias("observed"))),
+        f"select trials::int as trials, {_r(_HURDLE.format(n='2952'), 'hurdle')}, 0::double as observed from (select trials, 1 - 1 / greatest(trials, 2)::double as p, 1 - 1 / (greatest(trials, 2) * exp(1)) as q from (values (1), (7), (44), (51)) v(trials))",
+    )
+    q["predictive_test"] = (
+        lambda s, d: out(inference.predictive_test(settled(index(s, d)), spy(s, d), (5, 21, 63)), digits=5),
+        compose(f"select horizon, n, {', '.join(_r(c, c, 5) for c in ('slope', 'r2', 'corr', 'low_ann', 'high_ann'))}, {_r('low_ann - high_ann', 'spread_ann', 5)}, {_r('t', 't_stat', 5)}, {_r(_two_sided('t'), 'p_value', 5)} from fjs join fjt using (horizon)", "fjs", "fjt"),
+    )
+    q["null_calibration"] = (lambda s, d: out(inference.null_calibration(settled(index(s, d)), spy(s, d), 63, 500, 63, 1)), None)
+    q["registry_describe"] = (lambda s, d: REGISTRY.describe(s), REGISTRY_SQL)
+    return q
+
+
+# --- sources and sinks: they run on the tables and write to the checkpoint folder ---------------
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the session's checkpoints."""
+    settled(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def store(spark: SparkSession, d: str) -> Store:
+    """A store of the weekly bars, with a note."""
+    s = Store(spark, folder(spark, "store"))
+    s.write("bars", panels.supplier_weeks(spark, d).select("date", "ticker", "close", "volume"), {"note": "weekly"})
+    return s
+
+
+def store_manifest(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(n, e["rows"], len(e["columns"]), e["note"]) for n, e in store(spark, d).manifest().items()]
+    return spark.createDataFrame(rows, "dataset string, rows long, n_columns long, note string")
+
+
+def store_staleness(spark: SparkSession, d: str) -> DataFrame:
+    s = store(spark, d)
+    return spark.createDataFrame([(n, s.exists(n), s.is_stale(n, 24), s.is_stale(n, -1)) for n in ("bars", "none")], "dataset string, found boolean, stale_in_a_day boolean, stale_at_once boolean")
+
+
+def store_load(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each dataset asked for; null where there is none."""
+    out = None
+    for n, df in store(spark, d).load("bars", "none").items():
+        one = spark.sql("select cast(null as bigint) as rows") if df is None else df.agg(F.count("*").alias("rows"))
+        one = one.withColumn("dataset", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def store_export(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the staged copy, and the notes of staging."""
+    s, to = store(spark, d), folder(spark, "staged")
+    notes = s.export(to, ["bars", "none"])
+    return spark.read.parquet(f"{to}/bars.parquet").agg(F.count("*").alias("rows")).withColumn("notes", F.lit("; ".join(notes)))
+
+
+def _html(rows: DataFrame, key: str, heads: str, *cells) -> DataFrame:
+    """page, html: per key a table of its rows behind another one, and with an empty one in front."""
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(c, F.lit("")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    body = F.array_join(F.array_sort(F.collect_list(row)), "")
+    page = F.concat(F.lit("<p>x</p><table></table><table><tr><th>Year</th><th>Value</th></tr><tr><td>1</td><td>2</td></tr></table><table class='wikitable'>" + heads), body, F.lit("</table>"))
+    return rows.groupBy(F.col(key).alias("page")).agg(page.alias("html"))
+
+
+CURRENT_HEAD = "<tr><th>Symbol</th><th>Security</th><th>GICS Sector</th><th>GICS Sub-Industry</th><th>Date added</th></tr>"
+CHANGES_HEAD = "<tr><th rowspan='2'>Date</th><th colspan='2'>Added</th><th colspan='2'>Removed</th></tr><tr><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th></tr>"
+
+
+def constituent_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per region with its suppliers as constituents."""
+    s, n, r = (panels.read(spark, d, t) for t in ("supplier", "nation", "region"))
+    x = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    ticker = F.concat(F.lit(" s"), F.col("s_suppkey").cast("string"), F.lit(".a"))
+    return _html(x, "r_name", CURRENT_HEAD, ticker, F.concat("s_name", F.lit("<sup>[1]</sup>")), F.col("r_name"), F.concat(F.lit("<i>"), F.col("n_name"), F.lit("</i>")), F.lit("2010-02-16"))
+
+
+def change_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per month with the change log's rows."""
+    _, log = changes(spark, d)
+    x = log.where("date is not null").withColumn("month", F.date_format("date", "yyyy-MM"))
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("S."), F.col(c)))
+    return _html(x, "month", CHANGES_HEAD, F.date_format("date", "MMMM d, yyyy"), name("added"), name("added"), name("removed"), name("removed"))
+
+
+def wiki_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots through a fetcher that hands out one page a quarter."""
+    x = snapshots(spark, d).withColumn("key", F.col("snapshot_date").cast("string"))
+    pages = {r.page: r.html for r in _html(x, "key", CURRENT_HEAD, F.concat(F.lit("S"), F.col("ticker")), F.col("ticker"), F.lit("x"), F.lit("y"), F.lit("")).collect()}  # a page a quarter
+    return wiki.snapshots(pages.__getitem__, [dt.date.fromisoformat(p) for p in sorted(pages)] + [dt.date(1900, 1, 1)], str, spark).select("snapshot_date", "ticker")
+
+
+def revisions(spark: SparkSession, d: str) -> DataFrame:
+    """A revision a day of orders: its smallest order."""
+    rows = panels.read(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("at")).agg(F.min("o_orderkey").alias("revid"))
+    return rows.where("at is not null")
+
+
+def bar_fetcher(spark: SparkSession, d: str) -> vendor.Fetch:
+    """A vendor that hands out the weekly bars."""
+    rows = panels.supplier_weeks(spark, d).select("date", "ticker", "close", "volume").toPandas()  # a panel: tickers x dates
+
+    def fetch(tickers, start, end):
+        return rows[rows["ticker"].isin(tickers)]
+
+    return fetch
+
+
+def vendor_store(spark: SparkSession, d: str) -> Store:
+    s = Store(spark, folder(spark, "store"))
+    names = [r[0] for r in panels.supplier_weeks(spark, d).select("ticker").distinct().collect()]
+    vendor.ingest(s, bar_fetcher(spark, d), names, "1990-01-01", "2030-01-01", pause=0, sleep=lambda _: None)
+    return s
+
+
+def vendor_proxies(spark: SparkSession, d: str) -> DataFrame:
+    rows = panels.region_days(spark, d).select("date", F.when(F.col("name") == "VIX", "^VIX").otherwise(F.col("name")).alias("ticker"), F.col("px").alias("close")).toPandas()  # five series
+    return vendor.fetch_proxies(Store(spark, folder(spark, "store")), lambda tickers, a, b: rows[rows["ticker"].isin(tickers)], "1990-01-01", "2030-01-01", pause=0, sleep=lambda _: None)[0]
+
+
+def synthetic_market(spark: SparkSession) -> dict[str, DataFrame]:
+    return synthetic.make_market(spark, SYN_DAYS, SYN_NAMES, seed=SYN_SEED)
+
+
+def synthetic_proxies(spark: SparkSession, d: str) -> DataFrame:
+    days = sorted(r[0] for r in panels.calendar(panels.supplier_weeks(spark, d)).collect())  # a row per trading date
+    return synthetic.make_proxies(spark, days)
+
+
+def preregistered_run(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run with windows of weeks: its accounting and both verdicts."""
+    r = research.preregistered(signals.Market(grid(spark, d), sectors(spark, d)), LIQ, REGISTRY, HORIZONS, 5, (1, 4, 13, 52), (1, 13, 52), 4, 4, regression_lags=4, window=13, least=5)
+    return r["accounting"].withColumns({"static_bet": F.lit(r["static_bet"]), "signs": F.lit(r["signs"])})
+
+
+def _sources() -> dict[str, tuple]:
+    q: dict[str, tuple] = {}
+    q["store_roundtrip"] = (lambda s, d: out(store(s, d).read("bars")), _select("bars", "date, ticker, close", "volume"))
+    q["store_manifest"] = (store_manifest, compose("select 'bars' as dataset, count(*) as rows, 4::bigint as n_columns, 'weekly' as note from bars", "bars"))
+    q["cache_summary"] = (lambda s, d: store(s, d).summary().select("dataset", "rows", (F.col("age_hours") >= 0).alias("aged")), compose("select 'bars' as dataset, count(*) as rows, true as aged from bars", "bars"))
+    q["store_staleness"] = (store_staleness, "select * from (values ('bars', true, false, true), ('none', false, true, true)) v(dataset, found, stale_in_a_day, stale_at_once)")
+    q["store_load"] = (store_load, compose("select 'bars' as dataset, count(*) as rows from bars union all select 'none', null", "bars"))
+    q["store_export"] = (store_export, compose("select count(*) as rows, 'none: missing' as notes from bars", "bars"))
+    q["store_sql_view"] = (lambda s, d: store(s, d).sql("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by ticker"), compose("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars where close is not null group by 1", "bars"))
+    people = "supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+    q["wiki_constituents"] = (lambda s, d: wiki.parse_constituents(constituent_pages(s, d)), f"select r_name as page, 'S' || s_suppkey || '-A' as ticker, s_name as name, r_name as sector, n_name as sub_industry, '2010-02-16' as date_added from {people}")
+    q["wiki_changes"] = (lambda s, d: wiki.parse_changes(change_pages(s, d)), compose("select strftime(date, '%Y-%m') as page, date, 'S-' || added as added, 'S-' || removed as removed from log", "log"))
+    scored = "select page, columns, coalesce(one, n)::bigint as rows, changes::int as changes, current::int as current from (select r_name as page, count(*) as n from " + people + " group by 1) cross join (values ('year,value', 1, 0, 0), ('symbol,security,gics sector,gics sub-industry,date added', null, 5, 5)) v(columns, one, changes, current)"
+    q["wiki_table_scores"] = (lambda s, d: wiki.table_scores(constituent_pages(s, d)), scored)
+    q["wiki_change_scores"] = (
+        lambda s, d: wiki.table_scores(change_pages(s, d)),
+        compose("select page, columns, coalesce(one, n)::bigint as rows, changes::int as changes, current::int as current from (select strftime(date, '%Y-%m') as page, count(*) as n from log group by 1) cross join (values ('year,value', 1, 0, 0), ('date,added_ticker,added_security,removed_ticker,removed_security', null, 7, 0)) v(columns, one, changes, current)", "log"),
+    )
+    q["wiki_snapshots"] = (wiki_snapshots, compose("select snapshot_date, 'S' || ticker as ticker from snaps", "snaps"))
+    q["wiki_revisions"] = (
+        lambda s, d: wiki.latest_revisions(revisions(s, d), panels.calendar(panels.supplier_weeks(s, d))),
+        compose("select date, arg_max(revid, made) as revid from dates join (select o_orderdate::date as made, min(o_orderkey) as revid from orders where o_orderdate is not null group by 1) r on r.made <= dates.date group by 1", "dates"),
+    )
+    q["vendor_ingest"] = (lambda s, d: out(vendor_store(s, d).read("px_bars"), "date", "ticker", "close", "volume"), _select("bars", "date, ticker, close", "volume"))
+    q["vendor_quality"] = (
+        lambda s, d: out(vendor_store(s, d).read("px_quality")),
+        compose("select ticker, n_obs, pct_missing + 0.0 as pct_missing, first_date, last_date, extreme_moves, zero_var_days, min_price, pct_missing > 0.3 or extreme_moves > 0 or coalesce(min_price < 1, false) as suspect from (select ticker, count(close) as n_obs, round(1 - count(close) / count(*), 4) as pct_missing, min(date) filter (close is not null) as first_date, max(date) filter (close is not null) as last_date, coalesce(sum((abs(ret) > 0.6)::bigint), 0)::bigint as extreme_moves, coalesce(sum((ret = 0)::bigint), 0)::bigint as zero_var_days, min(close) as min_price from rets group by 1)", "rets"),
+    )
+    q["vendor_proxies"] = (lambda s, d: out(vendor_proxies(s, d)), compose(f"select case name when 'VIX' then '^VIX' else name end as name, date, {_r('px', 'px')} from proxies", "proxies"))
+    q["synthetic_bars"] = (lambda s, d: synthetic_market(s)["bars"].select("date", "ticker", rounded(F.col("close")).alias("close"), "volume"), compose(f"select date, ticker, {_r('close', 'close')}, volume from syn_bars", "syn_bars"))
+    q["synthetic_latent"] = (lambda s, d: out(synthetic_market(s)["latent"]), compose(f"select date, ticker, {_r('state', 'score')} from syn_state", "syn_state"))
+    q["synthetic_sectors"] = (lambda s, d: synthetic_market(s)["sectors"], compose("select ticker, 'Group ' || g as sector from syn_names", "syn_names"))
+    q["synthetic_membership"] = (lambda s, d: synthetic_market(s)["membership"], compose(f"select date, ticker from syn_cells where not (i % 19 = 4 and d < {SYN_DAYS} // 3) and not (i % 29 = 5 and d >= {SYN_DAYS} - {SYN_DAYS} // 5)", "syn_cells"))
+    q["synthetic_proxies"] = (lambda s, d: out(synthetic_proxies(s, d)), _select("syn_proxies", "name, date", "px"))
+    q["equity_drawdown"] = (
+        lambda s, d: out(bt.equity(studies.timed_variants(spy(s, d), settled(index(s, d)))), "variant", "date", "equity", "drawdown"),
+        _select("timed_perf_e", "variant, date", "equity, drawdown"),
+    )
+    q["causal_percentile"] = (
+        lambda s, d: out(panels.region_days(s, d).select("name", "date", causal_percentile(F.col("px"), 756, 252, by_ticker_of("name")).alias("share"))),
+        compose(f"select name, date, {_r('case when px is not null and len(l) >= 252 then 100.0 * len(list_filter(l, lambda y: y < px)) / len(l) end', 'share')} from (select name, date, px, list_filter(list(px) over (partition by name order by date rows between 755 preceding and current row), lambda y: y is not null) as l from proxies)", "proxies"),
+    )
+    q["preregistered_run"] = (
+        lambda s, d: out(preregistered_run(s, d), digits=5),
+        compose(
+            "select trials, 7::bigint as prior, cumulative, " + _r("max_abs_t", "max_abs_t", 5) + ", " + _r(_HURDLE.format(n="n_obs"), "hurdle", 5) + ", static_bet, signs from (select *, 1 - 1 / cumulative::double as p, 1 - 1 / (cumulative * exp(1)) as q from (select count(*) as trials, count(*) + 7 as cumulative, max(abs(t_stat)) as max_abs_t from summary) cross join (select count(*) as n_obs from dates) cross join (select case when overlap is null or not overlap > 0.7 then 'not supported' when t is null or abs(t) < 2 then 'supported' else 'mixed' end as static_bet from year_liq left join (select t_stat as t from span_liq where term = 'const') on true) cross join (select case when coalesce(sum(x), 0) <= 0 then 'not supported' when sum((x > 0)::int) >= 0.75 * count(x) then 'supported' else 'weak' end as signs from (select signed_sharpe - naive_sharpe as x from sg)))",
+            "summary", "dates", "year_liq", "span_liq", "sg",
+        ),
+    )
     return q
 
 
-def _store_sql(spark: SparkSession, d: str) -> DataFrame:
-    panels.supplier_weeks(spark, d).createOrReplaceTempView("tidemark_bars")
-    return spark.sql("select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from tidemark_bars where close is not null group by ticker")
+def by_ticker_of(key: str):
+    """Rows of one series in date order."""
+    return Window.partitionBy(key).orderBy("date")
 
 
 CTE["wk"] = ((), f"select cast(l_suppkey as varchar) as ticker, {_WEEK.format('d')} as date, arg_max(close, d) as close from (select l_suppkey, l_shipdate::date as d, sum(round(l_extendedprice * 100)::bigint)::double / (sum(l_quantity) * 100) as close from lineitem where l_shipdate is not null group by 1, 2) group by 1, 2")
@@ -543,7 +873,7 @@ CTE["fj"] = (("joint",), "select * from (select composite, lead(px, 22) over (or
 CTE["rk"] = (("prep",), f"select date, ticker, signal, {_rank('score', 'signal, date')} as r from prep")
 CTE["l"] = (("sent",), "select *, row_number() over (order by date desc) as k from sent where composite is not null")
 
-_QUERIES = _build()
+_QUERIES = {**_build(), **_sources()}
 
 
 def queries():

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.stats import by_ticker, normal_ppf
+from ..functions.stats import by_ticker, normal_ppf, normal_quantile
 from . import prices
 from .transforms import weekly
 
@@ -111,15 +111,28 @@ def split_bounds(n: int, k: int = 4, embargo: int = 21) -> list[tuple[int, int,
     return [(f, t, a, b) for f, t, a, b in out if a < b]
 
 
+def fold_dates(dates: DataFrame, k: int = 4, embargo: int = 21) -> list[tuple]:
+    """fold, train_start, train_end, test_start, test_end of each fold: a handful of rows, found by one ranking of the distinct dates."""
+    days = dates.select("date").distinct().where("date is not null")
+    bounds = split_bounds(days.count(), k, embargo)
+    numbered = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
+    asked = sorted({i for _, n, a, b in bounds for i in (0, n - 1, a, b - 1)})
+    at = {r.i: r.date for r in numbered.where(F.col("i").isin(asked)).collect()}
+    return [(f, at[0], at[n - 1], at[a], at[b - 1]) for f, n, a, b in bounds]
+
+
 def walk_forward_splits(dates: DataFrame, k: int = 4, embargo: int = 21) -> DataFrame:
     """fold, train_start, train_end, test_start, test_end (inclusive dates) over the distinct dates."""
-    days = dates.select("date").distinct()
-    bounds = split_bounds(days.count(), k, embargo)
-    rows = ", ".join(map(str, bounds))
-    folds = days.sparkSession.sql(f"select * from values {rows} as f(fold, n_train, a, b)")
-    numbered = days.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    at = {c: F.max(F.when(F.col("i") == e, F.col("date"))).alias(c) for c, e in (("train_start", F.lit(0)), ("train_end", F.col("n_train") - 1), ("test_start", F.col("a")), ("test_end", F.col("b") - 1))}
-    return numbered.join(F.broadcast(folds), (F.col("i") < F.col("b"))).groupBy("fold").agg(*at.values())
+    rows = fold_dates(dates, k, embargo)
+    literals = ", ".join(f"({f}, " + ", ".join(f"date'{d}'" for d in ds) + ")" for f, *ds in rows)
+    return dates.sparkSession.sql(f"select * from values {literals} as f(fold, train_start, train_end, test_start, test_end)")
+
+
+def in_folds(rows: DataFrame, folds: list[tuple], bounded: bool = True) -> DataFrame:
+    """rows + fold, once for each fold whose test dates have the row's date (or, not bounded, from its start on); no join."""
+    day = F.col("date").cast("date")
+    of = F.array(*[F.when((day >= F.lit(a)) & ((day <= F.lit(b)) if bounded else F.lit(True)), F.lit(f)) for f, _, _, a, b in folds])
+    return rows.withColumn("fold", F.explode(F.array_compact(of)))
 
 
 def walk_forward(scores: DataFrame, grid: DataFrame, k: int = 4, embargo: int = 21, bounded: bool = False, **kw) -> DataFrame:
@@ -128,10 +141,9 @@ def walk_forward(scores: DataFrame, grid: DataFrame, k: int = 4, embargo: int =
     Scores are those of the fold's test dates; prices run from its start to the end of the sample (as the
     research protocol has it), or to the fold's end if bounded. Scores have a row for every name and date.
     """
-    folds = F.broadcast(walk_forward_splits(grid, k, embargo).select("fold", "test_start", "test_end"))
-    s = scores.join(folds, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold", "date", "ticker", "score")
-    until = F.col("date") <= F.col("test_end") if bounded else F.lit(True)
-    g = grid.join(folds, (F.col("date") >= F.col("test_start")) & until).drop("test_start", "test_end")
+    folds = fold_dates(grid, k, embargo)
+    s = in_folds(scores, folds).select("fold", "date", "ticker", "score")
+    g = in_folds(grid, folds, bounded)
     book = positions(weekly(s), kw.pop("top", 0.2), kw.pop("bottom", 0.2), least=kw.pop("least", SETTINGS.min_names))
     lag, cost = kw.pop("lag", SETTINGS.execution_lag), kw.pop("cost_bps", SETTINGS.cost_bps)
     r = returns_by_fold(g)
@@ -148,12 +160,22 @@ def returns_by_fold(grid: DataFrame) -> DataFrame:
     return prices.returns(grid, "fold").select("fold", "date", "ticker", "ret")
 
 
+#: the share of the second quantile in an expected maximum (Euler's constant, fixed value)
+EULER = 0.5772156649
+
+
 def deflated_sharpe(n_trials: int, observed: float, n_obs: int) -> dict[str, float]:
     """The Sharpe ratio that the best of n_trials worthless strategies should reach, and whether the observed one beats it."""
     if n_trials < 1 or n_obs < 20:
         return {"hurdle": float("nan"), "observed": observed, "passes": False}
     e = max(n_trials, 2)
-    gamma = 0.5772156649
-    z = (1 - gamma) * normal_ppf(1 - 1 / e) + gamma * normal_ppf(1 - 1 / (e * math.e))
+    z = (1 - EULER) * normal_ppf(1 - 1 / e) + EULER * normal_ppf(1 - 1 / (e * math.e))
     hurdle = z / math.sqrt(n_obs) * math.sqrt(YEAR)
     return {"hurdle": hurdle, "observed": observed, "passes": observed > hurdle}
+
+
+def sharpe_hurdle(n_trials: Column, n_obs: Column) -> Column:
+    """deflated_sharpe()'s hurdle of columns; null without a trial or under 20 observations."""
+    e = F.greatest(n_trials, F.lit(2)).cast("double")
+    z = (1 - EULER) * normal_quantile(1 - 1 / e) + EULER * normal_quantile(1 - 1 / (e * math.e))
+    return F.when((n_trials >= 1) & (n_obs >= 20), z / F.sqrt(n_obs) * math.sqrt(YEAR))

@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, newey_west_lags
-from ..functions.stats import average_rank, by_ticker, mean_t, pearson, quantile_bucket, two_sided_p
+from ..functions.stats import average_rank, by_ticker, mean_t, pearson, two_sided, with_bucket
 from . import prices
 
 YEAR = SETTINGS.periods_per_year
 
 
-def information_coefficient(scores: DataFrame, fwd: DataFrame, method: str = "spearman", least: int = SETTINGS.min_names) -> DataFrame:
+def information_coefficient(scores: DataFrame, fwd: DataFrame, method: str = "spearman", least: int = SETTINGS.min_names, horizons: tuple[int, ...] | None = None) -> DataFrame:
     """date, signal, horizon, ic, n for dates with at least `least` joint names and some variance.
 
-    Spearman ranks each side among all its own values of the date, before names are matched.
+    Spearman ranks each side among all its own values of the date, before names are matched. With the
+    horizons named, they lie side by side, so a score meets its name's forward returns once.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method!r}")
@@ -27,8 +28,14 @@ def information_coefficient(scores: DataFrame, fwd: DataFrame, method: str = "sp
     if method == "spearman":
         x = x.withColumn("x", average_rank(F.col("x"), "signal", "date"))
         y = y.withColumn("y", average_rank(F.col("y"), "horizon", "date"))
-    both = x.where("x is not null").join(y.where("y is not null"), ["date", "ticker"])
-    per = both.groupBy("date", "signal", "horizon").agg(pearson(F.col("x"), F.col("y"), least).alias("ic"), F.count("*").alias("n"))
+    x, y = x.where("x is not null"), y.where("y is not null")
+    if horizons is None:
+        per = x.join(y, ["date", "ticker"]).groupBy("date", "signal", "horizon").agg(pearson(F.col("x"), F.col("y"), least).alias("ic"), F.count("*").alias("n"))
+    else:
+        wide = y.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("horizon") == h, F.col("y"))).alias(f"y{h}") for h in horizons])
+        sides = x.join(wide, ["date", "ticker"]).groupBy("date", "signal").agg(*[c for h in horizons for c in (pearson(F.col("x"), F.col(f"y{h}"), least).alias(f"c{h}"), F.count(f"y{h}").alias(f"n{h}"))])
+        cells = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"c{h}").alias("ic"), F.col(f"n{h}").alias("n")) for h in horizons]))
+        per = sides.select("date", "signal", cells.alias("x")).select("date", "signal", "x.*")
     return per.where("ic is not null")
 
 
@@ -47,18 +54,12 @@ def ic_summary(ic: DataFrame, most_horizon: int | None = None) -> DataFrame:
 
 
 def with_p(summary: DataFrame) -> DataFrame:
-    """+ p_value of the t statistic as a z (driver-side function on Arrow batches: a row per signal and horizon)."""
-    import pandas as pd
-
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda v: two_sided_p(v) if v == v else None)
-
-    run.__annotations__ = {"t": pd.Series, "return": pd.Series}
-    return summary.withColumn("p_value", F.pandas_udf(run, "double")("t_stat"))
+    """+ p_value of the t statistic as a z."""
+    return summary.withColumn("p_value", two_sided(F.col("t_stat")))
 
 
 def ic_decay(scores: DataFrame, grid: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons, lag: int = 1, method: str = "spearman") -> DataFrame:
-    ic = information_coefficient(scores, prices.forward_returns(grid, horizons, lag), method)
+    ic = information_coefficient(scores, prices.forward_returns(grid, horizons, lag), method, horizons=horizons)
     return ic_summary(ic, max(horizons))
 
 
@@ -67,7 +68,7 @@ def quantile_returns(scores: DataFrame, grid: DataFrame, horizon: int = 5, lag:
 
     Buckets come from the scores alone; dates with fewer than 2n scores have none.
     """
-    x = scores.withColumn("__b", quantile_bucket(F.col("score"), n, "signal", "date")).withColumn("__n", F.count("score").over(Window.partitionBy("signal", "date")))
+    x = with_bucket(scores, "score", n, ("signal", "date"), "__b").withColumn("__n", F.count("score").over(Window.partitionBy("signal", "date")))
     x = x.where((F.col("__n") >= 2 * n) & F.col("__b").isNotNull())
     both = x.join(prices.forward_returns(grid, (horizon,), lag), ["date", "ticker"], "left")
     wide = both.groupBy("date", "signal").agg(*[F.avg(F.when(F.col("__b") == k, F.col("fwd"))).alias(f"q{k + 1}") for k in range(n)])
@@ -103,16 +104,22 @@ def cost_drag(turn: DataFrame, cost_bps: float, periods: float) -> DataFrame:
     return turn.groupBy("signal").agg((F.avg("turnover") * cost_bps / 1e4 * periods).alias("cost_drag"))
 
 
-def signal_correlation(scores: DataFrame, least: int = SETTINGS.min_names) -> DataFrame:
-    """signal_a, signal_b, corr: mean over dates of the cross-sectional correlation; symmetric, 1 on the diagonal."""
-    # one row per cell with all signals side by side meets every pair without a self-join
-    cell = scores.where("score is not null").groupBy("date", "ticker").agg(F.array_sort(F.collect_list(F.struct("signal", "score"))).alias("s"))
-    pairs = cell.select("date", F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["signal"] > a["signal"]), lambda b: F.struct(a["signal"].alias("a"), b["signal"].alias("b"), a["score"].alias("x"), b["score"].alias("y")))))).alias("p"))
-    per = pairs.groupBy("date", F.col("p.a").alias("signal_a"), F.col("p.b").alias("signal_b")).agg(pearson(F.col("p.x"), F.col("p.y"), least).alias("c"))
-    upper = per.groupBy("signal_a", "signal_b").agg(F.avg("c").alias("corr"))
-    names = scores.select("signal").distinct()
-    diagonal = names.select(F.col("signal").alias("signal_a"), F.col("signal").alias("signal_b"), F.lit(1.0).alias("corr"))
-    return upper.unionByName(upper.select(F.col("signal_b").alias("signal_a"), F.col("signal_a").alias("signal_b"), "corr")).unionByName(diagonal)
+def signal_correlation(scores: DataFrame, least: int = SETTINGS.min_names, names: list[str] | None = None) -> DataFrame:
+    """signal_a, signal_b, corr: mean over dates of the cross-sectional correlation; symmetric, 1 on the diagonal.
+
+    Signals are put side by side, and all pairs of a date are aggregates of one pass, combined map-side.
+    names: the signals (asked of the table if not given).
+    """
+    names = sorted(names if names is not None else [r[0] for r in scores.select("signal").distinct().collect()])
+    spark = scores.sparkSession
+    if not names:
+        return spark.createDataFrame([], "signal_a string, signal_b string, corr double")
+    wide = scores.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("signal") == n, F.col("score"))).alias(f"s{k}") for k, n in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    per = wide.groupBy("date").agg(F.lit(1).alias("one"), *[pearson(F.col(f"s{i}"), F.col(f"s{j}"), least).alias(f"c{i}_{j}") for i, j in pairs])
+    means = per.agg(F.lit(1).alias("one"), *[F.avg(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    cells = [(names[i], names[j], F.col(f"c{min(i, j)}_{max(i, j)}") if i != j else F.lit(1.0)) for i in range(len(names)) for j in range(len(names))]
+    return means.select(F.explode(F.array(*[F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), c.alias("corr")) for a, b, c in cells])).alias("x")).select("x.*")
 
 
 def ic_correlation(ic: DataFrame) -> DataFrame:
@@ -127,8 +134,7 @@ def redundant_pairs(corr: DataFrame, bound: float = 0.8) -> DataFrame:
 
 
 def league_table(scores: DataFrame, grid: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons, primary: int = 5, lag: int = 1, cost_bps: float = SETTINGS.cost_bps) -> DataFrame:
-    """One row per signal with its headline figures, best information ratio first."""
-    scores = scores.persist()  # three statistics read them
+    """One row per signal with its headline figures, best information ratio first. Three statistics read the scores: hand over stored ones."""
     decay = ic_decay(scores, grid, tuple(sorted({*horizons, primary})), lag).where(F.col("horizon") == primary)
     q = quantile_summary(quantile_returns(scores, grid, primary, lag), primary)
     t = turnover(scores).groupBy("signal").agg(F.avg("turnover").alias("turnover"))

@@ -55,18 +55,17 @@ def slope_t(x: np.ndarray, returns: np.ndarray, horizon: int, least: int = 200)
     return float(t[1])
 
 
-def block_starts(n: int, block: int, n_sims: int, seed: int) -> list[list[int]]:
-    """One list of block starts per simulation, drawn one simulation after the other."""
-    rng = np.random.default_rng(seed)
-    return [rng.integers(0, max(n - block, 1), size=-(-n // block)).tolist() for _ in range(n_sims)]
+def block_starts(n: int, block: int, seed: int, sim: int) -> np.ndarray:
+    """Block starts of one simulation, from a seed of its own."""
+    return np.random.default_rng([seed, sim]).integers(0, max(n - block, 1), size=-(-n // block))
 
 
 def null_calibration(sentiment: DataFrame, market: DataFrame, horizon: int = 63, n_sims: int = 500, block: int = 63, seed: int = 0, least: int = 300) -> DataFrame:
     """One row: the observed slope t against its distribution when blocks of market returns are drawn anew.
 
-    Block starts are drawn once on the driver, so a seed gives the same draws whatever the cluster;
-    simulations are spread over tasks, each with the series of a few thousand dates. There is no row
-    under `least` dates or 50 usable simulations.
+    Each simulation draws from its own seed where it runs, so a seed gives the same draws whatever the
+    cluster; tasks hold the series of a few thousand dates. There is no row under `least` dates or 50
+    usable simulations.
     """
     spark = sentiment.sparkSession
     rows = st.joint(sentiment, market).orderBy("date").toPandas()  # one row per trading date
@@ -79,10 +78,10 @@ def null_calibration(sentiment: DataFrame, market: DataFrame, horizon: int = 63,
     observed = slope_t(x, ret, horizon)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        paths = (np.concatenate([ret[i : i + block] for i in s])[: len(ret)] for s in p["starts"])
+        paths = (np.concatenate([ret[i : i + block] for i in block_starts(len(ret), block, seed, k)])[: len(ret)] for k in p["sim"])
         return pd.DataFrame({"t": [slope_t(x[: len(path)], path, horizon) for path in paths]})
 
-    sims = spark.createDataFrame(list(enumerate(block_starts(len(ret), block, n_sims, seed))), "sim int, starts array<int>")
+    sims = spark.range(n_sims).withColumnRenamed("id", "sim")
     t = sims.groupBy(F.pmod("sim", F.lit(64)).alias("g")).applyInPandas(run, "t double").where("t is not null and not isnan(t)")
     a = F.abs("t")
     quantiles = [F.percentile(a, q).alias(f"null_p{int(q * 100):02d}") for q in (0.05, 0.95, 0.99)]

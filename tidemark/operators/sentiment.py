@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.stats import by_ticker, causal_percentile, pearson, quantile_bucket, rolling
+from ..functions.stats import by_ticker, causal_percentile, pearson, rolling, with_bucket
 
 #: lower bounds of the regimes (fixed values)
 REGIMES = ((25.0, "extreme fear"), (45.0, "fear"), (55.0, "neutral"), (75.0, "greed"))
@@ -130,7 +130,7 @@ def forward(rows: DataFrame, horizon: int) -> DataFrame:
 
 def predictive_stats(sentiment: DataFrame, market: DataFrame, horizon: int, buckets: int = 5, least: int = 200) -> DataFrame:
     """One row (none under `least` dates): n, slope, r2, corr, and yearly mean return in the lowest and highest bucket, low less high."""
-    x = forward(joint(sentiment, market), horizon).withColumn("b", quantile_bucket(F.col("composite"), buckets))
+    x = with_bucket(forward(joint(sentiment, market), horizon), "composite", buckets, (), "b")
     top = x.agg(F.max("b").alias("top"))
     year = SETTINGS.periods_per_year / horizon
     out = x.crossJoin(F.broadcast(top)).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.stats import average_rank, by_date, clip, normal_quantile
+from ..functions.stats import average_rank, by_date, clip, normal_quantile, with_quantiles
 from ..sources.panels import friday_of
 
 KEYS = ("signal",)
@@ -19,8 +19,8 @@ def _keys(df: DataFrame) -> tuple[str, ...]:
 
 def winsorize(df: DataFrame, limits: tuple[float, float] = SETTINGS.winsor) -> DataFrame:
     """Scores clipped to their date's exact linear quantiles."""
-    edges = F.percentile("score", list(limits)).over(by_date(*_keys(df)))
-    return df.withColumn("__e", edges).withColumn("score", clip(F.col("score"), F.col("__e")[0], F.col("__e")[1])).drop("__e")
+    x = with_quantiles(df, "score", limits, (*_keys(df), "date"), "__e")
+    return x.withColumn("score", clip(F.col("score"), F.col("__e")[0], F.col("__e")[1])).drop("__e")
 
 
 def zscore(df: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def zscore(df: DataFrame) -> DataFrame:
 def rank_normalize(df: DataFrame) -> DataFrame:
     """Normal quantiles of average ranks as shares, kept 1e-6 from 0 and 1."""
     share = average_rank(F.col("score"), *_keys(df), "date") / F.count("score").over(by_date(*_keys(df)))
-    return df.withColumn("score", normal_quantile(clip(share, F.lit(1e-6), F.lit(1 - 1e-6))))
+    ranked = df.withColumn("__p", clip(share, F.lit(1e-6), F.lit(1 - 1e-6)))
+    return ranked.withColumn("score", normal_quantile(F.col("__p"))).drop("__p")
 
 
 def rank_share(df: DataFrame) -> DataFrame:
@@ -77,13 +78,15 @@ def weekly(df: DataFrame, value: str = "score") -> DataFrame:
     return last.withColumn("__n", alive).where("__n > 0").drop("__n").withColumnRenamed("week", "date")
 
 
-def combine(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """date, ticker, score: the weighted mean of the signals that a name has, by the weights it has them with."""
-    names = [r[0] for r in df.select("signal").distinct().collect()] if weights is None else list(weights)
-    if not names:
+def combine(df: DataFrame, weights: dict[str, float] | None = None, names: list[str] | None = None) -> DataFrame:
+    """date, ticker, score: the weighted mean of the signals that a name has, by the weights it has them with.
+
+    names: the table's signals, as the registry knows them; weights are checked against the table if not given.
+    """
+    if weights is not None and not weights or names is not None and not names:
         raise ValueError("no signals to combine")
     if weights is not None:
-        missing = [r[0] for r in df.select("signal").distinct().collect() if r[0] not in weights]
+        missing = [n for n in (names if names is not None else [r[0] for r in df.select("signal").distinct().collect()]) if n not in weights]
         if missing:
             raise ValueError(f"no weight for {', '.join(sorted(missing))}")
         if sum(map(abs, weights.values())) == 0:

@@ -50,8 +50,10 @@ def membership_changelog(current: DataFrame, changes: DataFrame, calendar: DataF
     spans = events.select("ticker", F.lag("date").over(w).alias("from_date"), F.col("date").alias("until"), "was")
     last = events.groupBy("ticker").agg(F.max("date").alias("from_date")).join(now, "ticker", "full").select("ticker", "from_date", F.lit(None).cast("date").alias("until"), F.coalesce("was", F.lit(0)).alias("was"))
     spans = spans.unionByName(last).where("was = 1")
-    on = (F.col("from_date").isNull() | (F.col("date") >= F.col("from_date"))) & (F.col("until").isNull() | (F.col("date") < F.col("until")))
-    return spans.join(F.broadcast(calendar), on).select("date", "ticker")
+    # the calendar is one sorted array (a row per trading date): each span takes its slice of it
+    days = calendar.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("days"))
+    inside = F.filter("days", lambda d: (F.col("from_date").isNull() | (d >= F.col("from_date"))) & (F.col("until").isNull() | (d < F.col("until"))))
+    return spans.crossJoin(F.broadcast(days)).select(F.explode(inside).alias("date"), "ticker")
 
 
 def etf_universe(spark: SparkSession, calendar: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions.stage import settled
 from ..functions.stats import average_rank, by_date, by_ticker, pearson, rolling
 from ..operators import backtest as bt
 from ..operators import evaluation as ev
@@ -70,26 +71,30 @@ def persistence_verdict(overlap: float | None, alpha_t: float | None) -> str:
 
 def fold_signs(scores: DataFrame, grid: DataFrame, horizon: int = 5, k: int = 4, embargo: int = 21) -> DataFrame:
     """fold, signal, sign of the mean IC over the fold's training dates (0 without any or within 1e-6 of 0)."""
-    folds = F.broadcast(bt.walk_forward_splits(scores, k, embargo))
-    ic = ev.information_coefficient(scores, prices.forward_returns(grid, (horizon,)))
-    names = scores.select("signal").distinct().crossJoin(folds.select("fold", "train_end"))
-    x = names.join(ic, (ic.signal == names.signal) & (ic.date <= names.train_end), "left").groupBy(names.fold, names.signal).agg(F.avg("ic").alias("m"))
+    folds = bt.fold_dates(scores, k, embargo)
+    ic = ev.information_coefficient(scores, prices.forward_returns(grid, (horizon,)), horizons=(horizon,))
+    # all folds are aggregates of one pass; signals without any IC count too
+    day = F.col("date").cast("date")
+    every = scores.select("signal").distinct().withColumns({"date": F.lit(None).cast(dict(ic.dtypes)["date"]), "ic": F.lit(None).cast("double")})
+    means = ic.select("signal", "date", "ic").unionByName(every).groupBy("signal").agg(*[F.avg(F.when(day <= F.lit(end), F.col("ic"))).alias(f"m{f}") for f, _, end, _, _ in folds])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"m{f}").alias("m")) for f, *_ in folds]))
+    x = means.select("signal", rows.alias("x")).select("x.fold", "signal", "x.m")
     return x.select("fold", "signal", F.when(F.coalesce(F.abs("m") < 1e-6, F.lit(True)), 0.0).otherwise(F.signum("m")).alias("sign"))
 
 
 def sign_selection(scores: DataFrame, grid: DataFrame, horizon: int = 5, k: int = 4, embargo: int = 21, least: int = SETTINGS.min_names) -> DataFrame:
-    """fold, naive and signed Sharpe and return, and positive signs: both composites on each fold's test dates, in one job."""
-    scores = scores.persist()  # read for the folds, the signs and the composites
-    folds = F.broadcast(bt.walk_forward_splits(scores, k, embargo))
-    signs = fold_signs(scores, grid, horizon, k, embargo).persist()
+    """fold, naive and signed Sharpe and return, and positive signs: both composites on each fold's test dates, in one job.
+
+    Scores and grid are read several times: hand over settled ones.
+    """
+    folds = bt.fold_dates(scores, k, embargo)
+    signs = settled(fold_signs(scores, grid, horizon, k, embargo))  # a row per fold and signal
     variants = signs.select("fold", "signal", F.explode(F.array(F.struct(F.lit("signed").alias("variant"), F.col("sign").alias("w")), F.struct(F.lit("naive").alias("variant"), F.lit(1.0).alias("w")))).alias("x")).select("fold", "signal", "x.*")
-    test = scores.join(folds.select("fold", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end")))
-    x = test.join(F.broadcast(variants), ["fold", "signal"]).withColumn("w", F.when(F.col("score").isNotNull(), F.col("w")))
+    x = bt.in_folds(scores, folds).join(F.broadcast(variants), ["fold", "signal"]).withColumn("w", F.when(F.col("score").isNotNull(), F.col("w")))
     comp = x.groupBy("fold", "variant", "date", "ticker").agg(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum(F.abs("w"))).alias("score"))
-    book = bt.positions(transforms.weekly(comp), least=least).persist()
+    book = bt.positions(transforms.weekly(comp), least=least)
     # returns of the whole panel; weights start inside the fold's test dates
-    r = prices.returns(grid).select("date", "ticker", "ret").join(folds.select("fold", "test_start", "test_end"), F.col("date").between(F.col("test_start"), F.col("test_end")))
-    r = r.crossJoin(F.broadcast(book.select("variant").distinct()))
+    r = bt.in_folds(prices.returns(grid).select("date", "ticker", "ret"), folds).withColumn("variant", F.explode(F.array(F.lit("naive"), F.lit("signed"))))
     held = r.join(book, ["fold", "variant", "date", "ticker"], "left")
     over = by_ticker("fold", "variant")
     held = held.withColumn("w", F.last("w", True).over(over.rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,7 +103,8 @@ def sign_selection(scores: DataFrame, grid: DataFrame, horizon: int = 5, k: int
     net = held.groupBy("fold", "variant", "date").agg((F.coalesce(F.sum(F.col("h") * F.col("ret")), F.lit(0.0)) - F.sum("c") * SETTINGS.cost_bps / 1e4).alias("net"))
     s = bt.performance(net).groupBy("fold").agg(*[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{a}") for v in ("naive", "signed") for c, a in (("sharpe", "sharpe"), ("ann_return", "return"))])
     positive = signs.groupBy("fold").agg(F.sum((F.col("sign") > 0).cast("bigint")).alias("n_positive_signs"))
-    return s.join(positive, "fold").join(folds.select("fold", "test_start", "test_end"), "fold")
+    bounds = s.sparkSession.createDataFrame([(f, a, b) for f, _, _, a, b in folds], "fold int, test_start date, test_end date")
+    return s.join(F.broadcast(positive), "fold").join(F.broadcast(bounds), "fold")
 
 
 def sentiment_variants(composite_index: DataFrame) -> DataFrame:
@@ -109,9 +115,9 @@ def sentiment_variants(composite_index: DataFrame) -> DataFrame:
 
 def ablation_neutral(scores: DataFrame, grid: DataFrame, composite_index: DataFrame) -> DataFrame:
     """variant, figures and Sharpe less the unscaled one's, of the market-neutral book with and without sentiment scaling."""
-    # one book for three variants: kept while they are built, else its whole lineage runs once for each
-    book = bt.positions(transforms.weekly(scores)).persist()
-    scalers = sentiment_variants(composite_index).persist()
+    # one book for three variants: written once, else its whole lineage runs once for each
+    book = settled(bt.positions(transforms.weekly(scores)))
+    scalers = settled(sentiment_variants(composite_index))
     books = book.withColumn("variant", F.lit("no sentiment"))
     for v in ("contrarian", "momentum"):
         books = books.unionByName(bt.scaled(book, scalers.where(F.col("variant") == v)).withColumn("variant", F.lit(v)))
@@ -142,8 +148,7 @@ def ablation_directional(market: DataFrame, composite_index: DataFrame) -> DataF
 def ablation_folds(market: DataFrame, composite_index: DataFrame, k: int = 4, embargo: int = 21) -> DataFrame:
     """variant, fold, sharpe on the fold's test dates."""
     x = timed_variants(market, composite_index)
-    folds = F.broadcast(bt.walk_forward_splits(x, k, embargo).select("fold", "test_start", "test_end"))
-    return bt.performance(x.join(folds, F.col("date").between(F.col("test_start"), F.col("test_end"))).select("fold", "variant", "date", "net")).select("variant", "fold", "sharpe")
+    return bt.performance(bt.in_folds(x, bt.fold_dates(x, k, embargo)).select("fold", "variant", "date", "net")).select("variant", "fold", "sharpe")
 
 
 def ablation_verdict(folds: DataFrame, needed: int = 3) -> DataFrame:
@@ -172,7 +177,8 @@ def sector_buckets(grid: DataFrame, sectors: DataFrame) -> DataFrame:
 def neutral_vs_raw(raw: DataFrame, grid: DataFrame, sectors: DataFrame, horizon: int = 5) -> DataFrame:
     """signal, ic and t with and without sector neutralisation, and the percentage of the raw IC that is lost."""
     a = ev.ic_decay(transforms.prepare(raw, sectors), grid, (horizon,)).select("signal", F.col("mean_ic").alias("ic_neutral"), F.col("t_stat").alias("t_neutral"))
-    b = ev.ic_decay(transforms.prepare(raw, sectors, neutralize=False), grid, (horizon,)).select("signal", F.col("mean_ic").alias("ic_raw"), F.col("t_stat").alias("t_raw"))
+    # ranks of clipped scores are those of their z-scores, but beside very large scores z-scores of different small ones round to one value
+    b = ev.ic_decay(transforms.winsorize(raw), grid, (horizon,)).select("signal", F.col("mean_ic").alias("ic_raw"), F.col("t_stat").alias("t_raw"))
     return a.join(b, "signal").withColumn("ic_lost_pct", 100 * (1 - F.try_divide(F.abs("ic_neutral"), F.abs("ic_raw"))))
 
 
@@ -196,14 +202,18 @@ def largest_moves(grid: DataFrame, n: int = 8) -> DataFrame:
 
 
 def lag_sandbox(raw: DataFrame, grid: DataFrame, sectors: DataFrame, horizon: int = 5) -> DataFrame:
-    """signal, lag, neutral, mean_ic, t_stat for execution lags 0 and 1, with and without neutralisation."""
-    out = None
+    """signal, lag, neutral, mean_ic, t_stat for execution lags 0 and 1, with and without neutralisation: one table of scores, one of returns."""
+    scores = None
     for neutral in (True, False):
-        p = transforms.prepare(raw, sectors, neutralize=neutral)
-        for lag in (0, 1):
-            row = ev.ic_decay(p, grid, (horizon,), lag).select("signal", F.lit(lag).alias("lag"), F.lit(neutral).alias("neutral"), "mean_ic", "t_stat")
-            out = row if out is None else out.unionByName(row)
-    return out
+        p = (transforms.prepare(raw, sectors) if neutral else transforms.winsorize(raw)).select("date", "ticker", F.concat("signal", F.lit(f"|{str(neutral).lower()}")).alias("signal"), "score")
+        scores = p if scores is None else scores.unionByName(p)
+    # the lags stand as horizons beside each other; both have the sandbox's one
+    fwd = prices.forward_returns(grid, (horizon,), 0).withColumn("horizon", F.lit(0)).unionByName(prices.forward_returns(grid, (horizon,), 1).withColumn("horizon", F.lit(1)))
+    ic = ev.information_coefficient(scores, fwd, horizons=(0, 1)).withColumns({"lag": F.col("horizon"), "horizon": F.lit(horizon)})
+    parts = F.split("signal", r"\|")
+    named = ic.withColumns({"signal": F.concat_ws("|", "signal", F.col("lag").cast("string"))})
+    s = ev.ic_summary(named, horizon)
+    return s.select(parts[0].alias("signal"), parts[2].cast("int").alias("lag"), parts[1].cast("boolean").alias("neutral"), "mean_ic", "t_stat")
 
 
 def significance(table: DataFrame, t: str = "t_stat") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A fetcher takes (tickers, start, end) and returns long pandas rows: date, ticker and any of close,
 volume, open, high, low. Batches are fetched on the driver, as vendors limit their callers' rate;
-long rows of several batches are simply unioned.
+batches are written as they come.
 """
 
 from __future__ import annotations
@@ -42,13 +42,32 @@ def fetch_batch(fetch: Fetch, tickers: list[str], start: str, end: str, sleep: C
     raise RuntimeError(f"no prices after {TRIES} tries: {problem}")
 
 
+def csv_fetcher(url_of: Callable[[str, str, str], str], get: Callable[[str], str]) -> Fetch:
+    """A fetcher of vendors that hand out one CSV a ticker with date, open, high, low, close, volume in any order and case."""
+    import io
+
+    def fetch(tickers: list[str], start: str, end: str) -> pd.DataFrame:
+        parts = []
+        for t in tickers:
+            rows = pd.read_csv(io.StringIO(get(url_of(t, start, end))))
+            rows.columns = [c.strip().lower() for c in rows.columns]
+            parts.append(rows.assign(ticker=t))
+        return pd.concat(parts, ignore_index=True)
+
+    return fetch
+
+
 def wanted(tickers) -> list[str]:
     return sorted({t for t in tickers if isinstance(t, str) and t})
 
 
-def download(spark: SparkSession, fetch: Fetch, tickers, start: str, end: str, batch_size: int = BATCH, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """date, ticker and the fields there are; batches that fail are left out."""
-    names, out = wanted(tickers), None
+def download(spark: SparkSession, fetch: Fetch, tickers, start: str, end: str, folder: str, batch_size: int = BATCH, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """date, ticker and the fields there are, of all batches; batches that fail are left out.
+
+    Each batch is written to the folder as it comes, so the driver holds one of them, the plan doesn't
+    grow with the tickers, and what was fetched outlives a later failure.
+    """
+    names, written = wanted(tickers), 0
     for i in range(0, len(names), batch_size):
         try:
             rows = fetch_batch(fetch, names[i : i + batch_size], start, end, sleep)
@@ -57,12 +76,13 @@ def download(spark: SparkSession, fetch: Fetch, tickers, start: str, end: str, b
         shape = ", ".join(["date date", "ticker string", *(f"{f} double" for f in rows.columns[2:])])
         rows = rows.assign(date=pd.to_datetime(rows["date"]).dt.date).astype({f: "float64" for f in rows.columns[2:]})
         part = spark.createDataFrame(rows, shape)
-        part = part.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in rows.columns[2:]})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        part.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in rows.columns[2:]}).write.mode("append" if written else "overwrite").parquet(folder)
+        written += 1
         sleep(pause)
-    if out is None:
+    if not written:
         raise RuntimeError("ingestion returned no prices")
-    return out
+    got = spark.read.option("mergeSchema", "true").parquet(folder)
+    return got.select("date", "ticker", *[f for f in FIELDS if f in got.columns])
 
 
 def covers(cached: DataFrame, tickers: list[str], start: str, end: str, least: float) -> bool:
@@ -83,7 +103,7 @@ def ingest(store: Store, fetch: Fetch, tickers, start: str, end: str, name: str
         cached = store.read(f"{name}_bars")
         if covers(cached, names, start, end, least):
             return cached
-    bars = download(store.spark, fetch, names, start, end, **kw)
+    bars = download(store.spark, fetch, names, start, end, f"{store.root}/_incoming_{name}", **kw)
     if "close" not in bars.columns:
         raise RuntimeError("ingestion returned no close prices")
     store.write(f"{name}_bars", bars, {"start": start, "end": end, "n_tickers": bars.select("ticker").distinct().count()})
@@ -98,7 +118,7 @@ def fetch_proxies(store: Store, fetch: Fetch, start: str, end: str, refresh: boo
         cached = store.read("proxies")
         if cached.select("name").distinct().where(F.col("name").isin(*SETTINGS.proxies)).count() == len(SETTINGS.proxies):
             return cached, []
-    got = download(store.spark, fetch, SETTINGS.proxies, start, end, **kw).select(F.col("ticker").alias("name"), "date", F.col("close").alias("px"))
+    got = download(store.spark, fetch, SETTINGS.proxies, start, end, f"{store.root}/_incoming_proxies", **kw).select(F.col("ticker").alias("name"), "date", F.col("close").alias("px"))
     store.write("proxies", got)
     have = {r[0] for r in got.select("name").distinct().collect()}
     return store.read("proxies"), [p for p in SETTINGS.proxies if p not in have]
