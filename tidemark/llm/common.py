@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of results that nothing refers to any more.
+
+    It does so when the driver's memory is collected, which long chains of small steps alone rarely bring about.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: rows that go to a Python worker at once; texts may be long, and Spark's default of 10,000 is meant for numbers
 BATCH_ROWS = 1000
 
@@ -83,21 +93,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     meets them by join_counted(); no group is ever gathered in one task. Ends when a round changes nothing.
     Self edges are allowed (they make isolated nodes). Nulls are dropped.
     """
+    spark = edges.sparkSession
     e = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        # large star: join every larger neighbour to the smallest neighbour
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
-        hubs = low.where(F.col("c") > HOT).limit(1).count() > 0  # without any, none comes about in the small star
-        join = (lambda rows, table: join_counted(rows, cut(table), ["u"], "c")) if hubs else (lambda rows, table: rows.join(table, "u"))
-        large = (join_counted(both, low, ["u"], "c") if hubs else both.join(low, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
-        large = large.distinct()
-        # small star: join every smaller neighbour (and the node) to the smallest one
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        pairs = join(large, low2)
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u >= v")
-        e = cut(small.union(e.where("u = v")).distinct())
+        e = _round(e)
+        release(spark)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -106,3 +107,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")))
     return nodes.groupBy("node").agg(F.min("comp").alias("comp"))
+
+
+def _round(e: DataFrame) -> DataFrame:
+    # large star: join every larger neighbour to the smallest neighbour
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
+    hubs = low.where(F.col("c") > HOT).limit(1).count() > 0  # without any, none comes about in the small star
+    large = (join_counted(both, low, ["u"], "c") if hubs else both.join(low, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.where("u = v"))
+    large = large.distinct()
+    # small star: join every smaller neighbour (and the node) to the smallest one
+    low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    pairs = join_counted(large, cut(low2), ["u"], "c") if hubs else large.join(low2, "u")
+    small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u >= v")
+    return cut(small.union(e.where("u = v")).distinct())
