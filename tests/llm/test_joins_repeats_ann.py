@@ -271,3 +271,21 @@ def test_fewer_candidates_than_k_and_none(spark):
     got, _ = ann.search(df, F.col("vec_id") % 20 == 0)
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 0.5)]
     assert ann.search(df.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_sets_are_made_in_slices(spark, monkeypatch):
+    rows = near_copies(2)
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    monkeypatch.setattr(jj, "BROADCAST_IDS", 30)
+    made, sets = [], jj.Corpus.sets
+    monkeypatch.setattr(jj.Corpus, "sets", lambda self, wanted, carried: made.append(wanted.count()) or sets(self, wanted, carried))
+    got = jj.jaccard_components(df, 4, 85, 3).collect()
+    assert len(made) > 2 and max(made) <= 60  # slices are as even as hashes deal
+    assert sorted({(r.doc_id, r.n_shingles, r.component_id) for r in got}) == brute_components(rows, 4, 85) and len(got) == len(rows) + 1
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_few_and_many_edges_close_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    test_connected_components(spark)
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
