@@ -5,6 +5,7 @@ import datetime as dt
 import pandas as pd
 import pytest
 
+from tidemark import catalog
 from tidemark.sources import vendor, wiki
 from tidemark.sources.store import Store
 
@@ -123,3 +124,29 @@ def test_batches_are_written_as_they_come(spark, tmp_path):
 
     got = vendor.download(spark, fetch, ["A", "B", "C"], "2024-01-01", "2024-01-10", f"file://{tmp_path}/in", batch_size=2, pause=0)
     assert got.columns == ["date", "ticker", "close", "volume"] and got.where("ticker = 'C' and volume is null").count() == 8 and got.where("ticker <> 'C' and volume = 10").count() == 16
+
+
+def test_a_vendor_that_is_a_table(spark, tmp_path):
+    rows = spark.createDataFrame(_rows(["A", "B", "C"], "2024-01-01", "2024-01-10"))
+    asked = []
+
+    def fetch(tickers, start, end):
+        asked.append(tickers)
+        return rows.where(rows.ticker.isin(tickers))
+
+    got = vendor.download(spark, fetch, ["A", "B", "C", "Z"], "2024-01-01", "2024-01-10", f"file://{tmp_path}/in", batch_size=2, pause=0, sleep=lambda _: None)
+    assert asked == [["A", "B"], ["C", "Z"]] and got.dtypes == [("date", "date"), ("ticker", "string"), ("close", "double"), ("volume", "double")]
+    assert got.count() == 24 and got.select("ticker").distinct().count() == 3
+    with pytest.raises(RuntimeError):
+        vendor.download(spark, fetch, ["Z"], "2024-01-01", "2024-01-10", f"file://{tmp_path}/none", pause=0, sleep=lambda _: None)
+
+
+def test_no_panel_comes_to_the_driver(spark, monkeypatch):
+    frame = type(spark.range(0))
+
+    def no(self):
+        raise AssertionError("a panel came to the driver")
+
+    monkeypatch.setattr(frame, "toPandas", no)
+    for name in ("vendor_ingest", "vendor_quality"):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0

@@ -2,7 +2,8 @@
 
 A fetcher takes (tickers, start, end) and returns long pandas rows: date, ticker and any of close,
 volume, open, high, low. Batches are fetched on the driver, as vendors limit their callers' rate;
-batches are written as they come.
+batches are written as they come. A vendor whose bars are a table already returns a Spark DataFrame of
+these columns, of which nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ from ..operators import prices
 from .panels import dense
 from .store import Store
 
-Fetch = Callable[[list[str], str, str], pd.DataFrame]
+Fetch = Callable[[list[str], str, str], pd.DataFrame | DataFrame]
 FIELDS = ("close", "volume", "open", "high", "low")
 TRIES, BACKOFF_S, BATCH, TOLERANCE_DAYS = 3, 2.0, 50, 7
 
 
-def fetch_batch(fetch: Fetch, tickers: list[str], start: str, end: str, sleep: Callable[[float], None] = time.sleep) -> pd.DataFrame:
+def fetch_batch(fetch: Fetch, tickers: list[str], start: str, end: str, sleep: Callable[[float], None] = time.sleep) -> pd.DataFrame | DataFrame:
     """Up to three tries with growing pauses; an empty answer or one without price fields counts as a failure."""
     problem: Exception | None = None
     for attempt in range(1, TRIES + 1):
         try:
             rows = fetch(tickers, start, end)
-            if rows is not None and len(rows) and set(FIELDS) & set(rows.columns):
+            if isinstance(rows, DataFrame):
+                if set(FIELDS) & set(rows.columns) and not rows.isEmpty():
+                    return rows.select("date", "ticker", *[f for f in FIELDS if f in rows.columns])
+            elif rows is not None and len(rows) and set(FIELDS) & set(rows.columns):
                 if "ticker" not in rows.columns and len(tickers) == 1:  # one ticker: flat columns
                     rows = rows.assign(ticker=tickers[0])
                 return rows[["date", "ticker", *[f for f in FIELDS if f in rows.columns]]]
@@ -73,9 +77,12 @@ def download(spark: SparkSession, fetch: Fetch, tickers, start: str, end: str, f
             rows = fetch_batch(fetch, names[i : i + batch_size], start, end, sleep)
         except RuntimeError:
             continue
-        shape = ", ".join(["date date", "ticker string", *(f"{f} double" for f in rows.columns[2:])])
-        rows = rows.assign(date=pd.to_datetime(rows["date"]).dt.date).astype({f: "float64" for f in rows.columns[2:]})
-        part = spark.createDataFrame(rows, shape)
+        if isinstance(rows, DataFrame):
+            part = rows.select(F.col("date").cast("date"), F.col("ticker").cast("string"), *[F.col(f).cast("double") for f in rows.columns[2:]])
+        else:
+            shape = ", ".join(["date date", "ticker string", *(f"{f} double" for f in rows.columns[2:])])
+            rows = rows.assign(date=pd.to_datetime(rows["date"]).dt.date).astype({f: "float64" for f in rows.columns[2:]})
+            part = spark.createDataFrame(rows, shape)
         part.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in rows.columns[2:]}).write.mode("append" if written else "overwrite").parquet(folder)
         written += 1
         sleep(pause)
