@@ -150,3 +150,8 @@ def test_no_panel_comes_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(frame, "toPandas", no)
     for name in ("vendor_ingest", "vendor_quality"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_export_query_has_no_notes_on_file_sizes(spark, monkeypatch):
+    monkeypatch.setattr(Store.export, "__defaults__", (0.0, 0.0))  # as if every dataset were large
+    assert catalog.queries()["store_export"](spark, "/root/testdata/sf0.001").first().notes == "none: missing"

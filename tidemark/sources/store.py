@@ -87,12 +87,16 @@ class Store:
         rows = [(n, int(e.get("rows") or 0), round(age / 3600, 2) if (age := self.age_seconds(n)) is not None else None) for n, e in sorted(self.manifest().items())]
         return self.spark.createDataFrame(rows, "dataset string, rows long, age_hours double")
 
+    def missing(self, names: list[str]) -> list[str]:
+        """A note for each of the named datasets that there isn't."""
+        return [f"{n}: missing" for n in names if not self.exists(n)]
+
     def export(self, to: str, names: list[str], warn_mb: float = 50, total_mb: float = 100) -> list[str]:
         """Copies the named datasets; returns warnings for large ones, a large total and missing ones."""
         notes, total = [], 0.0
         for n in names:
             if not self.exists(n):
-                notes.append(f"{n}: missing")
+                notes += self.missing([n])
                 continue
             self.read(n).write.mode("overwrite").parquet(f"{to.rstrip('/')}/{n}.parquet")
             mb = self._fs.getContentSummary(self._path(self.path_for(n))).getLength() / 1e6
