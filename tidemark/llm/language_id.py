@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,11 +188,14 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from docs(doc_id, text, lang)."""
     bags = F.pandas_udf(_bags, "u array<int>, c array<float>")("text")
     rows = training_sample(docs, max_train).select("lang", "mix", bags.alias("b")).select("lang", "mix", "b.u", "b.c").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("mix", "ascending")])
     if not rows.num_rows:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    arrays = zip(*([x.values.to_numpy() for x in rows[c]] for c in ("u", "c")), strict=True)
-    return train(list(arrays), rows["lang"].to_pylist())
+    order = pc.sort_indices(rows.select(["lang", "mix"]), sort_keys=[("lang", "ascending"), ("mix", "ascending")]).to_pylist()
+    arrays, langs = list(zip(*([x.values.to_numpy() for x in rows[c]] for c in ("u", "c")), strict=True)), rows["lang"].to_pylist()
+    model = train([arrays[i] for i in order], [langs[i] for i in order])
+    del rows, arrays
+    common.release(docs.sparkSession)  # tens of MB of bags
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
